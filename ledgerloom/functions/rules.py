@@ -1,15 +1,16 @@
 """Record rules as column expressions.
 
-A rule turns a column into a ``Check``: the cleaned value, NULL if the rule is
-broken, and the error, NULL if it is kept.
+A rule reads one column. ``apply_rules`` adds, for each named rule, the cleaned
+value, NULL if the rule is broken, and the error, NULL if it is kept.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import column
@@ -17,7 +18,7 @@ from ledgerloom.functions.money import column
 # Limits, patterns and messages of the rules.
 MAX_AMOUNT = "999999999999.99"
 AMOUNT_TYPE = "decimal(38,10)"
-AMOUNT_NOISE = "[,$€£¥ _]"
+AMOUNT_NOISE = ",$€£¥ _"
 AMOUNT_SYNTAX = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 AMOUNT_INFINITE = r"^[+-]?(?i:inf|infinity)$"
 CODE_SYNTAX = r"^[A-Z0-9.-]+$"
@@ -40,48 +41,104 @@ HTML_ENTITIES = (
 )
 
 
-@dataclass(frozen=True)
-class Check:
-    value: Column
-    error: Column
+# What counts as white space at either end of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+CLEAN, ERROR = "clean_", "error_"
 
-    @classmethod
-    def of(cls, value: Column, error: Column) -> Check:
-        return cls(F.when(error.isNull(), value), error)
+
+@dataclass(frozen=True)
+class Rule:
+    """How to prepare a column's text, parse it, and judge the outcome."""
+
+    raw: Column
+    text: Column
+    parse: Callable[[Column], Column]
+    judge: Callable[[Column, Column, Column], Column]  # raw, text, parsed -> error
+
+
+def apply_rules(frame: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
+    """Adds ``clean_<name>`` and ``error_<name>`` for each rule.
+
+    Each step is a projection of its own, which the optimizer leaves apart where
+    a result is used more than once. The last step goes through a one-element
+    array: a filter on the errors would otherwise be pushed below all steps and
+    repeat their expressions, once per use.
+    """
+    text = {f"_text_{name}": rule.text for name, rule in rules.items()}
+    parsed = {f"_parsed_{name}": rule.parse(F.col(f"_text_{name}")) for name, rule in rules.items()}
+    errors = {
+        f"_error_{name}": rule.judge(rule.raw, F.col(f"_text_{name}"), F.col(f"_parsed_{name}"))
+        for name, rule in rules.items()
+    }
+    outcome = []
+    for name in rules:
+        kept = F.when(F.col(f"_error_{name}").isNull(), F.col(f"_parsed_{name}"))
+        outcome += [
+            kept.alias(f"{CLEAN}{name}"),
+            F.col(f"_error_{name}").alias(f"{ERROR}{name}"),
+        ]
+    return (
+        frame.withColumns(text)
+        .withColumns(parsed)
+        .withColumns(errors)
+        .select(
+            *[F.col(f"`{name}`") for name in frame.columns],
+            F.inline(F.array(F.struct(*outcome))),
+        )
+    )
 
 
 def stripped(value: Column | str) -> Column:
     """Without white space, of any kind, at either end."""
-    return F.regexp_replace(column(value).cast("string"), r"(?U)^\s+|\s+$", "")
+    return F.btrim(column(value).cast("string"), F.lit(WHITE_SPACE))
+
+
+def _is_empty(raw: Column) -> Column:
+    return raw.isNull() | (raw.cast("string") == "")
 
 
-def check_amount(value: Column | str, allow_negative: bool = True) -> Check:
+def check_amount(value: Column | str, allow_negative: bool = True) -> Rule:
     raw = column(value).cast("string")
-    cleaned = F.regexp_replace(stripped(raw), AMOUNT_NOISE, "")
-    amount = cleaned.try_cast(AMOUNT_TYPE)
-    infinite = cleaned.rlike(AMOUNT_INFINITE)
-    # Well-formed but wider than the type is too large as well.
-    too_large = infinite | amount.isNull() | (F.abs(amount) > F.lit(MAX_AMOUNT).cast(AMOUNT_TYPE))
-    error = F.when(raw.isNull(), "Amount cannot be empty").when(
-        ~(cleaned.rlike(AMOUNT_SYNTAX) | infinite),
-        F.concat(F.lit("Invalid amount format: "), raw),
+
+    def judge(raw: Column, text: Column, amount: Column) -> Column:
+        infinite = text.rlike(AMOUNT_INFINITE)
+        # Well-formed but wider than the type is too large as well.
+        largest = F.lit(MAX_AMOUNT).cast(AMOUNT_TYPE)
+        error = F.when(raw.isNull(), "Amount cannot be empty").when(
+            ~(text.rlike(AMOUNT_SYNTAX) | infinite),
+            F.concat(F.lit("Invalid amount format: "), raw),
+        )
+        if not allow_negative:
+            below = (amount < 0) | (amount.isNull() & text.startswith("-"))
+            error = error.when(below, "Negative amounts are not allowed")
+        return error.when(
+            infinite | amount.isNull() | (F.abs(amount) > largest),
+            "Amount exceeds maximum allowed value",
+        )
+
+    return Rule(
+        raw,
+        F.translate(stripped(raw), AMOUNT_NOISE, ""),
+        lambda text: text.try_cast(AMOUNT_TYPE),
+        judge,
     )
-    if not allow_negative:
-        negative = cleaned.startswith("-") & ~(F.coalesce(amount, F.lit(-1)) == 0)
-        error = error.when(negative, "Negative amounts are not allowed")
-    error = error.when(too_large, "Amount exceeds maximum allowed value")
-    return Check.of(amount, error)
 
 
-def check_account_code(value: Column | str) -> Check:
+def check_account_code(value: Column | str) -> Rule:
     raw = column(value).cast("string")
-    code = F.upper(stripped(raw))
-    error = (
-        F.when(raw.isNull() | (raw == ""), "Account code cannot be empty")
-        .when(~code.rlike(CODE_SYNTAX), "Account code contains invalid characters")
-        .when(~F.length(code).between(2, 20), "Account code must be 2-20 characters long")
-    )
-    return Check.of(code, error)
+
+    def judge(raw: Column, text: Column, code: Column) -> Column:
+        return (
+            F.when(_is_empty(raw), "Account code cannot be empty")
+            .when(~code.rlike(CODE_SYNTAX), "Account code contains invalid characters")
+            .when(~F.length(code).between(2, 20), "Account code must be 2-20 characters long")
+        )
+
+    return Rule(raw, F.upper(stripped(raw)), lambda text: text, judge)
 
 
 def check_date(
@@ -89,28 +146,61 @@ def check_date(
     earliest: dt.date | None = None,
     latest: dt.date | None = None,
     typed: bool = False,
-) -> Check:
+) -> Rule:
     """``typed`` columns hold dates or timestamps, others text in one of four formats."""
     raw = column(value)
-    if typed:
-        day = raw.cast("date")
-        error = F.when(raw.isNull(), "Date cannot be empty")
-    else:
-        text = stripped(raw)
-        day = F.coalesce(
+
+    def parse(text: Column) -> Column:
+        if typed:
+            return raw.cast("date")
+        return F.coalesce(
             *[
                 F.when(text.rlike(syntax), F.try_to_timestamp(text, F.lit(form)).cast("date"))
                 for syntax, form in DATE_FORMATS
             ]
         )
-        error = F.when(raw.isNull() | (raw == ""), "Date cannot be empty").when(
-            day.isNull(), F.concat(F.lit("Invalid date format: "), raw)
+
+    def judge(raw: Column, text: Column, day: Column) -> Column:
+        error = F.when(_is_empty(raw), "Date cannot be empty").when(
+            day.isNull(), F.concat(F.lit("Invalid date format: "), raw.cast("string"))
         )
-    if earliest is not None:
-        error = error.when(day < F.lit(earliest), f"Date cannot be before {earliest}")
-    if latest is not None:
-        error = error.when(day > F.lit(latest), f"Date cannot be after {latest}")
-    return Check.of(day, error)
+        if earliest is not None:
+            error = error.when(day < F.lit(earliest), f"Date cannot be before {earliest}")
+        if latest is not None:
+            error = error.when(day > F.lit(latest), f"Date cannot be after {latest}")
+        return error
+
+    return Rule(raw, stripped(raw), parse, judge)
+
+
+def check_text(
+    value: Column | str, shortest: int = 0, longest: int = 1000, allow_html: bool = False
+) -> Rule:
+    raw = column(value).cast("string")
+
+    def judge(raw: Column, text: Column, clean: Column) -> Column:
+        length = F.length(text)
+        return F.when(
+            length < shortest, f"Text must be at least {shortest} characters long"
+        ).when(length > longest, f"Text cannot exceed {longest} characters")
+
+    return Rule(
+        raw,
+        F.coalesce(stripped(raw), F.lit("")),
+        lambda text: without_markup(text if allow_html else escape_html(text)),
+        judge,
+    )
+
+
+def check_email(value: Column | str) -> Rule:
+    raw = column(value).cast("string")
+
+    def judge(raw: Column, text: Column, email: Column) -> Column:
+        return F.when(_is_empty(raw), "Email cannot be empty").when(
+            ~email.rlike(EMAIL_SYNTAX), "Invalid email format"
+        )
+
+    return Rule(raw, F.lower(stripped(raw)), lambda text: text, judge)
 
 
 def escape_html(value: Column) -> Column:
@@ -120,27 +210,7 @@ def escape_html(value: Column) -> Column:
 
 
 def without_markup(value: Column) -> Column:
-    return F.regexp_replace(value, "[<>\"']", "")
-
-
-def check_text(
-    value: Column | str, shortest: int = 0, longest: int = 1000, allow_html: bool = False
-) -> Check:
-    text = F.coalesce(stripped(value), F.lit(""))
-    error = F.when(
-        F.length(text) < shortest, f"Text must be at least {shortest} characters long"
-    ).when(F.length(text) > longest, f"Text cannot exceed {longest} characters")
-    clean = text if allow_html else escape_html(text)
-    return Check.of(without_markup(clean), error)
-
-
-def check_email(value: Column | str) -> Check:
-    raw = column(value).cast("string")
-    email = F.lower(stripped(raw))
-    error = F.when(raw.isNull() | (raw == ""), "Email cannot be empty").when(
-        ~email.rlike(EMAIL_SYNTAX), "Invalid email format"
-    )
-    return Check.of(email, error)
+    return F.translate(value, "<>\"'", "")
 
 
 def display_text(value: Column | str) -> Column:

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.rules import (
-    Check,
+    CLEAN,
+    ERROR,
+    Rule,
+    apply_rules,
     check_account_code,
     check_amount,
     check_date,
@@ -187,24 +190,24 @@ def standardize_numeric(frame: DataFrame) -> DataFrame:
 
 # --- records ----------------------------------------------------------------
 
+TRANSACTION_FIELDS = ("account_code", "transaction_date", "description")
 TRANSACTION_AMOUNTS = ("debit_amount", "credit_amount", "net_amount")
 ACCOUNT_AMOUNTS = ("total_debit", "total_credit", "net_balance")
-CLEAN = "clean_"
 
 
-def _prefixed(prefix: str, check: Check) -> Column:
-    return F.when(check.error.isNotNull(), F.concat(F.lit(prefix), check.error))
+def _judged(frame: DataFrame, rules: dict[str, Rule], errors: list[Column]) -> DataFrame:
+    """``clean_`` columns, and the errors that apply as one array."""
+    judged = apply_rules(frame, rules).withColumn("errors", F.array_compact(F.array(*errors)))
+    return judged.drop(*[ERROR + name for name in rules])
 
 
-def _with_errors(
-    frame: DataFrame, cleaned: dict[str, Column], errors: list[Column]
-) -> DataFrame:
-    return frame.withColumns(
-        {
-            **{CLEAN + name: value for name, value in cleaned.items()},
-            "errors": F.array_compact(F.array(*errors)),
-        }
-    )
+def _message(prefix: str, name: str) -> Column:
+    return F.concat(F.lit(prefix), F.col(ERROR + name))
+
+
+def _amount_errors(names: list[str]) -> list[Column]:
+    """An absent amount is no error."""
+    return [F.when(F.col(name).isNotNull(), _message(f"{name}: ", name)) for name in names]
 
 
 def validate_transactions(frame: DataFrame, today: dt.date) -> DataFrame:
@@ -213,67 +216,52 @@ def validate_transactions(frame: DataFrame, today: dt.date) -> DataFrame:
     Other columns pass through.
     """
     present = dict(frame.dtypes)
-    cleaned: dict[str, Column] = {}
+    rules: dict[str, Rule] = {}
     errors: list[Column] = []
-    for name in ("account_code", "transaction_date", "description"):
-        message = f"Missing required field: {name}"
+    for name in TRANSACTION_FIELDS:
+        message = F.lit(f"Missing required field: {name}")
         if name in present:
             text = F.col(name).cast("string")
-            errors.append(F.when(text.isNull() | (text == ""), message))
-        else:
-            errors.append(F.lit(message))
+            message = F.when(text.isNull() | (text == ""), message)
+        errors.append(message)
     if "account_code" in present:
-        check = check_account_code("account_code")
-        cleaned["account_code"] = check.value
-        errors.append(_prefixed("Account code: ", check))
+        rules["account_code"] = check_account_code("account_code")
+        errors.append(_message("Account code: ", "account_code"))
     if "transaction_date" in present:
-        check = check_date(
-            "transaction_date",
-            dt.date(1900, 1, 1),
-            today,
-            typed=present["transaction_date"] != "string",
+        typed = present["transaction_date"] != "string"
+        rules["transaction_date"] = check_date(
+            "transaction_date", dt.date(1900, 1, 1), today, typed
         )
-        cleaned["transaction_date"] = check.value
-        errors.append(_prefixed("Transaction date: ", check))
+        errors.append(_message("Transaction date: ", "transaction_date"))
     if "description" in present:
-        check = check_text("description", 1, 500)
-        cleaned["description"] = check.value
-        errors.append(_prefixed("Description: ", check))
+        rules["description"] = check_text("description", 1, 500)
+        errors.append(_message("Description: ", "description"))
     amounts = [name for name in TRANSACTION_AMOUNTS if name in present]
-    for name in amounts:
-        check = check_amount(name)
-        cleaned[name] = check.value
-        errors.append(F.when(F.col(name).isNotNull(), _prefixed(f"{name}: ", check)))
-    message = "At least one amount field (debit, credit, or net) must be provided"
+    rules.update({name: check_amount(name) for name in amounts})
+    errors += _amount_errors(amounts)
+    needed = F.lit("At least one amount field (debit, credit, or net) must be provided")
     if amounts:
-        none_valid = F.coalesce(*[cleaned[name] for name in amounts]).isNull()
-        errors.append(F.when(none_valid, message))
-    else:
-        errors.append(F.lit(message))
-    return _with_errors(frame, cleaned, errors)
+        needed = F.when(F.coalesce(*[F.col(CLEAN + name) for name in amounts]).isNull(), needed)
+    errors.append(needed)
+    return _judged(frame, rules, errors)
 
 
 def validate_accounts(frame: DataFrame) -> DataFrame:
     """As ``validate_transactions``, for account records."""
     present = set(frame.columns)
-    cleaned: dict[str, Column] = {}
+    rules: dict[str, Rule] = {}
     errors: list[Column] = []
     if "account_code" in present:
-        check = check_account_code("account_code")
-        cleaned["account_code"] = check.value
-        errors.append(_prefixed("Account code: ", check))
+        rules["account_code"] = check_account_code("account_code")
+        errors.append(_message("Account code: ", "account_code"))
     else:
         errors.append(F.lit("Missing required field: account_code"))
     if "account_name" in present:
-        check = check_text("account_name", 1, 200)
-        cleaned["account_name"] = check.value
-        errors.append(_prefixed("Account name: ", check))
-    for name in ACCOUNT_AMOUNTS:
-        if name in present:
-            check = check_amount(name)
-            cleaned[name] = check.value
-            errors.append(F.when(F.col(name).isNotNull(), _prefixed(f"{name}: ", check)))
-    return _with_errors(frame, cleaned, errors)
+        rules["account_name"] = check_text("account_name", 1, 200)
+        errors.append(_message("Account name: ", "account_name"))
+    amounts = [name for name in ACCOUNT_AMOUNTS if name in present]
+    rules.update({name: check_amount(name) for name in amounts})
+    return _judged(frame, rules, errors + _amount_errors(amounts))
 
 
 def valid_records(validated: DataFrame) -> DataFrame:
