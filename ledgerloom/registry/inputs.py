@@ -154,17 +154,19 @@ def dirty_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 def dirty_transactions(spark: SparkSession, folder: str) -> DataFrame:
     """Transactions as text records, with something wrong on most lines."""
-    staged = ledger(spark, folder)
-    day = F.col("Boekdatum")
-    amount = F.coalesce(F.col("Debet"), F.col("Credit")).cast("string")
-    code = F.col("CodeGrootboekrekening")
-    return staged.select(
-        F.col("Boekingsnummer").alias("booking_number"),
-        F.col("Nummer").alias("number"),
+    rows = marts(spark, folder).transactions
+    day = F.col("transaction_date")
+    # One side of each line is 0.
+    amount = (F.col("debit_amount") + F.col("credit_amount")).cast(MONEY).cast("string")
+    code = F.col("account_code")
+    text = F.col("description")
+    return rows.select(
+        "booking_number",
+        "number",
         F.col("Code1").alias("code1"),
         F.col("Code2").alias("code2"),
         by_line(
-            "Nummer",
+            "number",
             {
                 1: F.concat(F.lit(" ab-"), code, F.lit(" ")),
                 2: F.lit("a"),
@@ -176,7 +178,7 @@ def dirty_transactions(spark: SparkSession, folder: str) -> DataFrame:
             F.concat(F.lit("ACC."), code),
         ).alias("account_code"),
         by_line(
-            "Nummer",
+            "number",
             {
                 1: F.date_format(day, "yyyy-MM-dd"),
                 2: F.date_format(day, "dd/MM/yyyy"),
@@ -188,16 +190,16 @@ def dirty_transactions(spark: SparkSession, folder: str) -> DataFrame:
             F.lit("1899-12-31"),
         ).alias("transaction_date"),
         by_line(
-            "Nummer",
+            "number",
             {
                 2: F.lit(None).cast("string"),
-                3: F.concat(F.lit(" <b>\""), F.col("Omschrijving"), F.lit("\"</b> & 'more' ")),
-                4: F.repeat(F.col("Omschrijving"), 100),
+                3: F.concat(F.lit(" <b>\""), text, F.lit("\"</b> & 'more' ")),
+                4: F.repeat(text, 100),
             },
-            F.col("Omschrijving"),
+            text,
         ).alias("description"),
         by_line(
-            "Nummer",
+            "number",
             {
                 1: F.concat(F.lit("€ 1,"), F.lpad(amount, 12, "0")),
                 2: F.concat(F.lit("-"), amount),
@@ -208,10 +210,10 @@ def dirty_transactions(spark: SparkSession, folder: str) -> DataFrame:
             },
             amount,
         ).alias("debit_amount"),
-        by_line("Nummer", {4: F.lit("-1e3")}, F.lit(None).cast("string")).alias("credit_amount"),
+        by_line("number", {4: F.lit("-1e3")}, F.lit(None).cast("string")).alias("credit_amount"),
         F.concat(
-            F.lower(F.regexp_replace("NaamGrootboekrekening", "#", "")),
-            by_line("Nummer", {1: F.lit("@"), 2: F.lit(" at ")}, F.lit("@Mail.")),
-            by_line("Nummer", {3: F.lit("c")}, F.lit("com ")),
+            F.lower(F.regexp_replace("account_name", "#", "")),
+            by_line("number", {1: F.lit("@"), 2: F.lit(" at ")}, F.lit("@Mail.")),
+            by_line("number", {3: F.lit("c")}, F.lit("com ")),
         ).alias("email"),
     )
