@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.filters import SourceSelection
 from ledgerloom.plans.dashboard import Dashboard
 from ledgerloom.plans.marts import Marts, save_marts
-from ledgerloom.operators.filters import SourceSelection
-from ledgerloom.schema import LEDGER, MONEY
+from ledgerloom.schema import LEDGER, LOADED_LEDGER, MONEY
 from ledgerloom.session import new_folder
 from ledgerloom.sources.sample import AS_OF, ledger
 from ledgerloom.sources.store import VersionStore
@@ -32,13 +32,29 @@ def _once(spark: SparkSession, folder: str, what: str, build: Callable[[], objec
     return _SAVED[key]
 
 
-# --- marts ---
+# --- ledger and marts ---
+
+
+def saved_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample ledger as a stored table, in files of even size.
+
+    The rebalancing lets adaptive execution split what a skewed join left in one
+    partition, and join what is small.
+    """
+
+    def build():
+        path = new_folder(spark, "ledger")
+        ledger(spark, folder).hint("rebalance").write.parquet(path)
+        return path
+
+    path = _once(spark, folder, "ledger", build)
+    return spark.read.schema(LOADED_LEDGER).parquet(path)
 
 
 def marts(spark: SparkSession, folder: str) -> Marts:
     def build():
         return save_marts(
-            ledger(spark, folder), new_folder(spark, "marts"), AS_OF, LOADED_AT
+            saved_ledger(spark, folder), new_folder(spark, "marts"), AS_OF, LOADED_AT
         )
 
     return _once(spark, folder, "marts", build)
@@ -72,7 +88,7 @@ VERSIONS = (
 def store(spark: SparkSession, folder: str) -> VersionStore:
     def build():
         result = VersionStore(spark, new_folder(spark, "store"))
-        rows = ledger(spark, folder)
+        rows = saved_ledger(spark, folder)
         for version in VERSIONS:
             result.write_version(
                 rows.where(F.year("Boekdatum").between(version.first, version.last)).withColumns(
@@ -101,7 +117,7 @@ WITHOUT_OPTIONAL, WITHOUT_CORE, AS_JSON, AS_PARQUET = 1998, 1999, 2000, 2001
 def landing(spark: SparkSession, folder: str) -> str:
     def build():
         path = new_folder(spark, "landing")
-        rows = ledger(spark, folder).withColumn("_year", F.year("Boekdatum"))
+        rows = saved_ledger(spark, folder).withColumn("_year", F.year("Boekdatum"))
         base = rows.select(*LEDGER.names, "_year")
         write = lambda frame, form: (
             frame.withColumn("export", F.format_string(f"DUMP%d.{form}", "_year"))
@@ -142,7 +158,7 @@ def by_line(number: Column | str, cases: dict[int, Column], otherwise: Column) -
 
 def dirty_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """The ledger as an export with bad values: all text, one column missing."""
-    rows = ledger(spark, folder)
+    rows = saved_ledger(spark, folder)
     text = {name: F.col(name).cast("string") for name in LEDGER.names if name != "Factuurnummer"}
     text["Debet"] = by_line("Nummer", {1: F.lit("abc"), 2: F.lit("1,5")}, text["Debet"])
     text["Boekingsnummer"] = by_line("Nummer", {4: F.lit("x")}, text["Boekingsnummer"])

@@ -30,11 +30,12 @@ from ledgerloom.plans.staging import stage
 from ledgerloom.plans.transactions import transaction_details, with_running_balance
 from ledgerloom.registry import inputs
 from ledgerloom.registry.inputs import VERSIONS
+from ledgerloom.registry.inputs import saved_ledger as ledger
 from ledgerloom.schema import ACCOUNT_MART, LEDGER, TRANSACTION_MART
 from ledgerloom.session import new_folder
 from ledgerloom.sources import files, logs
 from ledgerloom.sources.inventory import file_inventory
-from ledgerloom.sources.sample import AS_OF, ledger
+from ledgerloom.sources.sample import AS_OF
 from ledgerloom.sources.store import VersionStore, migrated
 from ledgerloom.streaming.incremental import ingest_available
 

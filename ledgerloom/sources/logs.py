@@ -128,32 +128,25 @@ def finished_commands(lines: DataFrame) -> DataFrame:
 def run_log_status(lines: DataFrame) -> DataFrame:
     """The latest command of all and of each type; ``info`` where there is none.
 
-    One pass that keeps one row per type, so the log may be of any length.
+    Grouping keeps one row per type and task, so the log may be of any length.
     """
-    finished = finished_commands(lines)
-    latest = {"last": F.lit(True)}
-    for command in COMMANDS:
-        latest[command] = F.col("command").startswith(f"dbt {command}")
-    row = F.struct("command", "at", "status")
-    # ``max_by`` passes over rows whose ordering value is NULL.
-    found = finished.agg(
-        *[
-            F.max_by(row, F.when(condition, F.col("line"))).alias(name)
-            for name, condition in latest.items()
-        ]
+    command = F.col("command")
+    kind = F.coalesce(
+        *[F.when(command.startswith(f"dbt {name}"), name) for name in COMMANDS], F.lit("other")
     )
-    return found.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("scope"),
-                        F.col(f"{name}.command").alias("command"),
-                        F.col(f"{name}.at").alias("at"),
-                        F.coalesce(F.col(f"{name}.status"), F.lit("info")).alias("status"),
-                    )
-                    for name in latest
-                ]
-            )
-        )
+    newest = F.max_by(F.struct("line", "command", "at", "status"), "line").alias("newest")
+    by_kind = finished_commands(lines).groupBy(kind.alias("kind")).agg(newest)
+    scoped = (
+        by_kind.select(F.explode(F.array("kind", F.lit("last"))).alias("scope"), "newest.*")
+        .groupBy("scope")
+        .agg(newest)
+    )
+    scopes = lines.sparkSession.createDataFrame(
+        [("last",), *[(name,) for name in COMMANDS]], "scope string"
+    )
+    return scopes.join(scoped, "scope", "left").select(
+        "scope",
+        "newest.command",
+        "newest.at",
+        F.coalesce("newest.status", F.lit("info")).alias("status"),
     )
