@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def _columns(spark: SparkSession, name: str, paths: list[str]) -> tuple[str, ...
         if name.endswith(".json"):
             return tuple(reader.option("primitivesAsString", "true").json(paths).columns)
         return tuple(reader.parquet(paths[0]).columns)
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return None
 
 
