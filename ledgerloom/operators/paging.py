@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.prefix import row_position
@@ -20,13 +20,18 @@ def page(
     limit: int | None = None,
     offset: int = 0,
     top_k_rows: int = TOP_K_ROWS,
+    newest_by: str | None = None,
 ) -> DataFrame:
     """Rows ``offset`` .. ``offset + limit`` of the order; no limit means all.
 
     ``order`` must be total, or which of the tied rows fall on a page is open.
+    ``newest_by`` names a date column the order begins with, descending: days too
+    old for the page are then left out before anything is sorted.
     """
     if limit is None and not offset:
         return frame.orderBy(*order)
+    if newest_by is not None and limit is not None:
+        frame = _recent_enough(frame, newest_by, limit + offset)
     if limit is not None and limit + offset <= top_k_rows:
         return frame.orderBy(*order).offset(offset).limit(limit)
     numbered = row_position(frame, order, "_position", hot_rows=top_k_rows)
@@ -34,3 +39,23 @@ def page(
     if limit is not None:
         wanted &= F.col("_position") <= offset + limit
     return numbered.where(wanted).orderBy("_position").drop("_position")
+
+
+def _recent_enough(frame: DataFrame, day: str, rows: int) -> DataFrame:
+    """Rows of the newest days that together hold at least ``rows`` rows.
+
+    Without this every task would keep and send a full page. Counting takes one
+    column and leaves one row per day of the calendar; only one date returns.
+    """
+    newest_first = Window.orderBy(F.col("_day").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    per_day = frame.groupBy(F.col(day).alias("_day")).agg(F.count(F.lit(1)).alias("_rows"))
+    reached = (
+        per_day.where(F.col("_day").isNotNull())
+        .withColumn("_so_far", F.sum("_rows").over(newest_first))
+        .where(F.col("_so_far") >= rows)
+        .agg(F.max("_day"))
+        .first()[0]
+    )
+    return frame if reached is None else frame.where(F.col(day) >= F.lit(reached))

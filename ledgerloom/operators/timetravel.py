@@ -182,7 +182,12 @@ def consolidate(
             .where(F.col("_rank") == 1)
             .drop("_rank")
         )
-    return rows.orderBy(DATE) if ordered else rows
+    return rows.orderBy(*_by_date(rows)) if ordered else rows
+
+
+def _by_date(rows: DataFrame) -> list[str]:
+    """By date; the further columns let a sort cut through a crowded day."""
+    return [name for name in (DATE, *BUSINESS_KEY, *LINE_ORDER) if name in rows.columns]
 
 
 def consolidated_view(
@@ -211,7 +216,7 @@ def audit_trail(
         F.col("snapshot_id").alias(VERSION), F.col("created").alias("_version_created")
     )
     tagged = rows.join(created, VERSION).withColumnRenamed(VERSION, "_version_file")
-    return tagged.orderBy("_version_created", DATE) if ordered else tagged
+    return tagged.orderBy("_version_created", *_by_date(tagged)) if ordered else tagged
 
 
 def audited_versions(audit: DataFrame) -> DataFrame:

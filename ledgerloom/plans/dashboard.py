@@ -165,7 +165,7 @@ class Dashboard:
 
     def transaction_details(self, limit: int | None = 1000, offset: int = 0) -> DataFrame:
         rows = self.transactions.select(*TRANSACTION_COLUMNS, *self._order_only(TRANSACTION_COLUMNS))
-        return page(rows, _newest_first(), limit, offset).select(*TRANSACTION_COLUMNS)
+        return self._newest(rows, limit, offset).select(*TRANSACTION_COLUMNS)
 
     def transaction_details_count(self) -> DataFrame:
         return self.transactions.agg(F.count(F.lit(1)).alias("count"))
@@ -176,7 +176,7 @@ class Dashboard:
         rows = spec.apply(self.transactions).select(
             *FILTERED_COLUMNS, *self._order_only(FILTERED_COLUMNS)
         )
-        return page(rows, _newest_first(), limit, offset).select(*FILTERED_COLUMNS)
+        return self._newest(rows, limit, offset).select(*FILTERED_COLUMNS)
 
     def transaction_stats(self) -> DataFrame:
         """One row. Grouping by both counted columns first leaves little to count
@@ -377,7 +377,7 @@ class Dashboard:
         newest = self.transactions.select(
             *TRANSACTION_COLUMNS, *self._order_only(TRANSACTION_COLUMNS)
         )
-        newest = page(newest, _newest_first(), fetched)
+        newest = self._newest(newest, fetched)
         order = [
             F.col("account_code").asc_nulls_last(),
             F.col("transaction_date").asc_nulls_last(),
@@ -386,6 +386,10 @@ class Dashboard:
         rows = page(newest, order, limit, offset).select(*TRANSACTION_COLUMNS)
         return Page(rows, newest.count())
 
+    @staticmethod
+    def _newest(rows: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
+        return page(rows, _newest_first(), limit, offset, newest_by="transaction_date")
+
     @staticmethod
     def _order_only(shown) -> list[str]:
         return [name for name in LINE if name not in shown]

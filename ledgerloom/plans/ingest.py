@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.operators.align import union_aligned
 from ledgerloom.operators.filters import anti_join
-from ledgerloom.sources.files import Export, clean, discover, exports, read_exports, union_aligned
+from ledgerloom.sources.files import Export, clean, discover, exports, read_exports
 from ledgerloom.sources.store import MEGABYTE, PREFIX, VERSION, VersionStore, timestamp
 
 STATUS = T.StructType(

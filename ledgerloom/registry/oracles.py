@@ -687,6 +687,10 @@ FROM (SELECT count(*) AS n, CAST(min(Boekdatum) AS VARCHAR) AS first_day,
              Credit NULLS LAST) AS n
   FROM versions) WHERE n = 1"""
     ),
+    "relaxed_union": on_ledger(
+        "SELECT CodeGrootboekrekening, Boekingsnummer, CAST(Nummer AS VARCHAR) AS Nummer, "
+        "CAST(Debet AS DOUBLE) AS Debet FROM ledger"
+    ),
     "audit_trail": on_versions(
         f"SELECT version_id AS _version_file, created AS _version_created, {STORED} FROM versions "
         "WHERE CodeGrootboekrekening = '42' "

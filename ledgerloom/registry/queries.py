@@ -18,7 +18,7 @@ from ledgerloom.functions.rules import (
     check_text,
     display_text,
 )
-from ledgerloom.operators import timetravel
+from ledgerloom.operators import align, timetravel
 from ledgerloom.operators.filters import FilterSpec, SourceSelection, semi_join
 from ledgerloom.operators.paging import page
 from ledgerloom.plans import quality
@@ -188,6 +188,21 @@ def consolidated(spark, folder):
     return rows.select("version_id", *STORED)
 
 
+def relaxed_union(spark, folder):
+    """Two halves of the ledger that differ in column order and types."""
+    rows = ledger(spark, folder)
+    older = F.year("Boekdatum") <= 1998
+    first = rows.where(older).select("CodeGrootboekrekening", "Boekingsnummer", "Nummer", "Debet")
+    second = rows.where(~older).select(
+        F.col("Debet").cast("double"),
+        F.col("Nummer").cast("string"),
+        F.col("Boekingsnummer").cast("decimal(20,0)"),
+        "CodeGrootboekrekening",
+    )
+    union = align.union_relaxed(first, second)
+    return union.withColumn("Boekingsnummer", F.col("Boekingsnummer").cast("bigint"))
+
+
 def audit_account(store):
     trail = timetravel.audit_trail(
         store, "42", dt.date(1997, 1, 1), dt.date(2000, 12, 31), ordered=False
@@ -555,6 +570,7 @@ QUERIES: dict[str, Query] = {
     "as_of_batch": as_of_batch,
     "compare_versions": on_store(lambda v: timetravel.compare_versions(v, FIRST.id, SECOND.id)),
     "changes_since": on_store(lambda v: timetravel.changes_since(v, FIRST.id).drop("size_mb")),
+    "relaxed_union": relaxed_union,
     "consolidated": consolidated,
     "audit_trail": on_store(audit_account),
     "audit_versions": on_store(audit_versions),

@@ -12,7 +12,6 @@ from collections import defaultdict
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.operators.align import add_missing, cast_ledger
 from ledgerloom.schema import CORE_COLUMNS, LEDGER
 from ledgerloom.sources.store import load_metadata
 
@@ -148,29 +148,6 @@ def read_exports(spark: SparkSession, sources: Iterable[Export]) -> list[DataFra
     return frames
 
 
-def add_missing(rows: DataFrame) -> DataFrame:
-    """Absent ledger columns as NULL; the ledger's columns first, extras kept."""
-    extras = [name for name in rows.columns if name not in LEDGER.names]
-    return rows.select(
-        *[
-            F.col(field.name) if field.name in rows.columns else _null(field)
-            for field in LEDGER
-        ],
-        *extras,
-    )
-
-
-def _null(field: T.StructField) -> Column:
-    return F.lit(None).cast(field.dataType).alias(field.name)
-
-
-def cast_ledger(rows: DataFrame) -> DataFrame:
-    """The ledger's types; a value that does not fit becomes NULL."""
-    return rows.withColumns(
-        {field.name: F.col(field.name).try_cast(field.dataType) for field in LEDGER}
-    )
-
-
 def clean(rows: DataFrame, loaded_at: dt.datetime, source: Column | None = None) -> DataFrame:
     """Ledger rows ready to store: aligned, cast, stamped, and dated.
 
@@ -181,20 +158,6 @@ def clean(rows: DataFrame, loaded_at: dt.datetime, source: Column | None = None)
     return stamped.where(F.col("Boekdatum").isNotNull())
 
 
-def union_aligned(frames: list[DataFrame]) -> DataFrame:
-    """All rows; columns only some frames have are text, and NULL in the others."""
-    known = set(LEDGER.names) | {"_loaded_at", "_source_file", "_data_version"}
-    as_text = [
-        frame.withColumns(
-            {name: F.col(name).cast("string") for name in frame.columns if name not in known}
-        )
-        if set(frame.columns) - known
-        else frame
-        for frame in frames
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), as_text)
-
-
 def write_rows(rows: DataFrame, path: str) -> None:
     """Export a result to Parquet."""
     rows.write.mode("overwrite").parquet(path)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ledgerloom.operators.align import add_missing, cast_ledger
 from ledgerloom.schema import INGESTION_LOG, LEDGER, LOADED_LEDGER, SNAPSHOT, VERSION_MANIFEST
 
 VERSION = "version_id"
@@ -139,8 +140,9 @@ class VersionStore:
         source_file: str,
         operation: str = "append",
     ) -> None:
-        """Write one version and commit it."""
-        self.write_rows(rows.withColumn(VERSION, F.lit(version_id)))
+        """Write one version, in the ledger's types, and commit it."""
+        aligned = cast_ledger(add_missing(rows))
+        self.write_rows(aligned.withColumn(VERSION, F.lit(version_id)))
         self.commit(
             self.version_sizes([version_id]).select(
                 F.col(VERSION).alias("snapshot_id"),
@@ -168,7 +170,7 @@ class VersionStore:
         )
 
     def load_raw(self, rows: DataFrame, source_name: str, loaded_at: dt.datetime) -> str:
-        """Append rows as they are, with load metadata only. Returns the version."""
+        """Append rows unfiltered, with load metadata. Returns the version."""
         version_id = f"{PREFIX}_{loaded_at:%Y%m%d_%H%M%S}"
         stamped = rows.withColumns(load_metadata(F.lit(source_name), loaded_at))
         self.write_version(stamped, version_id, loaded_at, source_name)

@@ -80,3 +80,13 @@ def test_pages(spark, top_k_rows):
     assert ids(5, 60) == []
     assert ids(None, 45) == [4, 3, 2, 1, 0]
     assert ids(None, 0) == list(range(49, -1, -1))
+
+
+@pytest.mark.parametrize("limit, offset", [(3, 0), (3, 4), (5, 9), (50, 0), (2, 11)])
+def test_old_days_are_left_out_of_a_page(spark, limit, offset):
+    days = ["2024-01-03"] * 5 + ["2024-01-02"] * 4 + [None] * 3
+    frame = spark.createDataFrame(list(enumerate(days)), "id int, day string")
+    frame = frame.withColumn("day", F.col("day").cast("date"))
+    order = [F.col("day").desc_nulls_last(), F.col("id").asc()]
+    found = page(frame, order, limit, offset, newest_by="day").collect()
+    assert [r.id for r in found] == list(range(12))[offset : offset + limit]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import timetravel as tt
+from ledgerloom.operators.align import union_relaxed
 from ledgerloom.schema import LEDGER, LOADED_LEDGER, SNAPSHOT
 from ledgerloom.sources.store import VersionNotFound, VersionStore, migrated
 
@@ -188,3 +189,20 @@ def test_raw_load_and_declared_table(spark, ledger_rows, tmp_path):
     spark.sql("MSCK REPAIR TABLE ledger_declared")
     assert spark.table("ledger_declared").count() == 1
     spark.sql("DROP TABLE ledger_declared")
+
+
+def test_raw_types_are_aligned_at_write(spark, tmp_path):
+    store = VersionStore(spark, str(tmp_path))
+    raw = spark.sql("select '80' as CodeGrootboekrekening, 1.5D as Debet, 'x' as Nummer, 7 as own")
+    row = store.read(store.load_raw(raw, "x.csv", MAR)).first()
+    assert (float(row.Debet), row.Nummer, row.Boekdatum) == (1.5, None, None)
+
+
+def test_relaxed_union(spark):
+    first = spark.sql("select 1 as a, 'x' as b")
+    second = spark.sql("select 2.5D as b, 3L as a")
+    found = union_relaxed(first, second)
+    assert dict(found.dtypes) == {"a": "bigint", "b": "string"}
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "x"), (3, "2.5")]
+    with pytest.raises(ValueError):
+        union_relaxed(first, second.drop("a"))
