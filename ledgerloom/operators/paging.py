@@ -21,17 +21,19 @@ def page(
     offset: int = 0,
     top_k_rows: int = TOP_K_ROWS,
     newest_by: str | None = None,
+    year: str | None = None,
 ) -> DataFrame:
     """Rows ``offset`` .. ``offset + limit`` of the order; no limit means all.
 
     ``order`` must be total, or which of the tied rows fall on a page is open.
     ``newest_by`` names a date column the order begins with, descending: days too
-    old for the page are then left out before anything is sorted.
+    old for the page are then left out before anything is sorted. ``year`` names
+    the column of that date's year, if the rows are stored by it.
     """
     if limit is None and not offset:
         return frame.orderBy(*order)
     if newest_by is not None and limit is not None:
-        frame = _recent_enough(frame, newest_by, limit + offset)
+        frame = _recent_enough(frame, newest_by, limit + offset, year)
     if limit is not None and limit + offset <= top_k_rows:
         return frame.orderBy(*order).offset(offset).limit(limit)
     numbered = row_position(frame, order, "_position", hot_rows=top_k_rows)
@@ -41,7 +43,7 @@ def page(
     return numbered.where(wanted).orderBy("_position").drop("_position")
 
 
-def _recent_enough(frame: DataFrame, day: str, rows: int) -> DataFrame:
+def _recent_enough(frame: DataFrame, day: str, rows: int, year: str | None) -> DataFrame:
     """Rows of the newest days that together hold at least ``rows`` rows.
 
     Without this every task would keep and send a full page. Counting takes one
@@ -58,4 +60,7 @@ def _recent_enough(frame: DataFrame, day: str, rows: int) -> DataFrame:
         .agg(F.max("_day"))
         .first()[0]
     )
-    return frame if reached is None else frame.where(F.col(day) >= F.lit(reached))
+    if reached is None:
+        return frame
+    recent = frame.where(F.col(day) >= F.lit(reached))
+    return recent if year is None else recent.where(F.col(year) >= reached.year)

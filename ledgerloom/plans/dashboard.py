@@ -388,8 +388,15 @@ class Dashboard:
 
     @staticmethod
     def _newest(rows: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
-        return page(rows, _newest_first(), limit, offset, newest_by="transaction_date")
+        return page(
+            rows,
+            _newest_first(),
+            limit,
+            offset,
+            newest_by="transaction_date",
+            year="transaction_year",
+        )
 
     @staticmethod
     def _order_only(shown) -> list[str]:
-        return [name for name in LINE if name not in shown]
+        return [name for name in (*LINE, "transaction_year") if name not in shown]

@@ -29,6 +29,7 @@ HEADER_JOBS = 16
 
 # The last part of a path with a known extension, but not Spark's own part files.
 _SOURCE = r"([^/=]+\.(?:csv|json|parquet))(?:/part-[^/]*)?$"
+_ROOT = r"^(.*[^/=]+\.(?:csv|json|parquet))(?:/part-[^/]*)?$"
 _LISTING = "name string, path string, size bigint, modified timestamp_ntz"
 
 
@@ -84,15 +85,17 @@ class Export:
         return self.columns is not None and set(CORE_COLUMNS) <= set(self.columns)
 
 
-def exports(spark: SparkSession, files: DataFrame) -> list[Export]:
+def exports(spark: SparkSession, files: DataFrame, whole: bool = True) -> list[Export]:
     """Sources of the listed files, with their columns.
 
-    Only names and headers come to the driver. A CSV source costs one job that
+    ``whole`` takes a source written in parts by its folder, so that one name per
+    source comes to the driver; otherwise just the listed parts belong to it. A CSV source costs one job that
     reads a single line, a Parquet source one footer; JSON has no header and is
     read through. The parts of one source share a header.
     """
     grouped = defaultdict(list)
-    for row in files.select("name", "path").orderBy("path").collect():
+    path = F.regexp_extract("path", _ROOT, 1) if whole else F.col("path")
+    for row in files.select("name", path.alias("path")).distinct().orderBy("path").collect():
         grouped[row.name].append(row.path)
     with ThreadPoolExecutor(HEADER_JOBS) as pool:
         return list(

@@ -57,7 +57,7 @@ def _arrivals(store: VersionStore, folder: str, files_per_batch: int) -> DataFra
 
 def _ingest_batch(store: VersionStore, stream: str, clock: Callable[[], dt.datetime]):
     def ingest(files: DataFrame, batch: int) -> None:
-        sources = exports(store.spark, files)
+        sources = exports(store.spark, files, whole=False)
         if sources:
             ingest_exports(store, sources, clock(), f"{stream}_b{batch}")
 
