@@ -28,6 +28,17 @@ def marts(ledger: DataFrame, as_of: dt.date, updated_at: dt.datetime | None = No
     )
 
 
+def save_snapshot(ledger: DataFrame, folder: str) -> DataFrame:
+    """Write consolidated ledger rows below ``folder`` and read them back.
+
+    The marts and their tests read the ledger several times; saved, it is
+    consolidated once.
+    """
+    path = f"{folder}/ledger_snapshot"
+    ledger.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    return ledger.sparkSession.read.schema(ledger.schema).parquet(path)
+
+
 def save_marts(
     ledger: DataFrame, folder: str, as_of: dt.date, updated_at: dt.datetime | None = None
 ) -> Marts:

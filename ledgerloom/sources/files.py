@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.operators.align import add_missing, cast_ledger
+from ledgerloom.operators.align import add_missing, cast_ledger, union_aligned
 from ledgerloom.schema import CORE_COLUMNS, LEDGER
 from ledgerloom.sources.store import load_metadata
 
@@ -30,6 +30,7 @@ HEADER_JOBS = 16
 # The last part of a path with a known extension, but not Spark's own part files.
 _SOURCE = r"([^/=]+\.(?:csv|json|parquet))(?:/part-[^/]*)?$"
 _ROOT = r"^(.*[^/=]+\.(?:csv|json|parquet))(?:/part-[^/]*)?$"
+_SOURCE_FILE = T.StructField("_source_file", T.StringType())
 _LISTING = "name string, path string, size bigint, modified timestamp_ntz"
 
 
@@ -151,6 +152,18 @@ def read_exports(spark: SparkSession, sources: Iterable[Export]) -> list[DataFra
     return frames
 
 
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of all readable exports below a folder, in the ledger's types.
+
+    Values that do not fit are NULL, extra columns kept as text, and unreadable
+    exports left out; with none readable the result is empty.
+    """
+    frames = read_exports(spark, exports(spark, discover(spark, folder)))
+    if not frames:
+        return spark.createDataFrame([], T.StructType([*LEDGER.fields, _SOURCE_FILE]))
+    return union_aligned([cast_ledger(add_missing(rows)) for rows in frames])
+
+
 def clean(rows: DataFrame, loaded_at: dt.datetime, source: Column | None = None) -> DataFrame:
     """Ledger rows ready to store: aligned, cast, stamped, and dated.
 

@@ -99,6 +99,16 @@ def test_second_run_skips_and_force_repeats(store, landing):
     assert tuple(status_counts(forced).first()) == (4, 0, 2)
 
 
+def test_reading_without_ingesting(spark, landing, tmp_path):
+    (landing / "damaged.parquet").write_text("no parquet")
+    rows = files.read_ledger(spark, str(landing))
+    assert rows.columns[:19] == HEADER and {"_source_file", "Extra", "Other"} <= set(rows.columns)
+    assert rows.groupBy("_source_file").count().count() == 5
+    files.write_rows(rows.select(*HEADER), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == rows.count() == 9
+    assert files.read_ledger(spark, str(tmp_path / "nothing")).count() == 0
+
+
 def test_empty_landing(store, tmp_path):
     statuses = ingest_folder(store, str(tmp_path / "nothing"), NOW)
     assert statuses.count() == 0 and tuple(status_counts(statuses).first()) == (0, 0, 0)
