@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,20 +58,33 @@ def ingest_exports(
     versions make them visible. The same ``label`` writes the same versions.
     """
     accepted = [source for source in sources if source.accepted]
-    versions = {source.name: _version_id(source.name, label) for source in accepted}
+    versions = {}
     counted = {}
     if accepted:
         spark = store.spark
+        named = spark.createDataFrame([(source.name,) for source in accepted], "name string")
+        versions = {
+            row.name: f"{PREFIX}_{row.part}_{label}"
+            for row in named.select("name", _version_part("name").alias("part")).collect()
+        }
         frames = [clean(rows, loaded_at) for rows in read_exports(spark, accepted)]
-        stem = F.replace(F.col("_source_file"), F.lit("."), F.lit("_"))
-        version = F.concat(F.lit(f"{PREFIX}_"), stem, F.lit(f"_{label}"))
+        version = F.concat(F.lit(f"{PREFIX}_"), _version_part("_source_file"), F.lit(f"_{label}"))
         store.write_rows(union_aligned(frames).withColumn(VERSION, version))
         counted = _commit(store, versions, loaded_at)
     return [_status(source, versions.get(source.name), counted) for source in sources]
 
 
-def _version_id(name: str, label: str) -> str:
-    return f"{PREFIX}_{name.replace('.', '_')}_{label}"
+def _version_part(name: str) -> Column:
+    """A source's name as part of a folder's name.
+
+    Where that takes more than replacing the dot of the extension, a digest keeps
+    apart names that would become alike.
+    """
+    plain = F.regexp_replace(name, "[^A-Za-z0-9_-]", "_")
+    stem = F.substring_index(name, ".", 1)
+    usual = F.concat_ws("_", stem, F.substring_index(name, ".", -1)) == plain
+    digest = F.substring(F.md5(name), 1, 8)
+    return F.when(usual, plain).otherwise(F.concat_ws("_", plain, digest))
 
 
 def _commit(store: VersionStore, versions: dict[str, str], loaded_at: dt.datetime) -> dict[str, int]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.money import as_double
 from ledgerloom.functions.rules import (
     apply_rules,
     check_account_code,
@@ -61,7 +62,7 @@ def shown(frame: DataFrame) -> DataFrame:
         value = F.col(f"`{field.name}`")
         kind = field.dataType
         if isinstance(kind, T.DecimalType):
-            value = F.round(value, 2).cast("double")
+            value = as_double(value)
         elif isinstance(kind, T.DateType):
             value = F.date_format(value, "yyyy-MM-dd")
         elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):

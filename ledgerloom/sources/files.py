@@ -12,6 +12,7 @@ from collections import defaultdict
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions.money import column
 from ledgerloom.operators.align import add_missing, cast_ledger, union_aligned
 from ledgerloom.schema import CORE_COLUMNS, LEDGER
 from ledgerloom.sources.store import load_metadata
@@ -27,16 +29,32 @@ FORMATS = ("csv", "json", "parquet")
 FILE_GLOB = "*.{csv,json,parquet}"
 HEADER_JOBS = 16
 
-# The last part of a path with a known extension, but not Spark's own part files.
-_SOURCE = r"([^/=]+\.(?:csv|json|parquet))(?:/part-[^/]*)?$"
+# A path up to the export it belongs to: the file itself, or the folder of a part.
 _ROOT = r"^(.*[^/=]+\.(?:csv|json|parquet))(?:/part-[^/]*)?$"
 _SOURCE_FILE = T.StructField("_source_file", T.StringType())
 _LISTING = "name string, path string, size bigint, modified timestamp_ntz"
 
 
 def source_name(path: Column | str) -> Column:
-    """The export a file belongs to."""
-    return F.regexp_extract(path, _SOURCE, 1)
+    """The export a file belongs to: its folder's name for a part, else its own.
+
+    Computed per row, hence without a pattern to search for.
+    """
+    path = column(path)
+    file = F.substring_index(path, "/", -1)
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    is_part = file.startswith("part-")
+    in_export = reduce(
+        lambda a, b: a | b, [folder.endswith(f".{extension}") for extension in FORMATS]
+    )
+    return F.when(is_part & in_export, F.substring_index(folder, "=", -1)).otherwise(file)
+
+
+def _row_source() -> Column:
+    """The export a row was read from. A row's path is URL-encoded, but for ``+``."""
+    encoded = source_name(F.col("_metadata.file_path"))
+    plain = F.replace(encoded, F.lit("+"), F.lit("%2B"))
+    return F.when(encoded.contains("%"), F.url_decode(plain)).otherwise(encoded)
 
 
 def discover(spark: SparkSession, folder: str, glob: str = FILE_GLOB) -> DataFrame:
@@ -148,7 +166,7 @@ def read_exports(spark: SparkSession, sources: Iterable[Export]) -> list[DataFra
         if form == "csv":
             reader = reader.option("header", "true").option("mode", "PERMISSIVE")
         rows = reader.format(form).load(paths)
-        frames.append(rows.withColumn("_source_file", source_name(F.col("_metadata.file_path"))))
+        frames.append(rows.withColumn("_source_file", _row_source()))
     return frames
 
 

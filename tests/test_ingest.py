@@ -182,3 +182,19 @@ def test_totals_by_name_and_by_place(spark):
     assert file_totals(placed).first().total_debit == 6000.0
     negative = spark.sql("select 'f' as _source_file, 'x' as debit, -5 as soll, 7 as credit_debit")
     assert file_totals(negative).first().total_debit == 0.0
+
+
+def test_names_with_odd_characters_are_kept_apart(store, tmp_path):
+    names = ["my file+1%.csv", "a.b.csv", "a_b.csv", "x=y.csv", "é.csv"]
+    folder = tmp_path / "odd"
+    folder.mkdir()
+    for count, name in enumerate(names, 1):
+        csv(folder / name, [line()] * count)
+    status = {r.file: r for r in ingest_folder(store, str(folder), NOW).collect()}
+    assert {n: r.row_count for n, r in status.items()} == {n: i for i, n in enumerate(names, 1)}
+    assert len({r.version_id for r in status.values()}) == 5
+    assert status["a_b.csv"].version_id == "financial_transactions_a_b_csv_20240701_093000"
+    stored = store.read_all().groupBy("_source_file").count().collect()
+    assert {r._source_file: r["count"] for r in stored} == {n: i for i, n in enumerate(names, 1)}
+    assert store.read(status["my file+1%.csv"].version_id).count() == 1
+    assert {r.status for r in ingest_folder(store, str(folder), NOW).collect()} == {"skipped"}

@@ -74,7 +74,10 @@ def test_positions_count_every_row_once(spark):
 def test_pages(spark, top_k_rows):
     frame = spark.range(50).repartition(3)
     order = [F.col("id").desc()]
-    ids = lambda *args: [r.id for r in page(frame, order, *args, top_k_rows=top_k_rows).collect()]
+
+    def ids(*args):
+        return [r.id for r in page(frame, order, *args, top_k_rows=top_k_rows).collect()]
+
     assert [len(ids(20, start)) for start in (0, 20, 40)] == [20, 20, 10]
     assert ids(20, 20) == list(range(29, 9, -1))
     assert ids(5, 60) == []
