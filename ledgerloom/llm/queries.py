@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, quality_rules
+from ledgerloom.llm import bpe, quality_rules, simhash
 from ledgerloom.llm.words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash.near_duplicates(documents(spark, folder), size=3, radius=2)
+    return rows.withColumn("fingerprint", simhash.hexadecimal("fingerprint"))
+
+
 def quality(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality_rules.ruled(documents(spark, folder))
     return rows.select(
@@ -33,6 +38,7 @@ def bpe_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash": near_duplicates,
     "op2_quality_rules": quality,
     "op8_bpe": bpe_digests,
 }
