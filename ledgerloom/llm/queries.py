@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, quality_rules, simhash
+from ledgerloom.llm import bpe, mixing, oracles, quality_rules, sharding, simhash
 from ledgerloom.llm.words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,18 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def mixture(spark: SparkSession, folder: str) -> DataFrame:
+    rows = mixing.mixed(documents(spark, folder))
+    return rows.select("doc_id", "source", "copy", "n_copies", "shuffle_key", "text")
+
+
+def shards(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sharding.sharded(documents(spark, folder))
+    return rows.select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
+    )
+
+
 def bpe_digests(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder).select("doc_id", "text"))
 
@@ -40,6 +52,8 @@ def bpe_digests(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": near_duplicates,
     "op2_quality_rules": quality,
+    "op3_mixing": mixture,
+    "op7_sharding": shards,
     "op8_bpe": bpe_digests,
 }
 
@@ -49,4 +63,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
