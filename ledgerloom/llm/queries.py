@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe, mixing, oracles, quality_rules, sharding, simhash
+from ledgerloom.llm import bpe, language, mixing, oracles, quality_rules, sharding, simhash
 from ledgerloom.llm.words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,12 +49,21 @@ def bpe_digests(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder).select("doc_id", "text"))
 
 
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    rows = documents(spark, folder)
+    model = language.learn(rows.where(~language.held_out()))
+    return language.identified(rows, model).select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": near_duplicates,
     "op2_quality_rules": quality,
     "op3_mixing": mixture,
     "op7_sharding": shards,
     "op8_bpe": bpe_digests,
+    "op10_language": languages,
 }
 
 
