@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, language, mixing, oracles, quality_rules, sharding, simhash
+from ledgerloom.llm import bpe, language, minhash, mixing, oracles, pii, quality_rules, sharding, simhash
 from ledgerloom.llm.words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +50,15 @@ def bpe_digests(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder).select("doc_id", "text"))
 
 
+def pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pii.pseudonymised(documents(spark, folder))
+    return rows.select("doc_id", "text", F.size("pii").alias("n_pii"), F.col("pii").alias("kinds"))
+
+
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.compared_with_next(documents(spark, folder))
+
+
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     rows = documents(spark, folder)
     model = language.learn(rows.where(~language.held_out()))
@@ -61,6 +71,8 @@ QUERIES: dict[str, Query] = {
     "op1_simhash": near_duplicates,
     "op2_quality_rules": quality,
     "op3_mixing": mixture,
+    "op4_pii": pseudonyms,
+    "op6_minhash": fingerprints,
     "op7_sharding": shards,
     "op8_bpe": bpe_digests,
     "op10_language": languages,
