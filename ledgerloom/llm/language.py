@@ -12,7 +12,7 @@ number of languages, so it can be gathered and broadcast. Per language at most a
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every
 text if there are no labelled rows. Ties go to the language first in the alphabet. Repeated
-rows are labelled alike. Extra columns are not read.
+rows are labelled alike. Extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -256,44 +256,34 @@ def _counts(batches):
 
 
 def identified(
-    docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, model: Model, text: str = "text", with_spans: bool = False
 ) -> DataFrame:
-    """``key, lang_pred, score`` of each row."""
-    return _labelled(docs.select(docs[key].alias("key"), docs[text].alias("text")), model).drop(
-        "text"
-    ).withColumnRenamed("key", key)
-
-
-def spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, lang_pred, score, spans`` of each row: language and letters of each span."""
-    return _labelled(
-        docs.select(docs[key].alias("key"), docs[text].alias("text")), model, True
-    ).withColumnRenamed("key", key)
-
-
-def _labelled(rows: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
-    """``rows`` with columns ``key`` (any type) and ``text``; the text is not returned."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    """The rows with ``lang_pred`` and ``score``, and ``spans`` (language and letters of each)
+    if asked for. Columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score", "spans")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
 
     def work(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(place).to_pylist()]
             known = shared.value
             if known.languages and texts:
                 names, score, labels, lengths = predict(known, texts)
             else:
                 names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 labels = lengths = np.zeros(0, np.int64)
-            columns = [batch.column(0), pa.array(names, pa.string()), pa.array(score)]
+            added = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score, pa.float64())}
             if with_spans:
-                columns.append(_spans(known, texts, labels, lengths))
+                added["spans"] = _spans(known, texts, labels, lengths)
             yield pa.RecordBatch.from_arrays(
-                columns, names=["key", "lang_pred", "score", "spans"][: len(columns)]
+                [*batch.columns, *added.values()], names=[*batch.schema.names, *added]
             )
 
-    kind = rows.schema["key"].dataType.simpleString()
-    added = ", spans array<struct<lang: string, letters: bigint>>" if with_spans else ""
-    return rows.mapInArrow(work, f"key {kind}, lang_pred string, score double{added}")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    fields += ["lang_pred string", "score double"]
+    fields += ["spans array<struct<lang: string, letters: bigint>>"] if with_spans else []
+    return docs.mapInArrow(work, ", ".join(fields))
 
 
 def _spans(model: Model, texts: list[str], labels: np.ndarray, lengths: np.ndarray) -> pa.Array:

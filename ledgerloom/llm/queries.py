@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, language, minhash, mixing, oracles, pii, quality_rules, sharding, simhash
+from ledgerloom.llm import bpe, language, licenses, minhash, mixing, oracles, pii, quality_rules, sharding, simhash
 from ledgerloom.llm.words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,11 +62,15 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     rows = documents(spark, folder)
     model = language.learn(rows.where(~language.held_out()))
-    return language.identified(rows, model).select(
+    return language.identified(rows.select("doc_id", "text"), model).select(
         "doc_id", language.held_out().alias("held_out"), "lang_pred", "score"
     )
 
 
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scanned(documents(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": near_duplicates,
     "op2_quality_rules": quality,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op6_minhash": fingerprints,
     "op7_sharding": shards,
     "op8_bpe": bpe_digests,
+    "op9_licenses": license_scan,
     "op10_language": languages,
 }
 
