@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, language, licenses, minhash, mixing, oracles, pii, quality_rules, sharding, simhash
+from ledgerloom.llm import bpe, kneser_ney, language, licenses, minhash, mixing, oracles, pii, quality_rules, sharding, simhash
 from ledgerloom.llm.words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,11 +71,18 @@ def license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scanned(documents(spark, folder))
 
 
+def quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    trusted = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0))
+    return kneser_ney.judged(documents(spark, folder), trusted)
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": near_duplicates,
     "op2_quality_rules": quality,
     "op3_mixing": mixture,
     "op4_pii": pseudonyms,
+    "op5_kneser_ney": quality_model,
     "op6_minhash": fingerprints,
     "op7_sharding": shards,
     "op8_bpe": bpe_digests,
