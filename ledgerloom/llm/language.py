@@ -32,7 +32,8 @@ SMOOTHING = 0.5
 SWITCH_PENALTY = 12.0
 SCRIPT_SHARE = 0.01
 RULED_OUT = -1e4
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 2_000_000  # looked at together for trigrams
+PART_CHARS = 6_000_000  # labelled together
 
 # First and last code point of the letters of a script.
 SCRIPTS = {
@@ -126,12 +127,12 @@ def viterbi(scores: np.ndarray, begins: np.ndarray, penalty: float = SWITCH_PENA
     sizes = np.diff(begins)
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] > 0]
-    labels = np.zeros(len(scores), np.int64)
+    labels = np.zeros(len(scores), np.int32)
     if not len(order):
         return labels
     at, sizes = begins[:-1][order], sizes[order]
     active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
-    best_before = np.zeros(len(scores), np.int64)
+    best_before = np.zeros(len(scores), np.int32)
     switched = np.zeros(scores.shape, bool)
     value = scores[at].astype(np.float64)
     ended = np.empty_like(value)
@@ -170,7 +171,7 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.n
     text = np.repeat(np.arange(n), counts)
     letters = np.bincount(text * languages + labels, lengths, n * languages).reshape(n, languages)
     chosen = letters.argmax(1)
-    sure = np.exp(scores)
+    sure = np.exp(scores, out=scores)
     sure = sure[np.arange(len(sure)), chosen[text]] / sure.sum(1)
     total = np.bincount(text, lengths, n)
     score = np.bincount(text, sure * lengths, n) / np.maximum(total, 1)
@@ -178,10 +179,10 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.n
     return names, np.clip(np.where(total > 0, score, 0.0), 0, 1), labels, lengths
 
 
-def _slices(texts: list[str]):
+def _slices(texts: list[str], most: int = SLICE_CHARS):
     begin, size = 0, 0
     for end, text in enumerate(texts):
-        if size and size + len(text) > SLICE_CHARS:
+        if size and size + len(text) > most:
             yield begin, end
             begin, size = end, 0
         size += len(text)
@@ -265,20 +266,25 @@ def identified(
     place = docs.columns.index(text)
 
     def work(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column(place).to_pylist()]
-            known = shared.value
-            if known.languages and texts:
-                names, score, labels, lengths = predict(known, texts)
-            else:
-                names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                labels = lengths = np.zeros(0, np.int64)
-            added = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score, pa.float64())}
-            if with_spans:
-                added["spans"] = _spans(known, texts, labels, lengths)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *added.values()], names=[*batch.schema.names, *added]
-            )
+        for whole in batches:
+            every = [t or "" for t in whole.column(place).to_pylist()]
+            for begin, end in _slices(every, PART_CHARS):
+                batch, texts = whole.slice(begin, end - begin), every[begin:end]
+                known = shared.value
+                if known.languages and texts:
+                    names, score, labels, lengths = predict(known, texts)
+                else:
+                    names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+                    labels = lengths = np.zeros(0, np.int64)
+                added = {
+                    "lang_pred": pa.array(names, pa.string()),
+                    "score": pa.array(score, pa.float64()),
+                }
+                if with_spans:
+                    added["spans"] = _spans(known, texts, labels, lengths)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *added.values()], names=[*batch.schema.names, *added]
+                )
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     fields += ["lang_pred string", "score double"]
