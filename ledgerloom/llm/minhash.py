@@ -144,8 +144,9 @@ def compared_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
         "minhash",
     )
     following = saved(_neighbours(prints.select("key", "row", "size").distinct()), "minhash-order")
-    own = prints.select("row", "print").dropDuplicates(["row"])
-    known = rows.join(following.join(own, "row"), "row")
+    own = prints.select("row", "key", "print").dropDuplicates(["row"])
+    # Both uses need just these columns of the texts, so that one shuffle serves both.
+    known = rows.select("row", "text").join(following.join(own, "row"), "row")
     beginnings = (
         known.select(
             F.col("before").alias("row"),
