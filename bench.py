@@ -10,6 +10,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -51,6 +52,7 @@ def main() -> None:
         spark__driver__memory="20g",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="ledgerloom-bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     warm_up = timed(lambda: spark.range(1000).selectExpr("sum(id)").collect())

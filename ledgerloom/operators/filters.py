@@ -10,11 +10,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Longer value lists are joined instead of spelled out in the plan.
-IN_LIST_VALUES = 1_000
-
-MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
-
 
 def _whole_numbers(name: str, values: Iterable, low: int, high: int) -> frozenset[int]:
     """All values as integers in range, or an error: never a partial list."""
@@ -51,16 +46,15 @@ class FilterSpec:
         set_field(self, "amount_categories", frozenset(self.amount_categories or ()))
 
     def is_empty(self) -> bool:
-        return self.to_column() is None
+        return self._bounded() is None and not self.account_codes
 
-    def to_column(self) -> Column | None:
-        """The conjunction of all parts that restrict; None if none does."""
+    def _bounded(self) -> Column | None:
+        """The conjunction of all parts but the accounts; None if none restricts."""
         parts = []
         for name, values in (
             ("transaction_year", self.years),
             ("transaction_quarter", self.quarters),
             ("transaction_month", self.months),
-            ("account_code", self.account_codes),
             ("amount_category", self.amount_categories),
         ):
             if values:
@@ -74,26 +68,10 @@ class FilterSpec:
         return reduce(lambda a, b: a & b, parts) if parts else None
 
     def apply(self, frame: DataFrame) -> DataFrame:
-        condition = self.to_column()
-        return frame if condition is None else frame.where(condition)
-
-    def summary(self) -> str:
-        parts = []
-        if self.years:
-            parts.append("Years: " + ", ".join(str(year) for year in sorted(self.years)))
-        if self.quarters:
-            parts.append("Quarters: " + ", ".join(f"Q{q}" for q in sorted(self.quarters)))
-        if self.months:
-            parts.append("Months: " + ", ".join(MONTHS[m - 1] for m in sorted(self.months)))
-        if self.account_codes:
-            codes = sorted(self.account_codes)
-            more = f" + {len(codes) - 3} more" if len(codes) > 3 else ""
-            parts.append("Accounts: " + ", ".join(codes[:3]) + more)
-        if self.date_range:
-            parts.append("Date Range: {} to {}".format(*self.date_range))
-        if self.search_term.strip():
-            parts.append(f"Search: '{self.search_term.strip()}'")
-        return " | ".join(parts) or "No filters applied"
+        """Accounts, of which there may be many, are joined; the rest is one predicate."""
+        condition = self._bounded()
+        rows = frame if condition is None else frame.where(condition)
+        return is_among(rows, "account_code", self.account_codes) if self.account_codes else rows
 
 
 @dataclass(frozen=True)
@@ -126,10 +104,8 @@ class SourceSelection:
 
 
 def is_among(frame: DataFrame, name: str, values: Iterable) -> DataFrame:
-    """Rows whose column is one of the values."""
-    values = sorted(values)
-    if len(values) <= IN_LIST_VALUES:
-        return frame.where(F.col(name).isin(values))
+    """Rows whose column is one of the values: a join, however many there are."""
+    values = sorted(set(values))
     wanted = frame.sparkSession.createDataFrame(
         [(value,) for value in values], f"`{name}` {frame.schema[name].dataType.simpleString()}"
     )

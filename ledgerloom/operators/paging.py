@@ -7,60 +7,60 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.prefix import row_position
-
-# Up to here a page is a top-k: every task keeps limit + offset rows and one
-# task merges them. Beyond, rows are numbered in parallel.
-TOP_K_ROWS = 100_000
-
 
 def page(
     frame: DataFrame,
     order: Sequence[Column],
     limit: int | None = None,
     offset: int = 0,
-    top_k_rows: int = TOP_K_ROWS,
     newest_by: str | None = None,
     year: str | None = None,
 ) -> DataFrame:
     """Rows ``offset`` .. ``offset + limit`` of the order; no limit means all.
 
     ``order`` must be total, or which of the tied rows fall on a page is open.
-    ``newest_by`` names a date column the order begins with, descending: days too
-    old for the page are then left out before anything is sorted. ``year`` names
-    the column of that date's year, if the rows are stored by it.
+    ``newest_by`` names a date column the order begins with, descending: only the days that
+    the page lies on are then read and sorted, so that a deep page costs no more than a
+    shallow one. ``year`` names the column of that date's year, if the rows are stored by it.
     """
     if limit is None and not offset:
         return frame.orderBy(*order)
-    if newest_by is not None and limit is not None:
-        frame = _recent_enough(frame, newest_by, limit + offset, year)
-    if limit is not None and limit + offset <= top_k_rows:
-        return frame.orderBy(*order).offset(offset).limit(limit)
-    numbered = row_position(frame, order, "_position", hot_rows=top_k_rows)
-    wanted = F.col("_position") > offset
-    if limit is not None:
-        wanted &= F.col("_position") <= offset + limit
-    return numbered.where(wanted).orderBy("_position").drop("_position")
+    if newest_by is not None:
+        frame, offset = _days_of_page(frame, newest_by, limit, offset, year)
+    rows = frame.orderBy(*order).offset(offset)
+    return rows if limit is None else rows.limit(limit)
 
 
-def _recent_enough(frame: DataFrame, day: str, rows: int, year: str | None) -> DataFrame:
-    """Rows of the newest days that together hold at least ``rows`` rows.
+def _days_of_page(
+    frame: DataFrame, day: str, limit: int | None, offset: int, year: str | None
+) -> tuple[DataFrame, int]:
+    """Rows of the days that the page lies on, and how many of them come before it.
 
-    Without this every task would keep and send a full page. Counting takes one
-    column and leaves one row per day of the calendar; only one date returns.
+    Counting takes one column and leaves one row per day of the calendar; two dates and two
+    counts return. Undated rows come last.
     """
     newest_first = Window.orderBy(F.col("_day").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     per_day = frame.groupBy(F.col(day).alias("_day")).agg(F.count(F.lit(1)).alias("_rows"))
-    reached = (
+    so_far = (
         per_day.where(F.col("_day").isNotNull())
         .withColumn("_so_far", F.sum("_rows").over(newest_first))
-        .where(F.col("_so_far") >= rows)
-        .agg(F.max("_day"))
-        .first()[0]
+        .withColumn("_before", F.col("_so_far") - F.col("_rows"))
     )
-    if reached is None:
-        return frame
-    recent = frame.where(F.col(day) >= F.lit(reached))
-    return recent if year is None else recent.where(F.col(year) >= reached.year)
+    reached = F.col("_so_far") > offset
+    enough = F.lit(False) if limit is None else F.col("_so_far") >= offset + limit
+    found = so_far.agg(
+        F.max(F.when(reached, F.col("_day"))).alias("first"),
+        F.min(F.when(reached, F.col("_before"))).alias("before"),
+        F.max(F.when(enough, F.col("_day"))).alias("last"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("dated"),
+    ).first()
+    if found["first"] is None:
+        return frame.where(F.col(day).isNull()), offset - found.dated
+    rows = frame.where((F.col(day) <= F.lit(found["first"])) | F.col(day).isNull())
+    if found["last"] is not None:
+        rows = rows.where(F.col(day) >= F.lit(found["last"]))
+        if year is not None:
+            rows = rows.where(F.col(year).between(found["last"].year, found["first"].year))
+    return rows, offset - found.before

@@ -119,10 +119,11 @@ def compare_versions(store: VersionStore, first: str, second: str) -> DataFrame:
 
 
 def _stored_columns(store: VersionStore, version: str) -> set[str]:
-    """Columns a version was written with, read from a file footer."""
-    if not store.has(version):
+    """The columns that a version came with, as its manifest row has them."""
+    found = store.manifest().where(F.col("snapshot_id") == version).select("columns").first()
+    if found is None:
         raise VersionNotFound(f"Version not found: {version}")
-    return set(store.spark.read.parquet(f"{store.data_path}/{VERSION}={version}").columns)
+    return set(found[0] or [])
 
 
 def changes_since(store: VersionStore, since: str) -> DataFrame:
@@ -135,9 +136,8 @@ def changes_since(store: VersionStore, since: str) -> DataFrame:
     if found is None:
         raise VersionNotFound(f"Version not found: {since}")
     newer = manifest.where(F.col("created") > timestamp(found.created))
-    ids = [row.snapshot_id for row in newer.select("snapshot_id").collect()]
     described = (
-        store.read_all(ids)
+        store.read_of(newer)
         .groupBy(VERSION)
         .agg(
             F.count(F.lit(1)).alias("rows"),

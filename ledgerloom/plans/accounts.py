@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.classify import (
@@ -19,12 +19,13 @@ from ledgerloom.schema import TOTAL
 ROUNDED = ("total_debit", "total_credit", "net_balance", "total_vat")
 
 
-def account_aggregates(transactions: DataFrame, as_of: dt.date) -> DataFrame:
-    """Counts, sums, date range and classes per account code and name.
+def account_balances(transactions: DataFrame, as_of: dt.date) -> DataFrame:
+    """Counts, sums, dates and classes per account code and name, with the code's trends.
 
-    The dates are grouped first: a day of an account becomes one row before the
-    shuffle, and counting the days is then a plain count. A hot account arrives
-    at the final step as at most one row per day and upstream task.
+    One scan and one wide shuffle: a day of an account becomes one row before it, and
+    counting the days is then a plain count. A hot account arrives at the next step as at
+    most one row per day and upstream task. The trends are of a code, whatever its names, and
+    are summed over the few rows that its names leave.
     """
     daily = transactions.groupBy("account_code", "account_name", "transaction_date").agg(
         F.count(F.lit(1)).alias("n"),
@@ -33,7 +34,11 @@ def account_aggregates(transactions: DataFrame, as_of: dt.date) -> DataFrame:
         total("net_amount").alias("net"),
         total("vat_amount").alias("vat"),
     )
-    sums = daily.groupBy("account_code", "account_name").agg(
+    day = F.col("transaction_date")
+    last_year = day >= F.lit(as_of - dt.timedelta(days=365))
+    last_quarters = day >= F.lit(as_of - dt.timedelta(days=270))
+    none = F.lit(0).cast("decimal(26,2)")
+    named = daily.groupBy("account_code", "account_name").agg(
         F.sum("n").alias("total_transactions"),
         F.count("transaction_date").alias("unique_transaction_dates"),
         total("debit").alias("total_debit"),
@@ -42,53 +47,27 @@ def account_aggregates(transactions: DataFrame, as_of: dt.date) -> DataFrame:
         total("vat").alias("total_vat"),
         F.min("transaction_date").alias("first_transaction_date"),
         F.max("transaction_date").alias("last_transaction_date"),
+        total(F.when(last_year, F.col("net")).otherwise(none)).alias("_net_12m"),
+        F.sum(F.when(last_year, F.col("n")).otherwise(F.lit(0))).alias("_n_12m"),
+        total(F.when(last_quarters, F.col("net")).otherwise(none)).alias("_net_4q"),
+        F.collect_set(F.year("transaction_date")).alias("_years"),
+    )
+    same_code = Window.partitionBy("account_code")
+    days = F.greatest(
+        F.lit(1), F.datediff("last_transaction_date", "first_transaction_date") + 1
     )
-    return sums.withColumns(
+    years = F.size(F.array_distinct(F.flatten(F.collect_list("_years").over(same_code))))
+    return named.withColumns(
         {
             "account_balance_type": balance_type("total_debit", "total_credit"),
             "activity_status": activity_status("last_transaction_date", as_of),
+            "years_active": years.cast("bigint"),
+            "net_amount_12m": F.sum("_net_12m").over(same_code),
+            "transactions_12m": F.sum("_n_12m").over(same_code),
+            "net_amount_4q": F.sum("_net_4q").over(same_code),
+            "avg_daily_transaction_frequency": F.col("total_transactions").cast("double") / days,
         }
-    )
-
-
-def account_trends(transactions: DataFrame, as_of: dt.date) -> DataFrame:
-    """Years active and recent movement per account code, whatever its names."""
-    day = F.col("transaction_date")
-    last_year = day >= F.lit(as_of - dt.timedelta(days=365))
-    last_quarters = day >= F.lit(as_of - dt.timedelta(days=270))
-    nothing = F.lit(0).cast("decimal(16,2)")
-    yearly = transactions.groupBy("account_code", "transaction_year").agg(
-        total(F.when(last_year, F.col("net_amount")).otherwise(nothing)).alias("net_12m"),
-        F.count(F.when(last_year, 1)).alias("n_12m"),
-        total(F.when(last_quarters, F.col("net_amount")).otherwise(nothing)).alias("net_4q"),
-    )
-    return yearly.groupBy("account_code").agg(
-        F.count("transaction_year").alias("years_active"),
-        total("net_12m").alias("net_amount_12m"),
-        F.sum("n_12m").alias("transactions_12m"),
-        total("net_4q").alias("net_amount_4q"),
-    )
-
-
-def account_balances(transactions: DataFrame, as_of: dt.date) -> DataFrame:
-    """Account aggregates with the trends of their code.
-
-    The join is left to the planner: both sides are aggregates, and adaptive
-    execution broadcasts the smaller one only if its measured size allows it.
-    """
-    days = F.greatest(
-        F.lit(1), F.datediff("last_transaction_date", "first_transaction_date") + 1
-    )
-    return (
-        account_aggregates(transactions, as_of)
-        .join(account_trends(transactions, as_of), "account_code", "left")
-        .withColumn(
-            "avg_daily_transaction_frequency",
-            F.when(F.col("total_transactions") == 0, 0.0).otherwise(
-                F.col("total_transactions").cast("double") / days
-            ),
-        )
-    )
+    ).drop("_net_12m", "_n_12m", "_net_4q", "_years")
 
 
 def account_summary(
@@ -113,6 +92,6 @@ def account_summary(
         volume_category("total_transactions").alias("transaction_volume_category"),
         value_category("net_balance").alias("balance_value_category"),
     ]
-    if updated_at is not None:
-        columns.append(F.lit(str(updated_at)).cast("timestamp_ntz").alias("last_updated"))
+    updated = None if updated_at is None else str(updated_at)
+    columns.append(F.lit(updated).cast("timestamp_ntz").alias("last_updated"))
     return balances.where(F.col("total_transactions") > 0).select(*columns)

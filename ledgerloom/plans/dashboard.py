@@ -15,6 +15,7 @@ from ledgerloom.operators.paging import page
 from ledgerloom.operators.rows import beside
 from ledgerloom.plans.accounts import account_balances, account_summary
 
+# The columns of the results, in their order.
 ACCOUNT_COLUMNS = (
     "account_code",
     "account_name",
@@ -32,6 +33,7 @@ ACCOUNT_COLUMNS = (
     "activity_status",
     "transaction_volume_category",
     "balance_value_category",
+    "last_updated",
 )
 TRANSACTION_COLUMNS = (
     "transaction_id",
@@ -71,6 +73,18 @@ FILTERED_COLUMNS = (
     "source_file",
 )
 
+STATS_COLUMNS = (
+    "total_accounts",
+    "active_accounts",
+    "total_assets",
+    "total_liabilities",
+    "total_transactions",
+    "unique_accounts",
+    "total_debit",
+    "total_credit",
+    "net_total",
+)
+
 # Separates the lines of one booking, so that a page has one content.
 LINE = ("number", "Code1", "Code2", "debit_amount", "credit_amount")
 
@@ -163,7 +177,7 @@ class Dashboard:
 
     # --- transactions ---
 
-    def transaction_details(self, limit: int | None = 1000, offset: int = 0) -> DataFrame:
+    def transaction_details(self, limit: int | None = None, offset: int = 0) -> DataFrame:
         rows = self.transactions.select(*TRANSACTION_COLUMNS, *self._order_only(TRANSACTION_COLUMNS))
         return self._newest(rows, limit, offset).select(*TRANSACTION_COLUMNS)
 
@@ -171,7 +185,7 @@ class Dashboard:
         return self.transactions.agg(F.count(F.lit(1)).alias("count"))
 
     def filtered_transactions(
-        self, spec: FilterSpec, limit: int | None = 1000, offset: int = 0
+        self, spec: FilterSpec, limit: int | None = None, offset: int = 0
     ) -> DataFrame:
         rows = spec.apply(self.transactions).select(
             *FILTERED_COLUMNS, *self._order_only(FILTERED_COLUMNS)
@@ -272,11 +286,7 @@ class Dashboard:
 
     def last_refresh_time(self) -> DataFrame:
         """NULL if the mart does not say."""
-        if "last_updated" not in self.accounts.columns:
-            latest = F.lit(None).cast("timestamp_ntz")
-        else:
-            latest = F.max("last_updated")
-        return self.accounts.agg(latest.alias("last_updated"))
+        return self.accounts.agg(F.max("last_updated").alias("last_updated"))
 
     def filtered_account_rollup(self, spec: FilterSpec) -> DataFrame:
         """Account totals of the filtered transactions, all of them."""
@@ -299,8 +309,8 @@ class Dashboard:
 
     def filtered_stats(self, spec: FilterSpec) -> DataFrame:
         """The dashboard's figures for the filtered transactions."""
-        if not (spec.years or spec.quarters or spec.months):
-            return self.dashboard_stats()
+        if spec.is_empty():
+            return self.dashboard_stats().select(*STATS_COLUMNS)
         by_account = (
             spec.apply(self.transactions)
             .groupBy("account_code")
@@ -326,7 +336,7 @@ class Dashboard:
 
     def sorted_accounts(self, spec: FilterSpec = FilterSpec()) -> DataFrame:
         """All accounts by code; totals of the filtered transactions if filtered."""
-        if spec.years or spec.quarters or spec.months:
+        if not spec.is_empty():
             return self.filtered_account_rollup(spec).orderBy(*_by_code())
         return self.accounts.select(*ACCOUNT_COLUMNS).orderBy(*_by_code())
 
@@ -334,7 +344,7 @@ class Dashboard:
         self, limit: int = 20, spec: FilterSpec = FilterSpec()
     ) -> DataFrame:
         """The newest ones, shown by account and date."""
-        if spec.years or spec.quarters or spec.months:
+        if not spec.is_empty():
             newest = self.filtered_transactions(spec, limit)
         else:
             newest = self.transaction_details(limit)
@@ -353,14 +363,14 @@ class Dashboard:
         return Page(self.transaction_details(limit, offset), self.transactions.count())
 
     def filtered_paginated_accounts(self, spec: FilterSpec, offset: int, limit: int) -> Page:
-        if not (spec.years or spec.quarters or spec.months):
+        if spec.is_empty():
             return self.paginated_accounts(offset, limit)
         accounts = self.filtered_account_rollup(spec)
         names = spec.apply(self.transactions).select("account_code", "account_name")
         return Page(page(accounts, _by_code(), limit, offset), names.distinct().count())
 
     def filtered_paginated_transactions(self, spec: FilterSpec, offset: int, limit: int) -> Page:
-        if not (spec.years or spec.quarters or spec.months):
+        if spec.is_empty():
             return self.paginated_transactions(offset, limit)
         return Page(
             self.filtered_transactions(spec, limit, offset),
@@ -372,19 +382,18 @@ class Dashboard:
         rows = self.accounts.select(*ACCOUNT_COLUMNS)
         return Page(page(rows, _by_code(), limit, offset), self.accounts.count())
 
-    def transactions_slice(self, offset: int, limit: int, fetched: int = 1000) -> Page:
-        """A slice of the newest ``fetched`` transactions, by account and date."""
-        newest = self.transactions.select(
+    def transactions_slice(self, offset: int, limit: int) -> Page:
+        """A slice of all transactions, by account and date."""
+        rows = self.transactions.select(
             *TRANSACTION_COLUMNS, *self._order_only(TRANSACTION_COLUMNS)
         )
-        newest = self._newest(newest, fetched)
         order = [
             F.col("account_code").asc_nulls_last(),
             F.col("transaction_date").asc_nulls_last(),
             *_newest_first()[1:],
         ]
-        rows = page(newest, order, limit, offset).select(*TRANSACTION_COLUMNS)
-        return Page(rows, newest.count())
+        rows = page(rows, order, limit, offset).select(*TRANSACTION_COLUMNS)
+        return Page(rows, self.transactions.count())
 
     @staticmethod
     def _newest(rows: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:

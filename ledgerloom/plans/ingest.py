@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.operators.align import union_aligned
 from ledgerloom.operators.filters import anti_join
+from ledgerloom.schema import LOADED_LEDGER
 from ledgerloom.sources.files import Export, clean, discover, exports, read_exports
-from ledgerloom.sources.store import MEGABYTE, PREFIX, VERSION, VersionStore, timestamp
+from ledgerloom.sources.store import MEGABYTE, PREFIX, VERSION, VersionStore, folded, timestamp
 
 STATUS = T.StructType(
     [
         T.StructField("file", T.StringType()),
         T.StructField("status", T.StringType()),
         T.StructField("row_count", T.LongType()),
+        T.StructField("rejected", T.LongType()),  # records read and not stored
         T.StructField("version_id", T.StringType()),
         T.StructField("message", T.StringType()),
     ]
@@ -43,7 +45,7 @@ def ingest_folder(
         for row in landed.select("name").distinct().collect()
         if row.name not in names
     ]
-    skipped = [(name, "skipped", None, None, "Already processed") for name in sorted(known)]
+    skipped = [(name, "skipped", None, None, None, "Already processed") for name in sorted(known)]
     done = ingest_exports(store, sources, loaded_at, f"{loaded_at:%Y%m%d_%H%M%S}")
     return store.spark.createDataFrame(sorted(skipped + done), STATUS)
 
@@ -54,12 +56,13 @@ def ingest_exports(
     """Store each accepted source as one version; status tuples, one per source.
 
     All sources are read, cleaned and written by one job. What was written is then
-    counted from file footers, and the manifest and log rows of the non-empty
-    versions make them visible. The same ``label`` writes the same versions.
+    counted from file footers, and the manifest rows of the non-empty versions, written
+    together, make them visible and are their log. The same ``label`` writes the same versions.
     """
     accepted = [source for source in sources if source.accepted]
     versions = {}
     counted = {}
+    read = {}
     if accepted:
         spark = store.spark
         named = spark.createDataFrame([(source.name,) for source in accepted], "name string")
@@ -67,11 +70,15 @@ def ingest_exports(
             row.name: f"{PREFIX}_{row.part}_{label}"
             for row in named.select("name", _version_part("name").alias("part")).collect()
         }
-        frames = [clean(rows, loaded_at) for rows in read_exports(spark, accepted)]
+        raw = read_exports(spark, accepted)
+        # Records read: no column of theirs is needed for that.
+        names = reduce(DataFrame.union, [rows.select("_source_file") for rows in raw])
+        read = {r["_source_file"]: r["count"] for r in names.groupBy("_source_file").count().collect()}
+        frames = [folded(clean(rows, loaded_at)) for rows in raw]
         version = F.concat(F.lit(f"{PREFIX}_"), _version_part("_source_file"), F.lit(f"_{label}"))
-        store.write_rows(union_aligned(frames).withColumn(VERSION, version))
-        counted = _commit(store, versions, loaded_at)
-    return [_status(source, versions.get(source.name), counted) for source in sources]
+        store.write_rows(reduce(DataFrame.unionByName, frames).withColumn(VERSION, version))
+        counted = _commit(store, accepted, versions, loaded_at)
+    return [_status(source, versions.get(source.name), counted, read) for source in sources]
 
 
 def _version_part(name: str) -> Column:
@@ -87,16 +94,21 @@ def _version_part(name: str) -> Column:
     return F.when(usual, plain).otherwise(F.concat_ws("_", plain, digest))
 
 
-def _commit(store: VersionStore, versions: dict[str, str], loaded_at: dt.datetime) -> dict[str, int]:
-    """Publish the written versions; rows per version id."""
+def _commit(
+    store: VersionStore, accepted: Sequence[Export], versions: dict[str, str], loaded_at: dt.datetime
+) -> dict[str, int]:
+    """Publish the written versions, in one write; rows per version id."""
     written = store.written_versions(versions.values())
     if not written:
         return {}
+    # The columns of the file, and those that loading adds.
     names = store.spark.createDataFrame(
-        [(version, name) for name, version in versions.items()],
-        f"{VERSION} string, source_file string",
+        [
+            (versions[source.name], source.name, sorted({*source.columns, *LOADED_LEDGER.names}))
+            for source in accepted
+        ],
+        f"{VERSION} string, source_file string, columns array<string>",
     )
-    # One row per ingested file: kept, as both sinks need it.
     described = (
         store.version_sizes(written)
         .join(names, VERSION)
@@ -108,31 +120,27 @@ def _commit(store: VersionStore, versions: dict[str, str], loaded_at: dt.datetim
             "records_count",
             F.round(F.col("bytes") / MEGABYTE, 2).alias("file_size_mb"),
             F.lit("append").alias("operation"),
+            "columns",
+            F.col("source_file").alias("landed"),
         )
     )
     rows = described.collect()
-    described = store.spark.createDataFrame(rows, described.schema)
-    store.commit(described)
-    store.append_log(
-        described.select(
-            F.col("snapshot_id").alias(VERSION),
-            F.col("created").alias("logged_at"),
-            "source_file",
-            F.col("parquet_file").alias("output_file"),
-            F.col("records_count").alias("row_count"),
-        )
-    )
+    store.commit(store.spark.createDataFrame(rows, described.schema))
     return {row.snapshot_id: row.records_count for row in rows}
 
 
-def _status(source: Export, version: str | None, counted: dict[str, int]) -> tuple:
+def _status(
+    source: Export, version: str | None, counted: dict[str, int], read: dict[str, int]
+) -> tuple:
     if source.columns is None:
-        return (source.name, "failed", None, None, "Unreadable file")
+        return (source.name, "failed", None, None, None, "Unreadable file")
     if not source.accepted:
-        return (source.name, "failed", None, None, "Schema validation failed")
+        return (source.name, "failed", None, None, None, "Schema validation failed")
+    records = read.get(source.name, 0)
     if version not in counted:
-        return (source.name, "failed", 0, None, "No valid rows after cleaning")
-    return (source.name, "processed", counted[version], version, "Ingested")
+        return (source.name, "failed", 0, records, None, "No valid rows after cleaning")
+    stored = counted[version]
+    return (source.name, "processed", stored, records - stored, version, "Ingested")
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.plans.accounts import account_balances, account_summary
 from ledgerloom.plans.staging import stage
@@ -34,7 +36,7 @@ def save_snapshot(ledger: DataFrame, folder: str) -> DataFrame:
     The marts and their tests read the ledger several times; saved, it is
     consolidated once.
     """
-    path = f"{folder}/ledger_snapshot"
+    path = f"{folder}/ledger_snapshot-{uuid.uuid4().hex}"
     ledger.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
     return ledger.sparkSession.read.schema(ledger.schema).parquet(path)
 
@@ -46,9 +48,11 @@ def save_marts(
 
     The staged rows are computed once: the transaction mart holds all of them,
     so the accounts are summed from its saved columns. It is partitioned by
-    year, which most filters name.
+    year, which most filters name. Each call writes a folder of its own, so that
+    readers of earlier marts are not disturbed, and is named in ``current`` at the end.
     """
     spark = ledger.sparkSession
+    root, folder = folder, f"{folder}/{uuid.uuid4().hex}"
     details = transaction_details(stage(ledger), as_of, updated_at)
     (
         details.write.mode("overwrite")
@@ -61,7 +65,19 @@ def save_marts(
     )
     summary = account_summary(account_balances(transactions, as_of), updated_at)
     summary.write.mode("overwrite").parquet(f"{folder}/mart_account_summary")
+    spark.range(1).select(
+        F.lit(folder).alias("folder"), F.current_timestamp().alias("written_at")
+    ).write.mode("append").parquet(f"{root}/current")
     return Marts(
         transactions,
         spark.read.schema(summary.schema).parquet(f"{folder}/mart_account_summary"),
     )
+
+
+def current_marts(spark: SparkSession, folder: str) -> Marts:
+    """The marts saved last below ``folder``."""
+    newest = spark.read.parquet(f"{folder}/current").agg(F.max_by("folder", "written_at")).first()[0]
+    return Marts(
+        spark.read.parquet(f"{newest}/mart_transaction_details"),
+        spark.read.parquet(f"{newest}/mart_account_summary"),
+    )

@@ -14,7 +14,7 @@ from ledgerloom.registry.inputs import (
     WITHOUT_OPTIONAL,
 )
 
-AS_OF = "DATE '2001-08-01'"
+AS_OF = "DATE '2001-11-04'"
 LOADED_AT = "2002-03-01 08:00:00"
 LOADED_EPOCH = 1014969600
 
@@ -48,7 +48,7 @@ ledger AS (
          (year(day) + 1) || '-02-24 00:00:00' AS _loaded_at,
          'DUMP' || year(day) || '.xlsx' AS _source_file,
          year(day) AS _data_version
-  FROM lines WHERE day <= DATE '2001-08-01'
+  FROM lines
 )"""
 
 STAGED = """
@@ -71,54 +71,57 @@ staged AS (
   FROM ledger WHERE Boekdatum IS NOT NULL AND CodeGrootboekrekening IS NOT NULL
 )"""
 
+# Every figure is summed from the days of an account. The names of the result's
+# columns, the labels, and the bounds that lead from one label to the next.
 BALANCES = f"""
-account_aggregates AS (
-  SELECT account_code, account_name, count(*) AS total_transactions,
-         count(DISTINCT transaction_date) AS unique_transaction_dates,
-         sum(debit_amount) AS total_debit, sum(credit_amount) AS total_credit,
-         sum(net_amount) AS net_balance, sum(vat_amount) AS total_vat,
-         min(transaction_date) AS first_transaction_date,
-         max(transaction_date) AS last_transaction_date,
-         CASE WHEN sum(debit_amount) > sum(credit_amount) THEN 'Net Debit'
-              WHEN sum(credit_amount) > sum(debit_amount) THEN 'Net Credit'
-              ELSE 'Balanced' END AS account_balance_type,
-         CASE WHEN max(transaction_date) >= {AS_OF} - 30 THEN 'Active'
-              WHEN max(transaction_date) >= {AS_OF} - 90 THEN 'Recently Active'
-              ELSE 'Inactive' END AS activity_status
-  FROM {{rows}} GROUP BY account_code, account_name
+account_days AS (
+  SELECT account_code, account_name, transaction_date AS on_day,
+         {AS_OF} - transaction_date AS age, count(*) AS n, sum(vat_amount) AS vat,
+         sum(debit_amount) AS debit, sum(credit_amount) AS credit
+  FROM {{rows}} GROUP BY ALL
+),
+named AS (
+  SELECT account_code, account_name, sum(n)::BIGINT AS n, count(on_day) AS days, sum(debit) AS debit,
+         sum(credit) AS credit, sum(vat) AS vat, min(on_day) AS first_day, max(on_day) AS last_day,
+         min(age) AS since_last,
+         coalesce(sum(debit - credit) FILTER (age <= 365), 0) AS moved_in_year,
+         coalesce(sum(n) FILTER (age <= 365), 0) AS n_in_year,
+         coalesce(sum(debit - credit) FILTER (age <= 270), 0) AS moved_in_quarters
+  FROM account_days GROUP BY ALL
 ),
-account_trends AS (
-  SELECT account_code, count(DISTINCT transaction_year) AS years_active,
-         sum(CASE WHEN transaction_date >= {AS_OF} - 365 THEN net_amount ELSE 0 END)
-           AS net_amount_12m,
-         count(CASE WHEN transaction_date >= {AS_OF} - 365 THEN 1 END) AS transactions_12m,
-         sum(CASE WHEN transaction_date >= {AS_OF} - 270 THEN net_amount ELSE 0 END)
-           AS net_amount_4q
-  FROM {{rows}} GROUP BY account_code
+coded AS (
+  SELECT account_code, len(list(DISTINCT year(on_day))) AS years FROM account_days GROUP BY ALL
 ),
 balances AS (
-  SELECT a.*, t.years_active, t.net_amount_12m, t.transactions_12m, t.net_amount_4q,
-         CAST(total_transactions AS DOUBLE) /
-           greatest(1, last_transaction_date - first_transaction_date + 1)
-           AS avg_daily_transaction_frequency
-  FROM account_aggregates a LEFT JOIN account_trends t ON a.account_code = t.account_code
+  SELECT account_code, account_name, n AS total_transactions, days AS unique_transaction_dates,
+         debit AS total_debit, credit AS total_credit, debit - credit AS net_balance,
+         vat AS total_vat, first_day AS first_transaction_date, last_day AS last_transaction_date,
+         ['Net Credit', 'Balanced', 'Net Debit'][2 + sign(debit - credit)::INT]
+           AS account_balance_type,
+         ['Active', 'Recently Active', 'Inactive'][
+           1 + (since_last > 30)::INT + (since_last > 90)::INT] AS activity_status,
+         years AS years_active,
+         sum(moved_in_year) OVER same_code AS net_amount_12m,
+         (sum(n_in_year) OVER same_code)::BIGINT AS transactions_12m,
+         sum(moved_in_quarters) OVER same_code AS net_amount_4q,
+         n / (last_day - first_day + 1) AS avg_daily_transaction_frequency
+  FROM named JOIN coded USING (account_code) WINDOW same_code AS (PARTITION BY account_code)
 ),
 accounts AS (
-  SELECT account_code, account_name, total_transactions, unique_transaction_dates,
-         avg_daily_transaction_frequency, total_debit, total_credit, net_balance, total_vat,
+  SELECT * EXCLUDE (net_amount_12m, transactions_12m, net_amount_4q),
          net_amount_12m AS net_amount_last_12_months,
          transactions_12m AS transactions_last_12_months,
          net_amount_4q AS net_amount_last_4_quarters,
-         first_transaction_date, last_transaction_date, years_active,
-         account_balance_type, activity_status,
-         CASE WHEN total_transactions > 100 THEN 'High Volume'
-              WHEN total_transactions > 20 THEN 'Medium Volume' ELSE 'Low Volume' END
+         ['Low Volume', 'Medium Volume', 'High Volume'][
+           1 + (total_transactions > 20)::INT + (total_transactions > 100)::INT]
            AS transaction_volume_category,
-         CASE WHEN abs(net_balance) > 10000 THEN 'High Value'
-              WHEN abs(net_balance) > 1000 THEN 'Medium Value' ELSE 'Low Value' END
-           AS balance_value_category
-  FROM balances WHERE total_transactions > 0
+         ['Low Value', 'Medium Value', 'High Value'][
+           1 + (abs(net_balance) > 1000)::INT + (abs(net_balance) > 10000)::INT]
+           AS balance_value_category,
+         CAST({{updated}} AS VARCHAR) AS last_updated
+  FROM balances
 )"""
+UPDATED = f"'{LOADED_AT}'"
 
 DETAILS = f"""
 details AS (
@@ -130,27 +133,25 @@ details AS (
          transaction_type, transaction_year, transaction_quarter, transaction_month,
          transaction_code, Code1, Code2, vat_code, booking_status, number, invoice_number,
          source_file, loaded_timestamp,
-         CASE extract(dow FROM transaction_date)
-           WHEN 0 THEN 'Sunday' WHEN 1 THEN 'Monday' WHEN 2 THEN 'Tuesday'
-           WHEN 3 THEN 'Wednesday' WHEN 4 THEN 'Thursday' WHEN 5 THEN 'Friday'
-           WHEN 6 THEN 'Saturday' END AS day_of_week,
+         strftime(transaction_date, '%A') AS day_of_week,
          CAST(day(transaction_date) AS BIGINT) AS day_of_month,
          'Q' || quarter(transaction_date) AS quarter_label,
-         CASE WHEN abs(net_amount) > 5000 THEN 'Large' WHEN abs(net_amount) > 1000 THEN 'Medium'
-              WHEN abs(net_amount) > 100 THEN 'Small' ELSE 'Minimal' END AS amount_category,
-         CASE WHEN transaction_date >= {AS_OF} - 30 THEN 'Last 30 days'
-              WHEN transaction_date >= {AS_OF} - 90 THEN 'Last 90 days'
-              WHEN transaction_date >= {AS_OF} - 365 THEN 'Last year'
-              ELSE 'Older than 1 year' END AS recency_category,
+         ['Minimal', 'Small', 'Medium', 'Large'][
+           1 + len(list_filter([100, 1000, 5000], lambda bound: abs(net_amount) > bound))]
+           AS amount_category,
+         ['Last 30 days', 'Last 90 days', 'Last year', 'Older than 1 year'][
+           1 + len(list_filter([30, 90, 365], lambda age: {AS_OF} - transaction_date > age))]
+           AS recency_category,
          sum(net_amount) OVER (
            PARTITION BY account_code
            ORDER BY transaction_date, booking_number, number, Code1, Code2,
                     debit_amount, credit_amount
            ROWS UNBOUNDED PRECEDING) AS running_balance,
-         CASE WHEN debit_amount = 0 AND credit_amount = 0 THEN 'Zero Amount'
-              WHEN debit_amount > 0 AND credit_amount > 0 THEN 'Both Debit and Credit'
-              WHEN description IS NULL OR trim(description) = '' THEN 'Missing Description'
-              ELSE 'Complete' END AS data_quality_flag
+         coalesce(
+           ['Zero Amount', NULL, 'Both Debit and Credit'][
+             1 + (debit_amount <> 0)::INT + (credit_amount <> 0)::INT],
+           if(trim(coalesce(description, '')) = '', 'Missing Description', 'Complete'))
+           AS data_quality_flag
   FROM staged
 )"""
 
@@ -241,7 +242,7 @@ judged AS (
          CASE WHEN transaction_date IS NULL OR transaction_date = '' THEN 'Date cannot be empty'
               WHEN day IS NULL THEN 'Invalid date format: ' || transaction_date
               WHEN day < DATE '1900-01-01' THEN 'Date cannot be before 1900-01-01'
-              WHEN day > {AS_OF} THEN 'Date cannot be after 2001-08-01' END AS date_error,
+              WHEN day > {AS_OF} THEN 'Date cannot be after 2001-11-04' END AS date_error,
          CASE WHEN length(text) < 1 THEN 'Text must be at least 1 characters long'
               WHEN length(text) > 500 THEN 'Text cannot exceed 500 characters' END AS text_error,
          CASE WHEN email IS NULL OR email = '' THEN 'Email cannot be empty'
@@ -316,7 +317,7 @@ def on_staged(query: str) -> str:
 
 
 def on_accounts(query: str) -> str:
-    return _with(LEDGER, STAGED, BALANCES.format(rows="staged"), query=query)
+    return _with(LEDGER, STAGED, BALANCES.format(rows="staged", updated=UPDATED), query=query)
 
 
 def on_details(query: str) -> str:
@@ -324,7 +325,7 @@ def on_details(query: str) -> str:
 
 
 def on_marts(query: str) -> str:
-    return _with(LEDGER, STAGED, BALANCES.format(rows="staged"), DETAILS, query=query)
+    return _with(LEDGER, STAGED, BALANCES.format(rows="staged", updated=UPDATED), DETAILS, query=query)
 
 
 def on_versions(query: str) -> str:
@@ -355,7 +356,7 @@ SHOWN_ACCOUNT = (
     + ", transactions_last_12_months, "
     + text("first_transaction_date", "last_transaction_date")
     + ", years_active, account_balance_type, activity_status, transaction_volume_category, "
-    "balance_value_category"
+    "balance_value_category, last_updated"
 )
 SHOWN_TRANSACTION = (
     "transaction_id, account_code, account_name, "
@@ -394,6 +395,14 @@ FILTERS = (
 PERIOD = "transaction_year IN (1999) AND transaction_month IN (1, 2, 3)"
 SOURCES = "source_file IN ('DUMP1997.xlsx', 'DUMP1999.xlsx')"
 
+# Selections that name no year, quarter or month.
+ONE_CONDITION = {
+    "account": "account_code IN ('42', '7', '103')",
+    "category": "amount_category IN ('Large')",
+    "dates": "transaction_date BETWEEN DATE '1998-03-01' AND DATE '1999-02-28'",
+    "search": "contains(lower(description), 'line 3')",
+}
+
 STATS = """count(*) AS total_transactions, count(DISTINCT account_code) AS unique_accounts,
   CAST(sum(debit_amount) AS DOUBLE) AS total_debit,
   CAST(sum(credit_amount) AS DOUBLE) AS total_credit,
@@ -504,7 +513,7 @@ ORACLES: dict[str, str] = {
         + ", " + text("first_transaction_date", "last_transaction_date") + ") FROM balances"
     ),
     "mart_account_summary": on_accounts(
-        "SELECT * REPLACE ("
+        "SELECT * REPLACE (CAST(NULL AS VARCHAR) AS last_updated, "
         + money("total_debit", "total_credit", "net_balance", "total_vat",
                 "net_amount_last_12_months", "net_amount_last_4_quarters")
         + ", " + text("first_transaction_date", "last_transaction_date") + ") FROM accounts"
@@ -559,7 +568,7 @@ ORDER BY transaction_year DESC, transaction_month DESC LIMIT 12"""
     ),
     "source_filtered_accounts": _with(
         LEDGER, STAGED, f"\nchosen AS (SELECT * FROM staged WHERE {SOURCES})",
-        BALANCES.format(rows="chosen"), query=f"SELECT {SHOWN_ACCOUNT} FROM accounts",
+        BALANCES.format(rows="chosen", updated="NULL"), query=f"SELECT {SHOWN_ACCOUNT} FROM accounts",
     ),
     "row_source_filter": on_details(
         f"SELECT transaction_id, source_file FROM details WHERE {SOURCES}"
@@ -602,9 +611,45 @@ FROM (SELECT account_code, count(*) AS n, sum(debit_amount) AS debit,
     ),
     "transactions_slice": on_details(
         f"SELECT {SHOWN_TRANSACTION}, total_count FROM (SELECT *, count(*) OVER () AS total_count "
-        f"FROM (SELECT * FROM details ORDER BY {NEWEST} LIMIT 1000) "
-        "ORDER BY account_code, transaction_date, booking_number DESC NULLS LAST, number, Code1, "
-        "Code2, debit_amount, credit_amount LIMIT 15 OFFSET 15)"
+        "FROM details ORDER BY account_code, transaction_date, booking_number DESC NULLS LAST, "
+        "number, Code1, Code2, debit_amount, credit_amount LIMIT 15 OFFSET 1500)"
+    ),
+    **{
+        f"stats_by_{name}": on_details(
+            f"""SELECT count(*) AS total_accounts, count(*) AS active_accounts, {ASSETS},
+  CAST(sum(n) AS BIGINT) AS total_transactions, count(*) AS unique_accounts,
+  CAST(sum(debit) AS DOUBLE) AS total_debit, CAST(sum(credit) AS DOUBLE) AS total_credit,
+  CAST(sum(net_balance) AS DOUBLE) AS net_total
+FROM (SELECT account_code, count(*) AS n, sum(debit_amount) AS debit,
+             sum(credit_amount) AS credit, sum(net_amount) AS net_balance
+      FROM details WHERE {condition} GROUP BY account_code)"""
+        )
+        for name, condition in ONE_CONDITION.items()
+    },
+    **{
+        f"page_by_{name}": on_details(
+            f"SELECT {SHOWN_FILTERED}, total_count FROM (SELECT *, count(*) OVER () AS total_count "
+            f"FROM details WHERE {condition} ORDER BY {NEWEST} LIMIT 15 OFFSET 3)"
+        )
+        for name, condition in ONE_CONDITION.items()
+    },
+    "stats_of_all": on_marts(
+        f"SELECT * FROM (SELECT count(*) AS total_accounts, "
+        f"count(*) FILTER (WHERE activity_status = 'Active') AS active_accounts, {ASSETS} "
+        f"FROM accounts), (SELECT {STATS} FROM details)"
+    ),
+    "sorted_by_account": on_details(
+        f"""SELECT {SHOWN_ROLLUP} FROM (
+  SELECT account_code, account_name, count(*) AS total_transactions,
+         sum(debit_amount) AS total_debit, sum(credit_amount) AS total_credit,
+         sum(net_amount) AS net_balance,
+         if(sum(net_amount) > 0, 'Net Debit', 'Net Credit') AS account_balance_type,
+         'Active' AS activity_status
+  FROM details WHERE {ONE_CONDITION["account"]} GROUP BY account_code, account_name)"""
+    ),
+    "limited_by_search": on_details(
+        f"SELECT {SHOWN_FILTERED} FROM (SELECT * FROM details WHERE {ONE_CONDITION['search']} "
+        f"ORDER BY {NEWEST} LIMIT 20)"
     ),
     "mart_counts": on_marts(
         "SELECT 'mart_account_summary' AS mart, count(*) AS count FROM accounts UNION ALL "
@@ -854,10 +899,10 @@ FROM details"""
     ),
     "error_counts": on_validated(ERRORS),
     "validate_accounts": _with(
-        LEDGER, STAGED, BALANCES.format(rows="staged"), _ACCOUNT_RECORDS, query=SUMMARY
+        LEDGER, STAGED, BALANCES.format(rows="staged", updated=UPDATED), _ACCOUNT_RECORDS, query=SUMMARY
     ),
     "account_errors": _with(
-        LEDGER, STAGED, BALANCES.format(rows="staged"), _ACCOUNT_RECORDS, query=ERRORS
+        LEDGER, STAGED, BALANCES.format(rows="staged", updated=UPDATED), _ACCOUNT_RECORDS, query=ERRORS
     ),
     "validation_report": on_validated(
         f"SELECT {LINE}, array_to_string(errors, ', ') AS errors, "

@@ -51,6 +51,13 @@ PERIOD = FilterSpec(years={1999}, months={1, 2, 3})
 SEARCH = FilterSpec(
     date_range=(dt.date(1998, 3, 1), dt.date(1999, 2, 28)), search_term=" LINE 3 "
 )
+# Selections that name no year, quarter or month.
+ONE_CONDITION = {
+    "account": FilterSpec(account_codes={"42", "7", "103"}),
+    "category": FilterSpec(amount_categories={"Large"}),
+    "dates": FilterSpec(date_range=(dt.date(1998, 3, 1), dt.date(1999, 2, 28))),
+    "search": FilterSpec(search_term=" LINE 3 "),
+}
 ALL_SOURCES = tuple(f"DUMP{year}.xlsx" for year in range(1995, 2002))
 SOURCES = SourceSelection.of(("DUMP1997.xlsx", "DUMP1999.xlsx"), ALL_SOURCES)
 
@@ -121,14 +128,14 @@ def on_dashboard(query: Callable[[Dashboard], DataFrame]) -> Query:
 
 
 def deep_page(spark, folder):
-    """A page so far down that rows are numbered in parallel to find it."""
+    """A page far down: only the days that it lies on are sorted."""
     rows = inputs.marts(spark, folder).transactions.select(*DEEP)
     order = [
         F.col("transaction_date").desc_nulls_last(),
         F.col("booking_number").desc_nulls_last(),
         *[F.col(name).asc_nulls_last() for name in DEEP[3:]],
     ]
-    return page(rows, order, limit=50, offset=3000, top_k_rows=1000)
+    return page(rows, order, limit=50, offset=3000, newest_by="transaction_date")
 
 
 DEEP = (
@@ -550,7 +557,22 @@ QUERIES: dict[str, Query] = {
     "sorted_accounts": on_dashboard(lambda d: d.sorted_accounts()),
     "sorted_limited_transactions": on_dashboard(lambda d: d.limited_transactions(20)),
     "accounts_slice": on_dashboard(lambda d: with_total(d.accounts_slice(40, 20))),
-    "transactions_slice": on_dashboard(lambda d: with_total(d.transactions_slice(15, 15))),
+    "transactions_slice": on_dashboard(lambda d: with_total(d.transactions_slice(1500, 15))),
+    **{
+        f"stats_by_{name}": on_dashboard(lambda d, spec=spec: d.filtered_stats(spec))
+        for name, spec in ONE_CONDITION.items()
+    },
+    **{
+        f"page_by_{name}": on_dashboard(
+            lambda d, spec=spec: with_total(d.filtered_paginated_transactions(spec, 3, 15))
+        )
+        for name, spec in ONE_CONDITION.items()
+    },
+    "stats_of_all": on_dashboard(lambda d: d.filtered_stats(FilterSpec())),
+    "sorted_by_account": on_dashboard(lambda d: d.sorted_accounts(ONE_CONDITION["account"])),
+    "limited_by_search": on_dashboard(
+        lambda d: d.limited_transactions(20, ONE_CONDITION["search"])
+    ),
     "mart_counts": on_dashboard(lambda d: d.mart_counts()),
     "last_refresh": on_dashboard(lambda d: d.last_refresh_time()),
     "daily_volume": on_dashboard(lambda d: d.daily_volume()),

@@ -62,6 +62,8 @@ VERSION_MANIFEST = T.StructType(
         T.StructField("records_count", T.LongType()),
         T.StructField("file_size_mb", T.DoubleType()),
         T.StructField("operation", T.StringType()),
+        T.StructField("columns", T.ArrayType(T.StringType())),  # that the version came with
+        T.StructField("landed", T.StringType()),  # the export it was ingested from
     ]
 )
 

@@ -1,18 +1,20 @@
 """Exported ledger files: finding them, reading them, checking and cleaning them.
 
 An export is a CSV (with header), JSON-lines or Parquet file of the ledger's
-columns, or a folder of such parts written by Spark. Its name, with extension,
-is the source of its rows.
+columns, or a folder of such parts written by Spark. Its path below the landing folder is the
+source of its rows.
 """
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 from collections import defaultdict
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from types import SimpleNamespace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -29,30 +31,55 @@ FORMATS = ("csv", "json", "parquet")
 FILE_GLOB = "*.{csv,json,parquet}"
 HEADER_JOBS = 16
 
-# A path up to the export it belongs to: the file itself, or the folder of a part.
-_ROOT = r"^(.*[^/=]+\.(?:csv|json|parquet))(?:/part-[^/]*)?$"
 _SOURCE_FILE = T.StructField("_source_file", T.StringType())
-_LISTING = "name string, path string, size bigint, modified timestamp_ntz"
+_LISTING = "name string, path string, size bigint, modified timestamp_ntz, root string"
 
 
-def source_name(path: Column | str) -> Column:
-    """The export a file belongs to: its folder's name for a part, else its own.
+def path_part(spark: SparkSession, folder: str) -> str:
+    """The folder's path without scheme and host."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath()
+    return path.rstrip("/")
+
+
+def source_name(path: Column | str, root: Column | str) -> Column:
+    """The export a file belongs to: its path below the landing folder, without the file's own
+    name if that is a part, and without the name of a partition column.
 
     Computed per row, hence without a pattern to search for.
     """
     path = column(path)
-    file = F.substring_index(path, "/", -1)
+    root = F.lit(root) if isinstance(root, str) else root
+    below = F.substr(path, F.position(root, path) + F.length(root) + 1)
+    file = F.substring_index(below, "/", -1)
+    folder = F.substring_index(F.substring_index(below, "/", -2), "/", 1)
+    is_part = file.startswith("part-") & (file != below)
+    in_export = reduce(
+        lambda a, b: a | b, [folder.endswith(f".{extension}") for extension in FORMATS]
+    )
+    taken = F.when(is_part & in_export, F.length(folder) + F.length(file) + 1).otherwise(
+        F.length(file)
+    )
+    above = F.substr(below, F.lit(1), F.length(below) - taken)
+    own = F.when(is_part & in_export, F.substring_index(folder, "=", -1)).otherwise(file)
+    return F.concat(above, own)
+
+
+def export_path(path: Column | str) -> Column:
+    """The path of the export: its folder for a part, else the file itself."""
+    path = column(path)
     folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
-    is_part = file.startswith("part-")
+    is_part = F.substring_index(path, "/", -1).startswith("part-")
     in_export = reduce(
         lambda a, b: a | b, [folder.endswith(f".{extension}") for extension in FORMATS]
     )
-    return F.when(is_part & in_export, F.substring_index(folder, "=", -1)).otherwise(file)
+    parent = F.substr(
+        path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1
+    )
+    return F.when(is_part & in_export, parent).otherwise(path)
 
 
-def _row_source() -> Column:
-    """The export a row was read from. A row's path is URL-encoded, but for ``+``."""
-    encoded = source_name(F.col("_metadata.file_path"))
+def _decoded(encoded: Column) -> Column:
+    """A row's path is URL-encoded, but for ``+``."""
     plain = F.replace(encoded, F.lit("+"), F.lit("%2B"))
     return F.when(encoded.contains("%"), F.url_decode(plain)).otherwise(encoded)
 
@@ -70,26 +97,35 @@ def discover(spark: SparkSession, folder: str, glob: str = FILE_GLOB) -> DataFra
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], _LISTING)
+    root = path_part(spark, folder)
     return listing.select(
-        source_name("path").alias("name"),
+        source_name("path", root).alias("name"),
         "path",
         F.col("length").alias("size"),
         F.col("modificationTime").cast("timestamp_ntz").alias("modified"),
+        F.lit(root).alias("root"),
     ).orderBy("path")
 
 
 @dataclass(frozen=True)
 class Export:
-    """One source: its files, and the columns they carry."""
+    """One source: its files, grouped by the columns they carry, each in its own order."""
 
     name: str
-    paths: tuple[str, ...]
-    columns: tuple[str, ...] | None = None  # None if unreadable
+    root: str
+    parts: tuple[tuple[tuple[str, ...] | None, tuple[str, ...]], ...]  # columns (None: unreadable), paths
 
     @property
     def format(self) -> str:
         return self.name.rsplit(".", 1)[-1]
 
+    @property
+    def columns(self) -> tuple[str, ...] | None:
+        """Of all parts together; None if one is unreadable."""
+        if any(columns is None for columns, _ in self.parts):
+            return None
+        return tuple(dict.fromkeys(name for columns, _ in self.parts for name in columns))
+
     @property
     def missing(self) -> list[str]:
         return sorted(set(LEDGER.names) - set(self.columns or ()))
@@ -100,39 +136,98 @@ class Export:
 
     @property
     def accepted(self) -> bool:
-        """Readable, and with the columns no ledger can do without."""
-        return self.columns is not None and set(CORE_COLUMNS) <= set(self.columns)
+        """Readable, and each part with the columns no ledger can do without."""
+        return self.columns is not None and all(
+            set(CORE_COLUMNS) <= set(columns) for columns, _ in self.parts
+        )
 
 
-def exports(spark: SparkSession, files: DataFrame, whole: bool = True) -> list[Export]:
+def exports(spark: SparkSession, files: DataFrame) -> list[Export]:
     """Sources of the listed files, with their columns.
 
-    ``whole`` takes a source written in parts by its folder, so that one name per
-    source comes to the driver; otherwise just the listed parts belong to it. A CSV source costs one job that
-    reads a single line, a Parquet source one footer; JSON has no header and is
-    read through. The parts of one source share a header.
+    One job reads the header of every CSV file, and one the keys of every JSON record. Files of
+    one export that agree come to the driver as its folder, others one by one. A Parquet
+    export costs a reading of its footers.
     """
-    grouped = defaultdict(list)
-    path = F.regexp_extract("path", _ROOT, 1) if whole else F.col("path")
-    for row in files.select("name", path.alias("path")).distinct().orderBy("path").collect():
-        grouped[row.name].append(row.path)
+    listed = files.select("name", "path", "root", export_path("path").alias("export"))
+    whole = listed.groupBy("name", "root", "export")
+    of_format = lambda form: [
+        (r.name, r.root, r.export)
+        for r in whole.count().where(F.lower("name").endswith(f".{form}")).collect()
+    ]
+    grouped: dict[tuple[str, str], list] = defaultdict(list)
+    for read, form in ((_csv_headers, "csv"), (_json_keys, "json")):
+        found = of_format(form)
+        if found:
+            for row in read(spark, listed, [export for _, _, export in found]):
+                grouped[row.name, row.root].append((row.columns, tuple(row.paths)))
+    parquet = of_format("parquet")
     with ThreadPoolExecutor(HEADER_JOBS) as pool:
-        return list(
-            pool.map(
-                lambda item: Export(item[0], tuple(item[1]), _columns(spark, *item)),
-                sorted(grouped.items()),
-            )
+        columns = pool.map(lambda item: _parquet_columns(spark, item[2]), parquet)
+        for (name, root, export), names in zip(parquet, columns):
+            grouped[name, root].append((names, (export,)))
+    return [
+        Export(name, root, tuple((tuple(c) if c else None, p) for c, p in parts))
+        for (name, root), parts in sorted(grouped.items())
+    ]
+
+
+def _csv_headers(spark: SparkSession, listed: DataFrame, paths: list[str]) -> list:
+    """Per export and header: its columns, and the export's folder or the files with it.
+
+    The first line of a file is the first of its first block; rows of a block are numbered as
+    they come.
+    """
+    lines = spark.read.text(paths).select(
+        _decoded(F.col("_metadata.file_path")).alias("at"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+        "value",
+    )
+    headers = lines.where(F.col("block") == 0).groupBy("at").agg(F.min_by("value", "place").alias("header"))
+    plain = lambda path: F.regexp_replace(path, "^[a-z0-9]+:/*", "/")
+    files = listed.where(F.lower("name").endswith(".csv")).select(
+        "name", "root", "export", "path", plain(F.col("path")).alias("file")
+    )
+    known = files.join(headers.withColumn("file", plain(F.col("at"))), "file", "left")
+    alike = known.groupBy("name", "root", "export").agg(
+        F.countDistinct(F.coalesce("header", F.lit(""))).alias("headers")
+    )
+    grouped = (
+        known.join(alike, ["name", "root", "export"])
+        .groupBy("name", "root", "header")
+        .agg(F.collect_set(F.when(F.col("headers") > 1, F.col("path")).otherwise(F.col("export"))).alias("paths"))
+        .collect()
+    )
+    return [
+        SimpleNamespace(
+            name=r.name, root=r.root, paths=sorted(r.paths),
+            columns=next(csv.reader([r.header])) if r.header else None,
         )
+        for r in grouped
+    ]
+
+
+def _json_keys(spark: SparkSession, listed: DataFrame, paths: list[str]) -> list:
+    """Per export: all keys of its records; records that are not JSON have none."""
+    root = listed.select("root").first()[0]
+    lines = spark.read.text(paths).select(
+        source_name(_decoded(F.col("_metadata.file_path")), root).alias("name"),
+        F.explode_outer(F.json_object_keys("value")).alias("key"),
+    )
+    keys = {r.name: sorted(r.keys) for r in lines.groupBy("name").agg(F.collect_set("key").alias("keys")).collect()}
+    found = listed.where(F.lower("name").endswith(".json")).groupBy("name").agg(
+        F.collect_set("export").alias("paths")
+    )
+    return [
+        SimpleNamespace(name=r.name, root=root, paths=sorted(r.paths), columns=keys.get(r.name))
+        for r in found.collect()
+    ]
 
 
-def _columns(spark: SparkSession, name: str, paths: list[str]) -> tuple[str, ...] | None:
-    reader = spark.read
+def _parquet_columns(spark: SparkSession, path: str) -> tuple[str, ...] | None:
     try:
-        if name.endswith(".csv"):
-            return tuple(reader.option("header", "true").csv(paths[0]).columns)
-        if name.endswith(".json"):
-            return tuple(reader.option("primitivesAsString", "true").json(paths).columns)
-        return tuple(reader.parquet(paths[0]).columns)
+        return tuple(spark.read.option("mergeSchema", "true").parquet(path).columns)
     except (PySparkException, Py4JJavaError):
         return None
 
@@ -148,25 +243,28 @@ def conformance_report(spark: SparkSession, sources: Iterable[Export]) -> DataFr
 def read_exports(spark: SparkSession, sources: Iterable[Export]) -> list[DataFrame]:
     """Rows with ``_source_file``: one frame per format and set of columns.
 
-    Sources alike in both are one scan. CSV columns are matched by the header the
-    file has, never by position in the ledger.
+    Files alike in both are one scan. Each CSV file is read with the header it has.
     """
     alike = defaultdict(list)
     for source in sources:
-        if source.columns:
-            alike[source.format, source.columns].append(source)
+        if source.columns is None:
+            continue
+        for columns, paths in source.parts:
+            alike[source.format, columns, source.root].extend(paths)
     frames = []
-    for (form, columns), group in alike.items():
-        paths = [path for source in group for path in source.paths]
+    for (form, columns, root), paths in alike.items():
         reader = spark.read
         if form != "parquet":
             reader = reader.schema(
                 T.StructType([T.StructField(name, T.StringType()) for name in columns])
             )
+        else:
+            reader = reader.option("mergeSchema", "true")
         if form == "csv":
             reader = reader.option("header", "true").option("mode", "PERMISSIVE")
         rows = reader.format(form).load(paths)
-        frames.append(rows.withColumn("_source_file", _row_source()))
+        name = source_name(_decoded(F.col("_metadata.file_path")), root)
+        frames.append(rows.withColumn("_source_file", name))
     return frames
 
 

@@ -13,21 +13,17 @@ from pyspark.sql import functions as F
 
 from ledgerloom.schema import LOADED_LEDGER, MONEY
 
-AS_OF = dt.date(2001, 8, 1)
+AS_OF = dt.date(2001, 11, 4)  # the day of the last line
 
 
-def ledger(spark: SparkSession, folder: str, as_of: dt.date = AS_OF) -> DataFrame:
-    """Loaded ledger rows dated up to ``as_of``."""
+def ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Loaded ledger rows, one per order line."""
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     customers = spark.read.parquet(f"{folder}/customer.parquet")
 
-    # On the raw column, so that the bound reaches the Parquet scan.
-    next_day = F.lit(f"{as_of + dt.timedelta(days=1)} 00:00:00").cast("timestamp_ntz")
-    joined = (
-        lines.where(F.col("l_shipdate") < next_day)
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
+        customers, F.col("o_custkey") == F.col("c_custkey")
     )
 
     rate = "decimal(4,2)"

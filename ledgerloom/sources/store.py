@@ -4,16 +4,18 @@ Layout below the root::
 
     data/version_id=<id>/*.parquet       rows of a version
     manifest/version_id=<id>/*.parquet   one row describing it
-    log/version_id=<id>/*.parquet        one row per ingested file
 
-A version exists once the manifest has its row, which is written last. Each
-write replaces the partitions of its own versions only, so a repeated or resumed
-write ends in the same state.
+A version exists once the manifest has its row, which is written last; the ingestion log is
+a view of the manifest, so that the two cannot differ. Each write replaces the partitions of
+its own versions only, so a repeated or resumed write ends in the same state. Columns that are
+not the ledger's are kept as a map of texts.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import re
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,14 @@ PREFIX = "financial_transactions"
 NO_VERSION_LABEL = "v20251101_091324"  # fixed value: shown while there is no version
 MEGABYTE = 1024 * 1024
 MIGRATION_SOURCE = "migration_from_existing_db"
-STORED = T.StructType([*LOADED_LEDGER.fields, T.StructField(VERSION, T.StringType())])
+EXTRA = "_extra"
+STORED = T.StructType(
+    [
+        *LOADED_LEDGER.fields,
+        T.StructField(EXTRA, T.MapType(T.StringType(), T.StringType())),
+        T.StructField(VERSION, T.StringType()),
+    ]
+)
 
 
 class VersionNotFound(LookupError):
@@ -47,18 +56,29 @@ class VersionStore:
         self.root = root.rstrip("/")
         self.data_path = f"{self.root}/data"
         self.manifest_path = f"{self.root}/manifest"
-        self.log_path = f"{self.root}/log"
+        self._declared: list[str] = []
 
     # --- declaring ---
 
     def create_table(self, name: str) -> None:
-        """Declare the stored rows as a partitioned table of the catalog."""
-        columns = ", ".join(
-            f"`{field.name}` {field.dataType.simpleString()}" for field in LOADED_LEDGER
-        )
+        """Declare the visible rows as a view of the catalog, over two external tables.
+
+        What this store commits later is seen by the view; after commits of another session
+        refresh the two tables.
+        """
+        for suffix, schema, path in (
+            ("rows", STORED, self.data_path),
+            ("manifest", T.StructType([*VERSION_MANIFEST.fields, STORED[VERSION]]), self.manifest_path),
+        ):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name}_{suffix} ({columns}) USING parquet "
+                f"OPTIONS (path '{path}')"
+            )
+            self._declared.append(f"{name}_{suffix}")
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} ({columns}, {VERSION} STRING) "
-            f"USING parquet PARTITIONED BY ({VERSION}) LOCATION '{self.data_path}'"
+            f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {name}_rows "
+            f"WHERE {VERSION} IN (SELECT snapshot_id FROM {name}_manifest)"
         )
 
     # --- writing ---
@@ -70,6 +90,7 @@ class VersionStore:
         Parquet files in parallel. Each is sorted by account, so that an audit of
         one account can skip most row groups.
         """
+        rows = folded(rows)
         local_order = [VERSION, "CodeGrootboekrekening", "Boekdatum"]
         (
             rows.sortWithinPartitions(*[name for name in local_order if name in rows.columns])
@@ -131,6 +152,8 @@ class VersionStore:
         """Make versions visible: write their manifest rows."""
         rows = described.select(F.col("snapshot_id").alias(VERSION), *VERSION_MANIFEST.names)
         self._replace(rows, self.manifest_path)
+        for table in self._declared:
+            self.spark.catalog.refreshTable(table)
 
     def write_version(
         self,
@@ -152,17 +175,15 @@ class VersionStore:
                 "records_count",
                 F.round(F.col("bytes") / MEGABYTE, 2).alias("file_size_mb"),
                 F.lit(operation).alias("operation"),
+                F.lit([name for name in rows.columns if name != EXTRA]).alias("columns"),
+                F.lit(None).cast("string").alias("landed"),
             )
         )
 
-    def append_log(self, entries: DataFrame) -> None:
-        """``entries``: the log's columns and ``version_id``."""
-        self._replace(entries.select(VERSION, *INGESTION_LOG.names), self.log_path)
-
     def migrate(self, table: DataFrame, loaded_at: dt.datetime, version_id: str) -> None:
         """Take over an existing ledger table as the first version."""
         self.write_version(
-            migrated(table, loaded_at).sortWithinPartitions("Boekdatum", "Boekingsnummer"),
+            migrated(table, loaded_at),
             version_id,
             loaded_at,
             MIGRATION_SOURCE,
@@ -170,8 +191,9 @@ class VersionStore:
         )
 
     def load_raw(self, rows: DataFrame, source_name: str, loaded_at: dt.datetime) -> str:
-        """Append rows unfiltered, with load metadata. Returns the version."""
-        version_id = f"{PREFIX}_{loaded_at:%Y%m%d_%H%M%S}"
+        """Append rows unfiltered, with load metadata. Returns the version, a new one each time."""
+        part = re.sub("[^A-Za-z0-9-]+", "-", source_name)
+        version_id = f"{PREFIX}_{part}-{uuid.uuid4().hex[:12]}_{loaded_at:%Y%m%d_%H%M%S}"
         stamped = rows.withColumns(load_metadata(F.lit(source_name), loaded_at))
         self.write_version(stamped, version_id, loaded_at, source_name)
         return version_id
@@ -183,7 +205,15 @@ class VersionStore:
         return self._described(self.manifest_path, VERSION_MANIFEST)
 
     def ingestion_log(self) -> DataFrame:
-        return self._described(self.log_path, INGESTION_LOG)
+        """One row per ingested export: what the manifest says of it."""
+        ingested = self.manifest().where(F.col("landed").isNotNull())
+        columns = (
+            F.col("created").alias("logged_at"),
+            F.col("landed").alias("source_file"),
+            F.col("parquet_file").alias("output_file"),
+            F.col("records_count").alias("row_count"),
+        )
+        return ingested.select(*columns)
 
     def snapshots(self) -> DataFrame:
         """The manifest in the declared snapshot schema."""
@@ -214,7 +244,7 @@ class VersionStore:
             raise VersionNotFound(f"Version not found: {version_id}")
         return self._rows_of(version_id)
 
-    def read_some(self, version_id: str, limit: int | None = 1000) -> DataFrame:
+    def read_some(self, version_id: str, limit: int | None = None) -> DataFrame:
         """As ``read``, limited, and empty if there is no such version."""
         if not self.has(version_id):
             return self.spark.createDataFrame([], LOADED_LEDGER)
@@ -229,20 +259,31 @@ class VersionStore:
         return self._rows_of(self.latest_version())
 
     def read_all(self, version_ids: Iterable[str] | None = None) -> DataFrame:
-        """Rows of all visible versions, or of the named ones, with ``version_id``.
-
-        The manifest bounds what is read: rows of an unfinished write are not seen.
-        """
+        """Rows of all visible versions, or of the named ones, with ``version_id`` and the
+        columns of their own as ``_extra``."""
         visible = self.manifest()
         if version_ids is not None:
             wanted = sorted(version_ids)
             visible = visible.where(F.col("snapshot_id").isin(wanted))
-        ids = [row.snapshot_id for row in visible.select("snapshot_id").collect()]
-        if version_ids is not None and len(ids) < len(wanted):
-            raise VersionNotFound(f"Version not found: {sorted(set(wanted) - set(ids))[0]}")
-        if not ids:
+            found = {row.snapshot_id for row in visible.select("snapshot_id").collect()}
+            if missing := sorted(set(wanted) - found):
+                raise VersionNotFound(f"Version not found: {missing[0]}")
+        return self.read_of(visible)
+
+    def read_of(self, manifest: DataFrame) -> DataFrame:
+        """Rows of the versions in (a part of) the manifest.
+
+        A join on the partition column: versions that it does not name, such as those of an
+        unfinished write, are pruned and not read.
+        """
+        try:
+            rows = self.spark.read.schema(STORED).parquet(self.data_path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], STORED)
-        return self._read(ids)
+        ids = manifest.select(F.col("snapshot_id").alias(VERSION))
+        return rows.join(ids, VERSION, "left_semi").select(*STORED.names)
 
     def data_label(self) -> str:
         """``v<date>_<time>`` of the newest version, from its name."""
@@ -264,12 +305,13 @@ class VersionStore:
     # --- details ---
 
     def _rows_of(self, version_id: str) -> DataFrame:
-        return self._read([version_id]).drop(VERSION)
-
-    def _read(self, version_ids: list[str]) -> DataFrame:
-        paths = [f"{self.data_path}/{VERSION}={version}" for version in version_ids]
-        return (
-            self.spark.read.option("basePath", self.data_path).schema(STORED).parquet(*paths)
+        """A version with its own columns, in its folder alone."""
+        path = f"{self.data_path}/{VERSION}={version_id}"
+        rows = self.spark.read.option("basePath", self.data_path).schema(STORED).parquet(path)
+        known = self.manifest().where(F.col("snapshot_id") == version_id).select("columns")
+        extras = [name for name in known.first()[0] or [] if name not in LOADED_LEDGER.names]
+        return rows.select(
+            *LOADED_LEDGER.names, *[F.try_element_at(F.col(EXTRA), F.lit(n)).alias(n) for n in extras]
         )
 
     def _described(self, path: str, schema: T.StructType) -> DataFrame:
@@ -301,10 +343,21 @@ def load_metadata(source_file, loaded_at: dt.datetime) -> dict:
     }
 
 
+def folded(rows: DataFrame) -> DataFrame:
+    """Columns that are not the ledger's as one map of texts, without nulls."""
+    extras = [n for n in rows.columns if n not in (*LOADED_LEDGER.names, VERSION, EXTRA)]
+    if EXTRA in rows.columns and not extras:
+        return rows
+    pairs = [part for n in extras for part in (F.lit(n), F.col(f"`{n}`").cast("string"))]
+    folded_map = F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string, string>)")
+    given = F.map_filter(folded_map, lambda _, value: value.isNotNull())
+    return rows.withColumn(EXTRA, given).drop(*extras)
+
+
 def migrated(table: DataFrame, loaded_at: dt.datetime) -> DataFrame:
     """An existing table's rows in the ledger's columns and types, as version 1."""
     metadata = load_metadata(F.lit(MIGRATION_SOURCE), loaded_at)
     metadata["_data_version"] = F.lit(1).cast("bigint")
     return table.select(
-        *[F.col(field.name).cast(field.dataType).alias(field.name) for field in LEDGER]
+        *[F.col(field.name).try_cast(field.dataType).alias(field.name) for field in LEDGER]
     ).withColumns(metadata)

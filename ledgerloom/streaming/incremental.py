@@ -8,12 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.ingest import ingest_exports
-from ledgerloom.sources.files import FILE_GLOB, exports, source_name
+from ledgerloom.plans.ingest import ingest_exports, new_files
+from ledgerloom.sources.files import FILE_GLOB, exports, path_part, source_name
 from ledgerloom.sources.store import VersionStore
 
-FILES_PER_BATCH = 1_000
-
 # The columns of Spark's binary file source.
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -24,17 +22,16 @@ def ingest_available(
     checkpoint: str,
     stream: str = "landing",
     clock: Callable[[], dt.datetime] = dt.datetime.now,
-    files_per_batch: int = FILES_PER_BATCH,
 ) -> None:
     """Ingest everything that landed since the last run, then stop.
 
-    The stream carries file names, not contents: its checkpoint gives each file
-    to exactly one batch, and the batch ingests its files as one job, whatever
-    their headers. A batch repeated after a failure writes the same version ids
-    and so replaces what it left behind.
+    The stream carries file names, not contents. All that is new is one batch, so that an
+    export in many parts becomes one version, and is ingested as one job, whatever the
+    headers. What the manifest knows already, from here or from a batch run, is left out. A
+    batch repeated after a failure writes the same version ids and so replaces what it left.
     """
     query = (
-        _arrivals(store, folder, files_per_batch)
+        _arrivals(store, folder)
         .writeStream.foreachBatch(_ingest_batch(store, stream, clock))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -43,21 +40,24 @@ def ingest_available(
     query.awaitTermination()
 
 
-def _arrivals(store: VersionStore, folder: str, files_per_batch: int) -> DataFrame:
+def _arrivals(store: VersionStore, folder: str) -> DataFrame:
     return (
         store.spark.readStream.format("binaryFile")
         .schema(FILE)
         .option("pathGlobFilter", FILE_GLOB)
         .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
-        .select(source_name(F.col("path")).alias("name"), "path")
+        .select(
+            source_name(F.col("path"), path_part(store.spark, folder)).alias("name"),
+            "path",
+            F.lit(path_part(store.spark, folder)).alias("root"),
+        )
     )
 
 
 def _ingest_batch(store: VersionStore, stream: str, clock: Callable[[], dt.datetime]):
     def ingest(files: DataFrame, batch: int) -> None:
-        sources = exports(store.spark, files, whole=False)
+        sources = exports(store.spark, new_files(files, store.ingestion_log()))
         if sources:
             ingest_exports(store, sources, clock(), f"{stream}_b{batch}")
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.ingest import ingest_folder, status_counts
+from ledgerloom.plans.marts import current_marts
 from ledgerloom.plans.refresh import refresh
 from ledgerloom.schema import FILE_METADATA, LEDGER
 from ledgerloom.sources import files
@@ -145,7 +146,7 @@ def test_refresh_runs_all_steps(spark, store, landing, tmp_path):
     ]
     assert steps[1].message == "3 processed, 2 failed"
     assert steps[3].message == "Data quality tests completed"
-    details = spark.read.parquet(str(tmp_path / "marts" / "mart_transaction_details"))
+    details = current_marts(spark, str(tmp_path / "marts")).transactions
     # Lines with the same account, date and booking collapse into one.
     assert details.count() == 1
 

@@ -183,19 +183,25 @@ def test_migration(spark, ledger_rows, tmp_path):
 def test_raw_load_and_declared_table(spark, ledger_rows, tmp_path):
     store = VersionStore(spark, str(tmp_path))
     version = store.load_raw(ledger_rows(line()).select(*LEDGER.names), "x.csv", MAR)
-    assert version == "financial_transactions_20240301_120000"
+    other = store.load_raw(ledger_rows(line()).select(*LEDGER.names), "x.csv", MAR)
+    assert version != other and store.read_all().count() == 2  # in one second
+    assert version.startswith("financial_transactions_x-csv-")
+    assert version.endswith("_20240301_120000")
     assert store.read(version).first()._data_version == 1709294400
     store.create_table("ledger_declared")
-    spark.sql("MSCK REPAIR TABLE ledger_declared")
-    assert spark.table("ledger_declared").count() == 1
-    spark.sql("DROP TABLE ledger_declared")
+    assert spark.table("ledger_declared").count() == 2
+    store.load_raw(ledger_rows(line()).select(*LEDGER.names), "y.csv", MAR)
+    assert spark.table("ledger_declared").count() == 3
+    spark.sql("DROP VIEW ledger_declared")
+    for suffix in ("rows", "manifest"):
+        spark.sql(f"DROP TABLE ledger_declared_{suffix}")
 
 
 def test_raw_types_are_aligned_at_write(spark, tmp_path):
     store = VersionStore(spark, str(tmp_path))
     raw = spark.sql("select '80' as CodeGrootboekrekening, 1.5D as Debet, 'x' as Nummer, 7 as own")
     row = store.read(store.load_raw(raw, "x.csv", MAR)).first()
-    assert (float(row.Debet), row.Nummer, row.Boekdatum) == (1.5, None, None)
+    assert (float(row.Debet), row.Nummer, row.Boekdatum, row.own) == (1.5, None, None, "7")
 
 
 def test_relaxed_union(spark):
