@@ -21,6 +21,7 @@ from ledgerloom.functions.rules import (
     check_date,
     check_text,
 )
+from ledgerloom.session import new_folder
 
 # --- declared tests ---------------------------------------------------------
 
@@ -190,6 +191,7 @@ def standardize_numeric(frame: DataFrame) -> DataFrame:
 
 # --- records ----------------------------------------------------------------
 
+# The fields that are required, and the order in which amounts are checked.
 TRANSACTION_FIELDS = ("account_code", "transaction_date", "description")
 TRANSACTION_AMOUNTS = ("debit_amount", "credit_amount", "net_amount")
 ACCOUNT_AMOUNTS = ("total_debit", "total_credit", "net_balance")
@@ -304,9 +306,14 @@ def validation_report(
     """The first invalid records, their errors, and how many more there are.
 
     Records are told apart by their own columns: numbering all of them would
-    sort everything to show a few.
+    sort everything to show a few. The rules are evaluated once: what they reject is written to
+    the shared folder, counted and shown from there.
     """
-    invalid = invalid_records(validated)
+    spark = validated.sparkSession
+    rejected = invalid_records(validated)
+    path = new_folder(spark, "invalid")
+    rejected.write.parquet(path)
+    invalid = spark.read.schema(rejected.schema).parquet(path)
     more = max(0, invalid.count() - shown)
     return (
         invalid.orderBy(*order)

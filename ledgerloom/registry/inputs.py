@@ -112,6 +112,11 @@ def store(spark: SparkSession, folder: str) -> VersionStore:
 # The years' files differ as exports do: one lacks a column and has one of its
 # own, one lacks a column no ledger can do without, two are not CSV.
 WITHOUT_OPTIONAL, WITHOUT_CORE, AS_JSON, AS_PARQUET = 1998, 1999, 2000, 2001
+# One is in two parts that differ in the order of debit and credit. Another is there again: in
+# a folder below with that order, without any date, and as records the first lines of which
+# are broken.
+IN_TWO_ORDERS, REPEATED = 1996, 1995
+SWAP = {"Debet": "Credit", "Credit": "Debet"}
 
 
 def landing(spark: SparkSession, folder: str) -> str:
@@ -130,8 +135,26 @@ def landing(spark: SparkSession, folder: str) -> str:
             .format(form)
             .save(path)
         )
-        plain = base.where(F.col("_year") < WITHOUT_OPTIONAL)
-        write(plain, "csv")
+        write(base.where(F.col("_year") < IN_TWO_ORDERS), "csv")
+        swapped = [SWAP.get(name, name) for name in base.columns]
+        parts = base.where(F.col("_year") == IN_TWO_ORDERS)
+        write(parts.where(F.col("Nummer") % 2 == 1), "csv")
+        write(parts.where(F.col("Nummer") % 2 == 0).select(*swapped), "csv")
+        write(base.where(F.col("_year").between(IN_TWO_ORDERS + 1, WITHOUT_OPTIONAL - 1)), "csv")
+        again = base.where(F.col("_year") == REPEATED)
+        csv = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+        again.drop("_year").select(*[n for n in swapped if n != "_year"]).write.options(**csv).csv(
+            f"{path}/more/DUMP{REPEATED}.csv"
+        )
+        again.drop("_year").withColumn("Boekdatum", F.lit("soon")).write.options(**csv).csv(
+            f"{path}/UNDATED.csv"
+        )
+        record = F.to_json(F.struct(*LEDGER.names))
+        # Lines as they are: Spark's writer of texts would give the parts another ending.
+        bare = {"sep": "\x01", "quote": "\x02", "escape": "\x02"}
+        again.select(
+            F.when(F.col("Nummer") == 1, F.concat(F.lit("#"), record)).otherwise(record)
+        ).write.options(**bare).csv(f"{path}/BROKEN.json")
         without = base.where(F.col("_year") == WITHOUT_OPTIONAL).drop("Btwcode")
         write(without.withColumn("Opmerking", F.lit("n.v.t.")), "csv")
         write(base.where(F.col("_year") == WITHOUT_CORE).drop("Credit"), "csv")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from ledgerloom.registry.inputs import (
     AS_JSON,
     AS_PARQUET,
+    IN_TWO_ORDERS,
+    REPEATED,
     VERSIONS,
     WITHOUT_CORE,
     WITHOUT_OPTIONAL,
@@ -328,6 +330,34 @@ def on_marts(query: str) -> str:
     return _with(LEDGER, STAGED, BALANCES.format(rows="staged", updated=UPDATED), DETAILS, query=query)
 
 
+# Every record of the landed exports. ``good``: it can be stored; ``readable``: it is no broken
+# record; ``swapped``: credit stands before debit.
+_LANDED = f"""
+landed AS (
+  SELECT 'DUMP' || year(Boekdatum) || CASE year(Boekdatum)
+           WHEN {AS_JSON} THEN '.json' WHEN {AS_PARQUET} THEN '.parquet' ELSE '.csv' END AS file,
+         true AS good, true AS readable,
+         year(Boekdatum) = {IN_TWO_ORDERS} AND Nummer % 2 = 0 AS swapped, * FROM ledger
+  UNION ALL
+  SELECT 'more/DUMP{REPEATED}.csv', true, true, true, * FROM ledger WHERE year(Boekdatum) = {REPEATED}
+  UNION ALL
+  SELECT 'UNDATED.csv', false, true, false, * FROM ledger WHERE year(Boekdatum) = {REPEATED}
+  UNION ALL
+  SELECT 'BROKEN.json', Nummer <> 1, Nummer <> 1, false, * FROM ledger
+  WHERE year(Boekdatum) = {REPEATED}
+),
+landed_files AS (
+  SELECT file, file = 'DUMP{WITHOUT_CORE}.csv' AS refused, count(*) AS n,
+         count(*) FILTER (WHERE good) AS stored
+  FROM landed GROUP BY file
+)"""
+_NO_CORE, _NO_OPTIONAL = f"DUMP{WITHOUT_CORE}.csv", f"DUMP{WITHOUT_OPTIONAL}.csv"
+
+
+def on_landed(query: str) -> str:
+    return _with(LEDGER, _LANDED, query=query)
+
+
 def on_versions(query: str) -> str:
     return _with(LEDGER, _version_cte(), query=query)
 
@@ -466,8 +496,26 @@ ERRORS = """SELECT error, count(*) AS records
 FROM (SELECT unnest(errors) AS error FROM validated) GROUP BY error"""
 LINE = "booking_number, number, code1, code2"
 
-_EXPORT = f"""'DUMP' || year(Boekdatum) || CASE year(Boekdatum)
-  WHEN {AS_JSON} THEN '.json' WHEN {AS_PARQUET} THEN '.parquet' ELSE '.csv' END"""
+# The account mart's columns, their types when saved and as declared.
+_ACCOUNT_TYPES = [
+    ("account_code", "string", "string", "VARCHAR"),
+    ("account_name", "string", "string", "VARCHAR"),
+    ("total_transactions", "bigint", "bigint", "BIGINT"),
+    *[
+        (name, "decimal(38,2)", "double", "DOUBLE")
+        for name in ("total_debit", "total_credit", "net_balance", "total_vat")
+    ],
+    ("net_amount_last_12_months", "decimal(28,2)", "double", "DOUBLE"),
+    ("transactions_last_12_months", "bigint", "bigint", "BIGINT"),
+    ("first_transaction_date", "date", "date", "DATE"),
+    ("last_transaction_date", "date", "date", "DATE"),
+    ("years_active", "bigint", "bigint", "BIGINT"),
+    ("account_balance_type", "string", "string", "VARCHAR"),
+    ("activity_status", "string", "string", "VARCHAR"),
+    ("transaction_volume_category", "string", "string", "VARCHAR"),
+    ("balance_value_category", "string", "string", "VARCHAR"),
+    ("last_updated", "timestamp_ntz", "timestamp_ntz", "TIMESTAMP"),
+]
 
 _LEDGER_COLUMNS = (
     "Boekdatum, Boekingsnummer, Boekingsstatus, Btwbedrag, Btwcode, Code, Code1, Code2, "
@@ -768,31 +816,69 @@ FROM ledger WHERE Nummer NOT IN (5, 6)"""
         f"{money('Debet', 'Credit')}, '{LOADED_AT}' AS _loaded_at, 'manual.csv' AS _source_file, "
         f"CAST({LOADED_EPOCH} AS BIGINT) AS _data_version FROM ledger"
     ),
-    "conformance_report": on_ledger(
-        f"""SELECT DISTINCT {_EXPORT} AS file,
-  CASE year(Boekdatum) WHEN {WITHOUT_OPTIONAL} THEN 'Btwcode' WHEN {WITHOUT_CORE} THEN 'Credit'
-       ELSE '' END AS missing,
-  CASE year(Boekdatum) WHEN {WITHOUT_OPTIONAL} THEN 'Opmerking' ELSE '' END AS extra,
-  year(Boekdatum) <> {WITHOUT_CORE} AS accepted FROM ledger"""
-    ),
-    "ingest_status": on_ledger(
-        f"""SELECT {_EXPORT} AS file,
-  CASE WHEN year(Boekdatum) = {WITHOUT_CORE} THEN 'failed' ELSE 'processed' END AS status,
-  CASE WHEN year(Boekdatum) <> {WITHOUT_CORE} THEN count(*) END AS row_count,
-  CASE WHEN year(Boekdatum) = {WITHOUT_CORE} THEN 'Schema validation failed' ELSE 'Ingested' END
-    AS message
-FROM ledger GROUP BY year(Boekdatum)"""
-    ),
-    "ingest_counts": on_ledger(
-        f"""SELECT CAST(0 AS BIGINT) AS processed,
-  count(DISTINCT _source_file) FILTER (WHERE year(Boekdatum) <> {WITHOUT_CORE}) AS skipped,
-  count(DISTINCT _source_file) FILTER (WHERE year(Boekdatum) = {WITHOUT_CORE}) AS failed
-FROM ledger"""
-    ),
-    "incremental_ingest": on_ledger(
-        f"""SELECT {_EXPORT} AS source_file, count(*) AS row_count,
+    "conformance_report": on_landed(
+        f"""SELECT DISTINCT file,
+  CASE file WHEN '{_NO_OPTIONAL}' THEN 'Btwcode' WHEN '{_NO_CORE}' THEN 'Credit' ELSE '' END
+    AS missing,
+  if(file = '{_NO_OPTIONAL}', 'Opmerking', '') AS extra, file <> '{_NO_CORE}' AS accepted
+FROM landed"""
+    ),
+    "ingest_status": on_landed(
+        f"""SELECT file, if(refused OR stored = 0, 'failed', 'processed') AS status,
+  if(refused, NULL, stored) AS row_count, if(refused, NULL, n - stored) AS rejected,
+  if(refused, 'Schema validation failed',
+     if(stored = 0, 'No valid rows after cleaning', 'Ingested')) AS message
+FROM landed_files"""
+    ),
+    "ingest_counts": on_landed(
+        """SELECT CAST(0 AS BIGINT) AS processed,
+  count(*) FILTER (WHERE NOT refused AND stored > 0) AS skipped,
+  count(*) FILTER (WHERE refused OR stored = 0) AS failed
+FROM landed_files"""
+    ),
+    "incremental_ingest": on_landed(
+        f"""SELECT file AS source_file, count(*) AS row_count,
   CAST(sum(Debet) AS DOUBLE) AS total_debit, CAST(sum(Credit) AS DOUBLE) AS total_credit
-FROM ledger WHERE year(Boekdatum) <> {WITHOUT_CORE} GROUP BY year(Boekdatum)"""
+FROM landed WHERE good AND file <> '{_NO_CORE}' GROUP BY file"""
+    ),
+    "landed_extras": on_landed(
+        f"""SELECT Boekingsnummer, Nummer, Code1, Code2, {money("Debet", "Credit")},
+  'n.v.t.' AS Opmerking FROM landed WHERE file = '{_NO_OPTIONAL}'"""
+    ),
+    "compare_landed": on_landed(
+        f"""SELECT sum((file = 'DUMP1997.csv')::INT)::BIGINT AS rows1,
+  sum((file = '{_NO_OPTIONAL}')::INT)::BIGINT AS rows2,
+  CAST(22 AS BIGINT) AS columns1, CAST(23 AS BIGINT) AS columns2,
+  'Opmerking' AS new_columns, '' AS removed_columns FROM landed"""
+    ),
+    "declared_table": on_landed(
+        f"SELECT count(*) AS n_rows, {money('debit')} FROM (SELECT sum(Debet) AS debit, 1 AS x "
+        f"FROM landed WHERE good AND file <> '{_NO_CORE}'), "
+        f"(SELECT * FROM landed WHERE good AND file <> '{_NO_CORE}') GROUP BY debit"
+    ),
+    "export_parquet": on_ledger(
+        f"SELECT CodeGrootboekrekening, {text('Boekdatum')}, Boekingsnummer, Nummer, "
+        f"{money('Debet', 'Credit')} FROM ledger"
+    ),
+    "refresh_steps": on_landed(
+        """SELECT unnest(['check_files', 'ingest_files', 'rebuild_models', 'data_tests']) AS step,
+  unnest([true, failed = 0, true, true]) AS success,
+  unnest(['Found ' || n || ' new files to process',
+          (n - failed) || ' processed, ' || failed || ' failed',
+          'Models rebuilt', 'Data quality tests completed']) AS message
+FROM (SELECT count(*) AS n, count(*) FILTER (WHERE refused OR stored = 0) AS failed
+      FROM landed_files)"""
+    ),
+    "strict_schema": on_accounts(
+        union(
+            *[
+                f"""SELECT '{name}' AS column_name, '{found}' AS found, '{wanted}' AS expected,
+  {str(found == wanted).lower()} AS matches,
+  count(*) FILTER (WHERE {name} IS NOT NULL AND TRY_CAST({name} AS {sql}) IS NULL) AS lost_values
+FROM accounts"""
+                for name, found, wanted, sql in _ACCOUNT_TYPES
+            ]
+        )
     ),
     "ingestion_log_rows": union(
         *[
@@ -802,15 +888,15 @@ FROM ledger WHERE year(Boekdatum) <> {WITHOUT_CORE} GROUP BY year(Boekdatum)"""
             for name, rows in (("order", "o_custkey"), ("copy", "o_orderkey"))
         ]
     ),
-    "file_inventory": on_ledger(
-        f"""SELECT {_EXPORT} AS filename,
-  CAST(CASE year(Boekdatum) WHEN {WITHOUT_CORE} THEN 18 ELSE 19 END AS BIGINT) AS n_columns,
+    "file_inventory": on_landed(
+        f"""SELECT file AS filename, CAST(if(file = '{_NO_CORE}', 18, 19) AS BIGINT) AS n_columns,
   count(*) AS n_rows,
-  CAST(coalesce(sum(Debet), 0) AS DOUBLE) AS total_debit,
-  CAST(CASE year(Boekdatum) WHEN {WITHOUT_CORE} THEN 0 ELSE sum(Credit) END AS DOUBLE)
+  -- The twelfth column: where debit and credit are swapped, the credit.
+  CAST(sum(if(readable, coalesce(if(swapped, Credit, Debet), 0), 0)) AS DOUBLE) AS total_debit,
+  CAST(if(file = '{_NO_CORE}', 0, sum(if(readable, coalesce(Credit, 0), 0))) AS DOUBLE)
     AS total_credit,
   'Processed' AS status, 'File System Scan' AS source
-FROM ledger GROUP BY year(Boekdatum)"""
+FROM landed GROUP BY file"""
     ),
     "not_null_tests": _with(
         LEDGER, _text_cte(),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -262,7 +263,7 @@ def ingested(spark, folder):
 
 
 def ingest_status(spark, folder):
-    return ingested(spark, folder)[1].select("file", "status", "row_count", "message")
+    return ingested(spark, folder)[1].select("file", "status", "row_count", "rejected", "message")
 
 
 def ingest_counts(spark, folder):
@@ -273,11 +274,52 @@ def ingest_counts(spark, folder):
     )
 
 
-def raw_load(spark, folder):
+def landed_version(store, name):
+    manifest = store.manifest().where(F.col("landed") == name)
+    return manifest.select("snapshot_id").first()[0]
+
+
+def landed_extras(spark, folder):
+    """A version of an export that has a column of its own."""
+    store, _ = ingested(spark, folder)
+    rows = store.read(landed_version(store, f"DUMP{inputs.WITHOUT_OPTIONAL}.csv"))
+    return rows.select("Boekingsnummer", "Nummer", "Code1", "Code2", "Debet", "Credit", "Opmerking")
+
+
+def compare_landed(spark, folder):
+    """Versions of two exports, one with a column of its own."""
+    store, _ = ingested(spark, folder)
+    both = [landed_version(store, f"DUMP{y}.csv") for y in (1997, inputs.WITHOUT_OPTIONAL)]
+    return timetravel.compare_versions(store, *both).select(
+        "rows1", "rows2", "columns1", "columns2", "new_columns", "removed_columns"
+    )
+
+
+def declared_table(spark, folder):
+    """The stored rows through the catalog, declared before anything was stored."""
     store = VersionStore(spark, new_folder(spark, "store"))
-    version = store.load_raw(
-        ledger(spark, folder).select(*LEDGER.names), "manual.csv", inputs.LOADED_AT
+    name = f"declared_{uuid.uuid4().hex}"
+    store.create_table(name)
+    ingest_folder(store, inputs.landing(spark, folder), inputs.LOADED_AT)
+    return spark.table(name).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("Debet").alias("debit")
     )
+
+
+def export_parquet(spark, folder):
+    path = new_folder(spark, "export")
+    files.write_rows(ledger(spark, folder), path)
+    return spark.read.parquet(path).select(
+        "CodeGrootboekrekening", "Boekdatum", "Boekingsnummer", "Nummer", "Debet", "Credit"
+    )
+
+
+def raw_load(spark, folder):
+    """Two loads in one second; the first is read."""
+    store = VersionStore(spark, new_folder(spark, "store"))
+    first = ledger(spark, folder).select(*LEDGER.names)
+    version = store.load_raw(first, "manual.csv", inputs.LOADED_AT)
+    store.load_raw(first.limit(1), "manual.csv", inputs.LOADED_AT)
     return store.read(version).select(
         "CodeGrootboekrekening", "Boekdatum", "Boekingsnummer", "Debet", "Credit",
         "_loaded_at", "_source_file", "_data_version",
@@ -285,8 +327,8 @@ def raw_load(spark, folder):
 
 
 def incremental_ingest(spark, folder):
-    """Two runs over the same folder: the second finds nothing new."""
-    store = VersionStore(spark, new_folder(spark, "store"))
+    """A batch run and two of the stream over one folder: the stream finds nothing new."""
+    store, _ = ingested(spark, folder)
     checkpoint = new_folder(spark, "stream")
     for _ in range(2):
         ingest_available(
@@ -601,6 +643,10 @@ QUERIES: dict[str, Query] = {
     "permissive_cast": permissive_cast,
     "migrate": migrate,
     "raw_load": raw_load,
+    "landed_extras": landed_extras,
+    "compare_landed": compare_landed,
+    "declared_table": declared_table,
+    "export_parquet": export_parquet,
     "conformance_report": conformance,
     "ingest_status": ingest_status,
     "ingest_counts": ingest_counts,

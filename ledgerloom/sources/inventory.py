@@ -66,6 +66,11 @@ def file_inventory(
     totals = spark.createDataFrame([], _TOTALS)
     for frame in frames:
         totals = totals.unionByName(frame)
+    # Parts of one export may differ in the order of their columns.
+    totals = totals.groupBy("_source_file").agg(
+        F.max("n_columns").alias("n_columns"),
+        *[F.sum(name).alias(name) for name in ("n_rows", "total_debit", "total_credit")],
+    )
     # A readable file without rows still has columns.
     headers = spark.createDataFrame(
         [(source.name, len(source.columns or ())) for source in sources],

@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.timetravel import compare_versions
 from ledgerloom.plans.ingest import ingest_folder, status_counts
 from ledgerloom.plans.marts import current_marts
 from ledgerloom.plans.refresh import refresh
@@ -199,3 +200,64 @@ def test_names_with_odd_characters_are_kept_apart(store, tmp_path):
     assert {r._source_file: r["count"] for r in stored} == {n: i for i, n in enumerate(names, 1)}
     assert store.read(status["my file+1%.csv"].version_id).count() == 1
     assert {r.status for r in ingest_folder(store, str(folder), NOW).collect()} == {"skipped"}
+
+
+def test_each_file_is_bound_by_its_own_header(store, tmp_path):
+    folder = tmp_path / "in" / "year.csv"
+    folder.mkdir(parents=True)
+    swapped = list(HEADER)
+    d, c = swapped.index("Debet"), swapped.index("Credit")
+    swapped[d], swapped[c] = "Credit", "Debet"
+    csv(folder / "part-0.csv", [line(Debet="7", Credit="0")])
+    csv(folder / "part-1.csv", [line(Debet="0", Credit="9", Boekingsnummer=2)], swapped)
+    status = ingest_folder(store, str(tmp_path / "in"), NOW).collect()
+    assert [(r.file, r.status, r.row_count, r.rejected) for r in status] == [
+        ("year.csv", "processed", 2, 0)
+    ]
+    found = {r.Boekingsnummer: (int(r.Debet), int(r.Credit)) for r in store.read_all().collect()}
+    assert found == {1: (7, 0), 2: (0, 9)}
+
+
+def test_equal_names_in_two_folders_are_two_sources(store, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        csv(tmp_path / "in" / name / "same.csv", [line()] if name == "a" else [line(), line()])
+    status = ingest_folder(store, str(tmp_path / "in"), NOW).collect()
+    assert [(r.file, r.row_count) for r in status] == [("a/same.csv", 1), ("b/same.csv", 2)]
+    assert store.manifest().count() == 2
+
+
+def test_rejected_records_are_counted(store, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    csv(folder / "some.csv", [line(), line(Boekdatum="soon"), line(Boekdatum="")])
+    (folder / "lines.json").write_text(json.dumps(line(Credit="1")) + "\n{broken\n")
+    status = {r.file: (r.row_count, r.rejected) for r in ingest_folder(store, str(folder), NOW).collect()}
+    assert status == {"some.csv": (1, 2), "lines.json": (1, 1)}
+
+
+def test_the_stream_knows_what_a_batch_ingested(store, landing, tmp_path):
+    ingest_folder(store, str(landing), NOW)
+    ingest_available(store, str(landing), str(tmp_path / "checkpoint"), clock=lambda: NOW)
+    assert store.read_all().count() == 5
+
+
+def test_a_failure_before_the_commit_leaves_nothing_twice(store, landing, monkeypatch):
+    def fails(described):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "commit", fails)
+        with pytest.raises(RuntimeError):
+            ingest_folder(store, str(landing), NOW)
+    assert store.read_all().count() == 0 and store.ingestion_log().count() == 0
+    ingest_folder(store, str(landing), NOW + dt.timedelta(hours=1))
+    assert store.read_all().count() == 5
+
+
+def test_columns_of_its_own_stay_with_a_version(store, landing):
+    status = {r.file: r for r in ingest_folder(store, str(landing), NOW).collect()}
+    assert store.read(status["DUMP2024.csv"].version_id).first().Extra == "note"
+    assert "Extra" not in store.read(status["data.csv"].version_id).columns
+    found = compare_versions(store, status["data.csv"].version_id, status["DUMP2024.csv"].version_id).first()
+    assert found.new_columns == ["Extra"] and (found.columns1, found.columns2) == (22, 23)
