@@ -31,7 +31,7 @@ from ledgerloom.llm.words import saved
 ORDER = 4
 QUANTILE = 0.995
 SLACK = 1.25  # a text may be by so much more perplexing than the quantile
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 6_000_000
 SMALL_IDS = 2_000_000  # trusted keys that are sent to all tasks; more are joined by a shuffle
 BEFORE, AFTER, NO_LANGUAGE = "\x02", "\x03", ""
 
@@ -52,10 +52,17 @@ class Grams:
         self.fits = len(self.alphabet) ** ORDER < 2**62
         sizes = np.array([len(t) for t in texts], np.int64)
         counts = np.maximum(sizes - ORDER + 1, 0)
-        self.text = np.repeat(np.arange(len(texts)), counts)
+        self.text = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
         starts = np.repeat(np.cumsum(sizes) - sizes, counts)
         at = starts + np.arange(len(self.text)) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.numbers = self.pack(np.stack([points[at + k] for k in range(ORDER)], axis=1))
+        if self.fits:
+            place = np.searchsorted(self.alphabet, points).astype(np.int32)
+            self.numbers = place[at].astype(np.int64)
+            for k in range(1, ORDER):
+                self.numbers *= len(self.alphabet)
+                self.numbers += place[at + k]
+        else:
+            self.numbers = self.pack(np.stack([points[at + k] for k in range(ORDER)], axis=1))
 
     def pack(self, points: np.ndarray) -> np.ndarray:
         """Rows of code points as one sortable value each."""
