@@ -36,8 +36,8 @@ ASCII_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+"
     r"| ?[^\t-\r\x20A-Za-z0-9]+|[\t-\r\x20]+(?![^\t-\r\x20])|[\t-\r\x20]+"
 )
-KEPT_WORDS = 400_000
-SLICE_CHARS = 4_000_000
+KEPT_WORDS = 150_000
+SLICE_CHARS = 1_500_000
 NONE = np.iinfo(np.int64).max
 
 

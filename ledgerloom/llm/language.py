@@ -32,8 +32,8 @@ SMOOTHING = 0.5
 SWITCH_PENALTY = 12.0
 SCRIPT_SHARE = 0.01
 RULED_OUT = -1e4
-SLICE_CHARS = 2_000_000  # looked at together for trigrams
-PART_CHARS = 6_000_000  # labelled together
+SLICE_CHARS = 1_000_000  # looked at together for trigrams
+PART_CHARS = 2_000_000  # labelled together
 
 # First and last code point of the letters of a script.
 SCRIPTS = {

@@ -11,6 +11,7 @@ always part further down, so no group of copies can make a unit large.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,30 +23,44 @@ from ledgerloom.llm.words import saved
 
 STRIDE = 4
 BITS = 64
+WIDTH = 50_000  # so many node pairs are followed down together
 DIRECT = 32  # node pairs of so many combinations are compared one by one
 
 
-def node_pairs(values: np.ndarray, others: np.ndarray | None, depth: int, diff: int, radius: int):
-    """Places (i, j) of near values. Both arrays are sorted and unsigned; ``others`` is None
-    to join an array with itself, each pair once. ``depth`` bits are alike but for ``diff``."""
+def node_pairs(
+    values: np.ndarray, others: np.ndarray | None, depth: int, diff: int, radius: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of near values, some at a time. Both arrays are sorted and unsigned;
+    ``others`` is None to join an array with itself, each pair once. ``depth`` bits are alike
+    but for ``diff``. Where there are many node pairs, some wait while others are followed
+    down, so that what is held at once is bounded."""
     same_array = others is None
     others = values if same_array else others
-    a = np.array([[0, len(values)]])
-    b = np.array([[0, len(others)]])
-    diffs = np.array([diff])
-    same = np.array([same_array])
-    found_i, found_j = [], []
-    while len(a):
-        size = (a[:, 1] - a[:, 0]) * (b[:, 1] - b[:, 0])
+    waiting = [
+        (
+            depth,
+            np.array([[0, len(values)]], np.int32),
+            np.array([[0, len(others)]], np.int32),
+            np.array([diff], np.int8),
+            np.array([same_array]),
+        )
+    ]
+    while waiting:
+        depth, a, b, diffs, same = waiting.pop()
+        if len(a) > WIDTH:
+            for k in range(0, len(a), WIDTH):
+                part = slice(k, k + WIDTH)
+                waiting.append((depth, a[part], b[part], diffs[part], same[part]))
+            continue
+        size = (a[:, 1] - a[:, 0]).astype(np.int64) * (b[:, 1] - b[:, 0])
         small = (size <= DIRECT) | (depth == BITS)
         if small.any():
             i, j = _combinations(a[small], b[small], same[small])
             near = np.bitwise_count(values[i] ^ others[j]) <= radius
-            found_i.append(i[near])
-            found_j.append(j[near])
+            yield i[near], j[near]
             a, b, diffs, same = a[~small], b[~small], diffs[~small], same[~small]
-            if not len(a):
-                break
+        if not len(a):
+            continue
         bit = np.uint64(BITS - 1 - depth)
         mid_a = _middle(values, a, bit)
         mid_b = mid_a if same_array and same.all() else _middle(others, b, bit)
@@ -64,17 +79,14 @@ def node_pairs(values: np.ndarray, others: np.ndarray | None, depth: int, diff:
             & ~mirrored
             & ~(same & (a[:, 1] - a[:, 0] < 2))
         )
-        a, b, diffs, same = a[keep], b[keep], diffs[keep], same[keep]
-        depth += 1
-    if not found_i:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(found_i), np.concatenate(found_j)
+        if keep.any():
+            waiting.append((depth + 1, a[keep], b[keep], diffs[keep], same[keep]))
 
 
 def _middle(values: np.ndarray, spans: np.ndarray, bit: np.uint64) -> np.ndarray:
     """Of each span of values that agree above the bit: where the bit becomes one."""
     ones = np.r_[0, np.cumsum((values >> bit) & np.uint64(1), dtype=np.int64)]
-    return spans[:, 1] - (ones[spans[:, 1]] - ones[spans[:, 0]])
+    return (spans[:, 1] - (ones[spans[:, 1]] - ones[spans[:, 0]])).astype(np.int32)
 
 
 def _combinations(a: np.ndarray, b: np.ndarray, same: np.ndarray):
@@ -88,10 +100,11 @@ def _combinations(a: np.ndarray, b: np.ndarray, same: np.ndarray):
     return i[keep], j[keep]
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the pairs join what was apart before: at most n - 1 of them."""
+def forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs join what was apart: at most as many as there are labels, less one,
+    over all calls. ``label`` says what is joined already, and is brought up to date."""
     keep = np.zeros(len(i), bool)
-    label = np.arange(n)
+    n = len(label)
     open_ = np.arange(len(i))
     while len(open_):
         x, y = label[i[open_]], label[j[open_]]
@@ -110,7 +123,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             if (further == label_of).all():
                 break
             label_of = further
-        label = label_of[label]
+        label[:] = label_of[label]
     return keep
 
 
@@ -197,16 +210,13 @@ def _walked(units: DataFrame, depth: int, radius: int) -> DataFrame:
             for k in range(batch.num_rows):
                 a = _sorted(left[k])
                 b = _sorted(right[k]) if right[k].is_valid else None
-                i, j = node_pairs(a, b, depth, diff[k].as_py(), radius)
-                if b is None:
-                    kept = forest(len(a), i, j)
-                    a_of, b_of = a[i[kept]], a[j[kept]]
-                else:
-                    kept = forest(len(a) + len(b), i, j + len(a))
-                    a_of, b_of = a[i[kept]], b[j[kept]]
-                tables.append(np.full(len(a_of), table[k].as_py(), np.int32))
-                i_s.append(a_of.view(np.int64))
-                j_s.append(b_of.view(np.int64))
+                every = a if b is None else np.concatenate([a, b])
+                label, shift = np.arange(len(every)), 0 if b is None else len(a)
+                for i, j in node_pairs(a, b, depth, diff[k].as_py(), radius):
+                    kept = forest(label, i, j + shift)
+                    i_s.append(every[i[kept]].view(np.int64))
+                    j_s.append(every[j[kept] + shift].view(np.int64))
+                    tables.append(np.full(len(i_s[-1]), table[k].as_py(), np.int32))
             if tables:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x)) for x in (tables, i_s, j_s)],

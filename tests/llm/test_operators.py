@@ -261,10 +261,11 @@ def test_viterbi_agrees_with_all_paths():
     begins = np.array([0, 4, 4, 5, 11])
     labels = language.viterbi(scores, begins, 3.0)
     for begin, end in zip(begins, begins[1:]):
+        if begin == end:
+            continue
         paths = np.array(np.meshgrid(*[[0, 1]] * (end - begin))).reshape(end - begin, -1).T
         value = lambda p: sum(scores[begin + k, x] for k, x in enumerate(p)) - 3.0 * sum(p[1:] != p[:-1])
-        if end > begin:
-            assert value(labels[begin:end]) == pytest.approx(max(map(value, paths)))
+        assert value(labels[begin:end]) == pytest.approx(max(map(value, paths)))
 
 
 def test_mixed_text_has_spans(spark):
