@@ -84,21 +84,36 @@ def _packed(smallest: Column) -> Column:
 
 
 def _densified(dense: Column) -> Column:
-    starts, strides = _integers(_STARTS), _integers(_STRIDES)
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    numbers = F.sequence(F.lit(0), F.lit(BINS - 1))
 
-    def tried(n: Column, start: Column, stride: Column) -> Column:
+    def tried(start: Column, stride: Column) -> Column:
         # Evaluated from the left, and no further than the first that is not empty.
         return F.coalesce(
-            F.get(dense, n),
             *[
                 F.get(dense, (start + stride * k).bitwiseAND(F.lit(BINS - 1)))
                 for k in range(BINS)
             ],
         )
 
-    numbers = F.sequence(F.lit(0), F.lit(BINS - 1))
-    filled = F.transform(numbers, lambda n: tried(n, F.get(starts, n), F.get(strides, n)))
-    return F.unhex(F.array_join(F.transform(filled, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    def filled(n: Column, starts: Column, strides: Column) -> Column:
+        return F.coalesce(
+            F.get(dense, n),
+            let(
+                F.get(starts, n),
+                lambda start: let(F.get(strides, n), lambda stride: tried(start, stride)),
+            ),
+        )
+
+    # The tables are made once per text: a place in a lambda would make them for each look.
+    bins = let(
+        _integers(_STARTS),
+        lambda starts: let(
+            _integers(_STRIDES),
+            lambda strides: F.transform(numbers, lambda n: filled(n, starts, strides)),
+        ),
+    )
+    return F.unhex(F.array_join(F.transform(bins, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
