@@ -42,12 +42,6 @@ ACCOUNT_ORDER = (
     "Code2",
     "debit_amount",
     "credit_amount",
-    # The rest tells apart lines alike in all that, so that a sum up to a line is one value.
-    "account_name",
-    "description",
-    "invoice_number",
-    "source_file",
-    "data_version",
 )
 
 
