@@ -502,7 +502,7 @@ _ACCOUNT_TYPES = [
     ("account_name", "string", "string", "VARCHAR"),
     ("total_transactions", "bigint", "bigint", "BIGINT"),
     *[
-        (name, "decimal(38,2)", "double", "DOUBLE")
+        (name, "decimal(28,2)", "double", "DOUBLE")
         for name in ("total_debit", "total_credit", "net_balance", "total_vat")
     ],
     ("net_amount_last_12_months", "decimal(28,2)", "double", "DOUBLE"),
