@@ -320,3 +320,48 @@ def test_perplexity_agrees_with_brute_force(spark):
     found = {r.doc_id: r.perplexity for r in kneser_ney.scored(docs, keys).collect()}
     expected = brute_kneser_ney(trusted, trusted + others)
     assert [found[k] for k in range(len(rows))] == pytest.approx(expected)
+
+
+def five_words(text: str) -> set:
+    words = text.split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def brute_groups(texts: dict) -> set:
+    """Groups of keys that chains of similarities of 0.8 or more hold together."""
+    sets = {k: five_words(t) for k, t in texts.items()}
+    group = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b]) if a < b else 0
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                old, new = group[a], group[b]
+                group = {k: new if g == old else g for k, g in group.items()}
+    return {frozenset(k for k in sets if group[k] == g) for g in group.values()}
+
+
+def found_groups(spark, texts: dict) -> set:
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {}
+    for r in neardup.groups(docs).collect():
+        found.setdefault(bytes(r.root), set()).add(r.smallest)
+    return {frozenset(g) for g in found.values()}
+
+
+def test_near_copies_of_edited_blocks_agree_with_brute_force(spark):
+    drawn = random.Random(7)
+    words = lambda n: ["".join(drawn.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    rows = {}
+    for k in range(60):
+        whole = words(150)
+        edited = {
+            0: whole + words(drawn.randint(26, 42)),  # appended
+            1: whole[: drawn.randint(112, 128)],  # cut
+            2: whole[:133] + words(17 + k % 3),  # another end
+            3: words(15) + whole[15:],  # another head
+        }[k % 4]
+        rows[k], rows[100 + k] = " ".join(whole), " ".join(edited)
+    expected = brute_groups(rows)
+    assert 20 < len(expected) < 120  # similarities on both sides of the bound
+    missed = expected - found_groups(spark, rows)
+    assert len(missed) <= 2  # one group, or the two halves of it
