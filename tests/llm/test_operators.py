@@ -365,3 +365,15 @@ def test_near_copies_of_edited_blocks_agree_with_brute_force(spark):
     assert 20 < len(expected) < 120  # similarities on both sides of the bound
     missed = expected - found_groups(spark, rows)
     assert len(missed) <= 2  # one group, or the two halves of it
+
+
+def test_near_copies_among_texts_with_a_long_common_passage_agree_with_brute_force(spark):
+    drawn = random.Random(11)
+    words = lambda n: ["".join(drawn.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    passage, rows = words(110), {}
+    for k in range(150):
+        own = words(30)
+        rows[k] = " ".join(passage + own)
+        if k % 3 == 0:
+            rows[1000 + k] = " ".join(passage + own[:-3] + words(3))
+    assert found_groups(spark, rows) == brute_groups(rows)
