@@ -32,6 +32,7 @@ SMOOTHING = 0.5
 SWITCH_PENALTY = 12.0
 SCRIPT_SHARE = 0.01
 RULED_OUT = -1e4
+ERRORS = 3.0  # standard errors that a text's fit is given
 SLICE_CHARS = 1_000_000  # looked at together for trigrams
 PART_CHARS = 2_000_000  # labelled together
 
@@ -109,6 +110,8 @@ class Model:
     languages: list[str]
     scores: np.ndarray  # bucket x language: log probability
     allowed: np.ndarray  # script x language: 0 or RULED_OUT
+    known: np.ndarray | None = None  # per script: whether a language is written in it
+    spread: np.ndarray | None = None  # per language: of the log probabilities of its letters
 
     def word_scores(self, words: Words) -> np.ndarray:
         """word x language: how much less likely than the likeliest."""
@@ -196,18 +199,10 @@ def held_out(key: str = "doc_id") -> Column:
 
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """The model of rows with a language; see the module about its bounds."""
-    rows = labelled.select(
-        F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")
-    ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for name, size in sizes.items():
-        share = F.when(F.col("lang") == name, min(1.0, SAMPLE_DOCS / size)).otherwise(share)
+    sizes, rows = _sampled(labelled, key, text, lang)
     # A row of ``feature`` below 0 counts the letters of a script.
     counts = (
-        rows.where(drawn < share)
-        .select("lang", "text")
+        rows.select("lang", "text")
         .mapInArrow(_counts, "lang string, feature int, n long")
         .groupBy("lang", "feature")
         .agg(F.sum("n").alias("n"))
@@ -223,9 +218,25 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     letters[-feature[feature < 0], at[feature < 0]] = n[feature < 0]
     scores = np.log(table + SMOOTHING) - np.log(table.sum(0) + SMOOTHING * BUCKETS)
     used = letters >= SCRIPT_SHARE * np.maximum(letters.sum(0), 1)
-    used |= ~used.any(1, keepdims=True)  # a script that nobody uses rules nobody out
+    known = used.any(1)
+    used |= ~known[:, None]  # a script that nobody uses rules nobody out
     allowed = np.where(used, 0.0, RULED_OUT)
-    return Model(languages, scores.astype(np.float32), allowed.astype(np.float32))
+    share = table / np.maximum(table.sum(0), 1)
+    spread = np.sqrt(np.maximum((share * scores**2).sum(0) - (share * scores).sum(0) ** 2, 0))
+    return Model(languages, scores.astype(np.float32), allowed.astype(np.float32), known, spread)
+
+
+def _sampled(labelled: DataFrame, key: str, text: str, lang: str) -> tuple[dict[str, int], DataFrame]:
+    """Rows per language, and the drawn ones of them as ``key, text, lang``."""
+    rows = labelled.select(
+        F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")
+    ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.lit(0.0)
+    for name, size in sizes.items():
+        share = F.when(F.col("lang") == name, min(1.0, SAMPLE_DOCS / size)).otherwise(share)
+    return sizes, rows.where(drawn < share)
 
 
 def _counts(batches):
@@ -257,11 +268,12 @@ def _counts(batches):
 
 
 def identified(
-    docs: DataFrame, model: Model, text: str = "text", with_spans: bool = False
+    docs: DataFrame, model: Model, text: str = "text", with_spans: bool = False, with_fit: bool = False
 ) -> DataFrame:
-    """The rows with ``lang_pred`` and ``score``, and ``spans`` (language and letters of each)
-    if asked for. Columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score", "spans")
+    """The rows with ``lang_pred`` and ``score``, and if asked for ``spans`` (language and
+    letters of each) or ``fit`` and ``known_share`` (see ``_fits``). Columns of these names are
+    replaced."""
+    docs = docs.drop("lang_pred", "score", "spans", *(["fit", "known_share"] if with_fit else []))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 
@@ -282,6 +294,9 @@ def identified(
                 }
                 if with_spans:
                     added["spans"] = _spans(known, texts, labels, lengths)
+                if with_fit:
+                    fit, known_share = _fits(known, texts, names, labels)
+                    added |= {"fit": pa.array(fit), "known_share": pa.array(known_share)}
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, *added.values()], names=[*batch.schema.names, *added]
                 )
@@ -289,9 +304,46 @@ def identified(
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     fields += ["lang_pred string", "score double"]
     fields += ["spans array<struct<lang: string, letters: bigint>>"] if with_spans else []
+    fields += ["fit double, known_share double"] if with_fit else []
     return docs.mapInArrow(work, ", ".join(fields))
 
 
+def _fits(model: Model, texts: list[str], names: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: how likely its letters are at the most, and how many of them are of scripts
+    in which a language of the model is written.
+
+    The former is the mean log probability of a letter by the labels of its words, plus
+    ``ERRORS`` standard errors of such a mean, so that short texts get the benefit of the doubt.
+    """
+    fit, share = np.zeros(len(texts)), np.zeros(len(texts))
+    if not model.languages:
+        return fit, share
+    done = 0
+    for a, b in _slices(texts):
+        words = words_of(texts[a:b])
+        counts = np.diff(words.begins)
+        letters = np.repeat(np.arange(len(words.starts)), words.lengths)
+        text = np.repeat(np.arange(b - a), counts)[letters]
+        p = model.scores[words.buckets, labels[done : done + len(words.starts)][letters]]
+        done += len(words.starts)
+        n = np.maximum(np.bincount(text, minlength=b - a), 1)
+        place = {name: k for k, name in enumerate(model.languages)}
+        spread = np.array([model.spread[place[x]] if x in place else 0.0 for x in names[a:b]])
+        fit[a:b] = np.bincount(text, p, b - a) / n + ERRORS * spread / np.sqrt(n)
+        share[a:b] = np.bincount(text, model.known[words.scripts][letters], b - a) / n
+    return fit, share
+
+
+def least_fits(
+    labelled: DataFrame, model: Model, quantile: float, key: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> dict[str, float]:
+    """Per language: the ``fit`` that all but a share of its (drawn) labelled rows have."""
+    rows = _sampled(labelled, key, text, lang)[1]
+    found = identified(rows, model, with_fit=True).where(F.col("lang_pred") == F.col("lang"))
+    found = found.groupBy("lang").agg(F.percentile_approx("fit", quantile, 10000).alias("least"))
+    return {r["lang"]: r["least"] for r in found.collect()}
+
+
 def _spans(model: Model, texts: list[str], labels: np.ndarray, lengths: np.ndarray) -> pa.Array:
     kind = pa.list_(pa.struct([("lang", pa.string()), ("letters", pa.int64())]))
     if not model.languages:

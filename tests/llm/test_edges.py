@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and long texts, repeated rows, clashing names, no rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,20 @@ def test_repeated_source_names_and_null_sources_are_mixed(docs):
     assert sum(r.rate * r["size"] for r in table) == pytest.approx(
         docs.agg(F.sum(F.length(F.coalesce("text", F.lit(""))))).first()[0]
     )
+
+
+def test_language_stage_rejects_what_is_no_learned_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    letters = random.Random(3)
+    texts = [
+        "Сегодня утром мы пошли на рынок, чтобы купить хлеб и молоко, но магазин был закрыт",
+        "Dzisiaj rano poszliśmy na targ, żeby kupić chleb i mleko dla całej rodziny, ale sklep był "
+        "jeszcze zamknięty i musieliśmy wrócić do domu",
+        " ".join("".join(letters.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40)),
+        " ".join("".join(letters.choices("bcdfghjklmnpqrstvwxz", k=6)) for _ in range(40)),
+    ]
+    odd = spark.createDataFrame([(f"odd{k}", t) for k, t in enumerate(texts)], "doc_id string, text string")
+    both = docs.withColumn("doc_id", F.col("doc_id").cast("string")).unionByName(odd, allowMissingColumns=True)
+    kept = [r.doc_id for r in corpus_pipeline.in_known_language(spark, both, "").select("doc_id").collect()]
+    assert not [k for k in kept if k.startswith("odd")]
+    assert len(kept) >= 0.997 * docs.count()  # 0.1% of the labelled ones may go
