@@ -2,7 +2,8 @@
 
 The model is of sequences of ``ORDER`` characters, one per language, and is learned from
 trusted texts. A document's perplexity under its language's model is compared with a
-quantile of the trusted documents' perplexities in that language.
+quantile of the perplexities of trusted documents in that language that are held out from the
+counts: what is counted looks less perplexing than other texts of the same quality.
 
 Work goes by blocks of documents. Each block lists its different n-grams once, with their
 counts in trusted texts. All counts, continuation counts and context sums are made by
@@ -13,7 +14,9 @@ the corpus, and none of it passes through the driver or one task.
 
 Defined results: text is taken with its white space as single blanks. A text without a
 character has no perplexity and is not kept. A language (a null one is a language of its own)
-without trusted text has no model: its documents have no perplexity and are kept. Repeated
+without trusted text has no model: its documents have no perplexity and are kept. If none of
+a language's trusted texts is held out, the counted ones set its threshold; if all are, it has
+no model. Repeated
 rows are counted and scored each. Extra columns are not read.
 """
 
@@ -23,14 +26,14 @@ import secrets
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.words import saved
 
 ORDER = 4
-QUANTILE = 0.995
-SLACK = 1.25  # a text may be by so much more perplexing than the quantile
+QUANTILE = 0.97
+HELD_OUT = 5  # one in so many trusted texts is not counted, but sets the threshold
 BLOCK_CHARS = 6_000_000
 SMALL_IDS = 2_000_000  # trusted keys that are sent to all tasks; more are joined by a shuffle
 BEFORE, AFTER, NO_LANGUAGE = "\x02", "\x03", ""
@@ -308,6 +311,11 @@ def scored(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     )
 
 
+def held_out(key: str) -> Column:
+    """The trusted rows that are not counted."""
+    return F.pmod(F.xxhash64(F.lit("held out"), F.col(key)), F.lit(HELD_OUT)) == 0
+
+
 def judged(
     docs: DataFrame,
     trusted: DataFrame,
@@ -317,11 +325,16 @@ def judged(
     lang: str = "lang",
 ) -> DataFrame:
     """``key, n_grams, perplexity, threshold, kept`` of each row."""
-    rows = saved(scored(docs, trusted, key, text, lang), "perplexities")
+    counted = trusted.where(~held_out(key))
+    rows = scored(docs, counted, key, text, lang).join(
+        trusted.where(held_out(key)).select(key).distinct().withColumn("held_out", F.lit(True)), key, "left"
+    )
+    rows = saved(rows, "perplexities")
+    of = lambda rows_: F.percentile_approx(F.when(rows_, F.col("perplexity")), quantile, 10000)
     thresholds = (
-        rows.where("trusted")
+        rows.where(F.col("trusted") | F.col("held_out"))
         .groupBy("lang")
-        .agg((F.percentile_approx("perplexity", quantile, 10000) * SLACK).alias("threshold"))
+        .agg(F.coalesce(of(F.col("held_out")), of(F.col("trusted"))).alias("threshold"))
     )
     kept = F.col("has_text") & (
         F.col("perplexity").isNull() | (F.col("perplexity") <= F.col("threshold"))

@@ -377,3 +377,15 @@ def test_near_copies_among_texts_with_a_long_common_passage_agree_with_brute_for
         if k % 3 == 0:
             rows[1000 + k] = " ".join(passage + own[:-3] + words(3))
     assert found_groups(spark, rows) == brute_groups(rows)
+
+
+def test_threshold_is_the_quantile_of_held_out_trusted_texts(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang = 'en'")
+    trusted = docs.where("doc_id % 2 = 0").select("doc_id")
+    parts = trusted.withColumn("out", kneser_ney.held_out("doc_id"))
+    counted = parts.where(~F.col("out")).select("doc_id")
+    found = {r.doc_id: r.perplexity for r in kneser_ney.scored(docs, counted).collect()}
+    held = sorted(found[r.doc_id] for r in parts.where("out").collect() if found[r.doc_id])
+    rows = kneser_ney.judged(docs, trusted, quantile=0.5).collect()
+    assert {r.threshold for r in rows} == {held[math.ceil(len(held) / 2) - 1]}
+    assert all(r.kept == (r.perplexity <= r.threshold) for r in rows if r.perplexity)
