@@ -10,7 +10,8 @@ the operator is one projection without a shuffle.
 What is permuted: the local part of e-mail addresses, phone numbers after the country code,
 card numbers (Luhn), IBANs (mod 97, country kept), US social security numbers, IPv4
 addresses, and dates from 1800 to 2199, whose 146097 days are one cycle of the calendar.
-Numbers that fail their check are left as they are.
+Numbers that fail their check are left as they are. An IBAN ends where its country's length says;
+a date may be followed by a time; dates with a part of one digit are written without leading zeros.
 
 Defined results: a null text stays null with no finds; letter case and separators stay as
 they are. Repeated rows are treated alike. Extra columns stay; a column with the name of a
@@ -28,24 +29,51 @@ DAYS, FIRST_DAY = 146097, "1800-01-01"
 DAY_RADIX = 773  # 146097 = 189 * 773
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_YEAR, _MONTH, _DAY = r"(?:18|19|20|21)[0-9]{2}", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12][0-9]|3[01])"
+_YEAR, _MONTH, _DAY = r"(?:18|19|20|21)[0-9]{2}", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12][0-9]|3[01])"
 _CLEAR, _AHEAD = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 
+# The characters of an IBAN by its country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+# Fixed value: the telephone country codes, of which none begins another.
+CALLING = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
+def _iban(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    tail = rf" ?[A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}{_AHEAD}"
+
+
+_IBANS = "|".join(_iban(length, countries) for length, countries in IBAN_LENGTHS.items())
+
 # In order of precedence; a find is of the first kind whose whole pattern it is.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
-    "ymd": rf"(?<![0-9A-Za-z-]){_YEAR}-{_MONTH}-{_DAY}(?![0-9A-Za-z]|-[0-9])",
+    "ymd": rf"(?<![0-9A-Za-z-]){_YEAR}-{_MONTH}-{_DAY}(?:(?=T[0-9])|(?![0-9A-Za-z]|-[0-9]))",
     "dmy": rf"(?<![0-9A-Za-z./]){_DAY}(?:/{_MONTH}/|\.{_MONTH}\.){_YEAR}{_AHEAD}",
     "mdy": rf"(?<![0-9A-Za-z./]){_MONTH}/{_DAY}/{_YEAR}{_AHEAD}",
     "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "phone": (
         r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
+        # E.164 has at most 15 digits, however they are grouped.
+        r"|(?<![0-9A-Za-z+])\+[0-9](?:[ .-]?[0-9]){6,14}(?![0-9A-Za-z])"
         r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9A-Za-z])"
-        r"|(?<![0-9A-Za-z+-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
+        r"|(?<![0-9A-Za-z+-])(?:1-)?[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
+        r"|(?<![0-9A-Za-z+.-])(?:1\.)?[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
+    ),
+    "card": (
+        r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})"
+        r"(?![0-9A-Za-z])"
     ),
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z])",
-    "iban": rf"{_CLEAR}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_AHEAD}",
+    # Other countries' are of any length.
+    "iban": rf"{_CLEAR}(?:{_IBANS})|{_CLEAR}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_AHEAD}",
 }
 PATTERN = "|".join(KINDS.values())
 
@@ -188,7 +216,9 @@ def pseudonym(find: Column, key: str) -> Column:
 def _pseudonym(find: Column, kind: Column, key: str) -> Column:
     digits = F.regexp_replace(find, "[^0-9]", "")
     compact = F.regexp_replace(find, " ", "")
-    country = F.regexp_extract(find, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    country = F.regexp_extract(
+        find, rf"^\+(?:[0-9]{{1,3}}(?=[ .(-])|{CALLING}(?=[0-9]))|^1(?=[.-][0-9]{{3}}[.-])", 0
+    )
     # The part whose characters are the symbols.
     shape = (
         F.when(kind == "email", F.substring_index(find, "@", 1))
@@ -243,8 +273,10 @@ def _written(find, kind, shape, new, compact, country) -> Column:
     filled = _filled(shape, new)
     value = lambda k: F.get(new, k)["v"]
     date = F.date_add(F.lit(FIRST_DAY).cast("date"), value(0) * DAY_RADIX + value(1))
-    separator = F.substr(find, F.lit(3), F.lit(1))
-    year, month, day = F.date_format(date, "yyyy"), F.date_format(date, "MM"), F.date_format(date, "dd")
+    separator = F.regexp_extract(find, "[/.]", 0)
+    one_digit = find.rlike("(?:^|[-/.])[0-9](?:[-/.]|$)")
+    shown = lambda part: F.when(one_digit, F.date_format(date, part)).otherwise(F.date_format(date, part * 2))
+    year, month, day = F.date_format(date, "yyyy"), shown("M"), shown("d")
     padded = lambda n, size: F.lpad(n.cast("string"), size, "0")
     area = value(0) + 1 + (value(0) >= 665).cast("int")
     account = F.regexp_replace(filled, " ", "")

@@ -389,3 +389,29 @@ def test_threshold_is_the_quantile_of_held_out_trusted_texts(spark):
     rows = kneser_ney.judged(docs, trusted, quantile=0.5).collect()
     assert {r.threshold for r in rows} == {held[math.ceil(len(held) / 2) - 1]}
     assert all(r.kept == (r.perplexity <= r.threshold) for r in rows if r.perplexity)
+
+
+FORMS = {
+    "iban": ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "DE89370400440532013000", "NO93 8601 1117 947"],
+    "ymd": ["2020-03-04T12:00:00Z", "2020-3-4"],
+    "dmy": ["3/4/2020", "3.4.2020", "13/4/2020", "03/04/2020"],
+    "mdy": ["3/14/2020", "12/31/2020"],
+    "phone": [
+        "+14155550123", "+4915112345678", "+1 2025550143", "+49 30 1234567", "+33 6 12 34 56 78",
+        "+33 12 34 56 78 90", "415.555.0123", "1-415-555-0123", "415-555-0123", "+1 (415) 555-0123",
+    ],
+    "card": ["3782 822463 10005", "3782-822463-10005", "4111 1111 1111 1111"],
+}
+
+
+def test_personal_data_is_found_in_every_written_form(spark):
+    rows = [(kind, form) for kind, forms in FORMS.items() for form in forms]
+    docs = [(k, f, f"at {f} EUR AND more") for k, f in rows] + [(k, f, f"At {f}. Then") for k, f in rows]
+    frame = spark.createDataFrame(docs, "kind string, form string, text string")
+    for r in pii.pseudonymised(frame).collect():
+        value = r.form.split("T")[0] if r.kind == "ymd" else r.form
+        assert r.pii == [r.kind] and value not in r.text, (r.form, r.text)
+        assert r.text.endswith(" EUR AND more") or r.text.endswith(". Then")
+    codes = {r.form: r.text for r in pii.pseudonymised(frame).where("text LIKE 'at %'").collect()}
+    assert codes["+14155550123"].startswith("at +1") and codes["+4915112345678"].startswith("at +49")
+    assert codes["1-415-555-0123"].startswith("at 1-") and "T12:00:00Z" in codes["2020-03-04T12:00:00Z"]
