@@ -21,7 +21,7 @@ from ledgerloom.functions.rules import (
     check_date,
     check_text,
 )
-from ledgerloom.session import new_folder
+from ledgerloom.session import shared_folder
 
 # --- declared tests ---------------------------------------------------------
 
@@ -307,13 +307,11 @@ def validation_report(
 
     Records are told apart by their own columns: numbering all of them would
     sort everything to show a few. The rules are evaluated once: what they reject is written to
-    the shared folder, counted and shown from there.
+    the shared folder, counted and shown from there. A checkpoint keeps the columns that the
+    order may be bound to.
     """
-    spark = validated.sparkSession
-    rejected = invalid_records(validated)
-    path = new_folder(spark, "invalid")
-    rejected.write.parquet(path)
-    invalid = spark.read.schema(rejected.schema).parquet(path)
+    shared_folder(validated.sparkSession)
+    invalid = invalid_records(validated).checkpoint()
     more = max(0, invalid.count() - shown)
     return (
         invalid.orderBy(*order)

@@ -12,8 +12,6 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 from ledgerloom.schema import LOADED_LEDGER  # noqa: E402
 from ledgerloom.session import build_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
