@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import mixing, quality_rules
+from ledgerloom.llm import clustering, hard_negatives, mixing, quality_rules
 
 QUALITY = f"""
 WITH texts AS (
@@ -92,4 +92,89 @@ SELECT doc_id, source, copy::INTEGER AS copy, n_copies,
 FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM counted)
 """
 
-ORACLES = {"op2_quality_rules": QUALITY, "op3_mixing": MIXING}
+FINITE = """embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+def _clustering() -> str:
+    """One assignment and one move of the centroids per round, as common table expressions."""
+    away = "list_sum(list_transform(range(1, 65), lambda i: (r.v[i] - c.v[i]) * (r.v[i] - c.v[i])))"
+    steps = [
+        f"""rows AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: floor({clustering.SCALE} * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND {FINITE}
+),
+centroids0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY digest) - 1 AS number, v FROM (
+        SELECT v, sha256('{clustering.SEED}:' || vec_id) AS digest FROM rows
+        ORDER BY digest LIMIT {clustering.CLUSTERS}
+    )
+)"""
+    ]
+    for k in range(clustering.ROUNDS + 1):
+        steps.append(
+            f"""assigned{k} AS MATERIALIZED (
+    SELECT vec_id, v, least[2] AS cluster, least[1] AS distance FROM (
+        SELECT r.vec_id, any_value(r.v) AS v, min([{away}, c.number]) AS least
+        FROM rows r, centroids{k} c GROUP BY r.vec_id
+    )
+)"""
+        )
+        if k < clustering.ROUNDS:
+            steps.append(
+                f"""means{k} AS (
+    SELECT cluster, i, (total - ((total % n) + n) % n) // n AS mean FROM (
+        SELECT cluster, i, sum(v[i])::BIGINT AS total, count(*) AS n
+        FROM (SELECT cluster, v, unnest(range(1, 65)) AS i FROM assigned{k}) GROUP BY cluster, i
+    )
+),
+centroids{k + 1} AS MATERIALIZED (
+    SELECT c.number, coalesce(m.v, c.v) AS v FROM centroids{k} c
+    LEFT JOIN (SELECT cluster, list(mean ORDER BY i) AS v FROM means{k} GROUP BY cluster) m
+        ON c.number = m.cluster
+)"""
+            )
+    last = clustering.ROUNDS
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + f"""
+SELECT vec_id, cluster::INTEGER AS cluster, distance::BIGINT AS distance,
+    (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+    (sum(distance) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM assigned{last} a JOIN centroids{last} c ON a.cluster = c.number
+"""
+    )
+
+
+NEGATIVES = f"""
+WITH rows AS MATERIALIZED (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::DOUBLE)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND {FINITE}
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id AS other_id,
+        list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+),
+positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {hard_negatives.POSITIVES}
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+    SELECT anchor_id, positive_id, positive_score, other_id AS negative_id, score AS negative_score,
+        row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT alike AND {hard_negatives.WINDOW[0]} * positive_score <= 100 * score
+        AND 100 * score <= {hard_negatives.WINDOW[1]} * positive_score
+) WHERE rank <= {hard_negatives.NEGATIVES}
+"""
+
+ORACLES = {
+    "op2_quality_rules": QUALITY,
+    "op3_mixing": MIXING,
+    "op12_clustering": _clustering(),
+    "op13_hard_negatives": NEGATIVES,
+}

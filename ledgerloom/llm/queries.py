@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, kneser_ney, language, licenses, minhash, mixing, oracles, pii, quality_rules, sharding, simhash
-from ledgerloom.llm.words import documents
+from ledgerloom.llm import (
+    bpe,
+    clustering,
+    hard_negatives,
+    kneser_ney,
+    language,
+    licenses,
+    minhash,
+    mixing,
+    oracles,
+    pii,
+    quality_rules,
+    sharding,
+    simhash,
+)
+from ledgerloom.llm.words import documents, embeddings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +91,17 @@ def quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.judged(documents(spark, folder), trusted)
 
 
+def clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.digests(embeddings(spark, folder))
+
+
+def negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = embeddings(spark, folder)
+    label = F.col("label").cast("long")
+    changed = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mined(vectors.withColumn("label", changed), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": near_duplicates,
     "op2_quality_rules": quality,
@@ -88,6 +113,8 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": bpe_digests,
     "op9_licenses": license_scan,
     "op10_language": languages,
+    "op12_clustering": clusters,
+    "op13_hard_negatives": negatives,
 }
 
 
