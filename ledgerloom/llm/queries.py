@@ -19,6 +19,7 @@ from ledgerloom.llm import (
     oracles,
     pii,
     quality_rules,
+    repeats,
     sharding,
     simhash,
 )
@@ -91,6 +92,10 @@ def quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.judged(documents(spark, folder), trusted)
 
 
+def without_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digests(documents(spark, folder))
+
+
 def clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clustering.digests(embeddings(spark, folder))
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": bpe_digests,
     "op9_licenses": license_scan,
     "op10_language": languages,
+    "op11_repeats": without_repeats,
     "op12_clustering": clusters,
     "op13_hard_negatives": negatives,
 }

@@ -16,6 +16,7 @@ from ledgerloom.llm import (
     neardup,
     pii,
     quality_rules,
+    repeats,
     sharding,
     simhash,
 )
@@ -37,6 +38,7 @@ OPERATORS = {
     "licenses": licenses.scanned,
     "language": lambda d: language.identified(d, language.learn(d), with_spans=True),
     "neardup": neardup.deduplicated,
+    "repeats": repeats.cut,
 }
 ONE_ROW_EACH = set(OPERATORS) - {"mixing", "neardup"}
 
