@@ -10,8 +10,8 @@ that the cumulative probabilities of one draw fit a short array for any rate.
 
 Defined results: a null source is a source of its own; a null or empty text has size 0 and
 is drawn like others of its source; if all of a source's texts are empty its rate is 0.
-Repeated rows draw the same count. Extra columns stay; a column with the name of a result is
-replaced by the result.
+Repeated rows draw the same count; a row without a key draws by its text. Extra columns stay; a
+column with the name of a result is replaced by the result.
 """
 
 from __future__ import annotations
@@ -100,7 +100,8 @@ def mixed(
     table = saved(rates(docs, weights, epochs, source, text), "mixing-rates").select(
         "_source", "rate", "draws", "cumulative"
     )
-    named = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    unnamed = F.concat(F.lit("null:"), F.md5(text_of(text)))
+    named = F.coalesce(F.col(key).cast("string"), unnamed)
     below = lambda draw: F.size(
         F.filter("cumulative", lambda c: c <= uniform(named, draw.cast("string")))
     )

@@ -82,12 +82,12 @@ laws AS (
 ),
 counted AS (
     SELECT d.*, rate, list_sum(list_transform(range(1, draws + 1), lambda j: len(list_filter(cumulative,
-        lambda c: c <= ('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || j), 1, 13))::BIGINT
+        lambda c: c <= ('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.doc_id::VARCHAR, 'null:' || md5(coalesce(d.text, ''))) || ':' || j), 1, 13))::BIGINT
             / pow(2, 52)))))::INTEGER AS n_copies
     FROM documents d JOIN laws l ON d.source IS NOT DISTINCT FROM l.source
 )
 SELECT doc_id, source, copy::INTEGER AS copy, n_copies,
-    ('0x' || substr(md5('{mixing.SEED + 1}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), 1, 15))::BIGINT
+    ('0x' || substr(md5('{mixing.SEED + 1}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) || ':' || copy), 1, 15))::BIGINT
         AS shuffle_key, text
 FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM counted)
 """
