@@ -5,6 +5,11 @@ shards decide, and within it to a bucket small enough for memory. Then each buck
 (Spark's ``shuffle`` of an array is Fisher-Yates) and written. Nothing but the buckets'
 counts is needed to number the records of a shard without gaps.
 
+Each bucket is a partition of its own, whose number is that of shard and bucket, and the records
+are sorted before they are shuffled. Spark seeds a shuffle by the given seed and the number of the
+partition, so the order follows from the seed, whatever the session's settings, and a task that
+is run again gives the same order.
+
 The shard is the one of largest seeded hash (rendezvous hashing), so that one more shard
 takes rows only into itself. Copies of a text differ in their keys and are spread over
 buckets; only rows alike in key, size and text share one.
@@ -25,7 +30,7 @@ from ledgerloom.session import new_folder
 
 LAW = "key"
 SEED = 20
-BUCKET_BYTES = 8 * 1024 * 1024
+BUCKET_BYTES = 32 * 1024 * 1024
 
 
 def rendezvous(key: str, shards: int) -> Column:
@@ -64,6 +69,8 @@ def write_shards(
         "text_crc32",
         "grown_shard",
     ]
+    # Of rows that agree in these, the other columns decide; maps have no hash.
+    others = [f.name for f in docs.schema if f.name not in RESULTS and "map<" not in f.dataType.simpleString()]
     scattered = (
         docs.withColumns(sized(text))
         .withColumns(
@@ -71,35 +78,45 @@ def write_shards(
                 "shard": rendezvous(key, shards),
                 "grown_shard": rendezvous(key, shards + 1),
                 "_order": F.xxhash64(F.lit(SEED + 1), F.col(key), "size", "text_crc32"),
+                "_tie": F.xxhash64(F.lit(SEED + 1), *others),
             }
         )
         .withColumn(
-            "bucket",
-            F.pmod(F.xxhash64(F.lit(SEED + 2), "_order"), F.lit(buckets)).cast("int"),
+            "_bucket",
+            F.col("shard") * buckets + F.pmod(F.xxhash64(F.lit(SEED + 2), "_order"), F.lit(buckets)).cast("int"),
         )
-        .repartition("shard", "bucket")
+        .repartitionById(shards * buckets, F.col("_bucket"))
     )
     record = F.struct(*columns)
-    # Sorted before it is shuffled: rows arrive in no fixed order.
-    ordered = F.array_sort(
-        "records",
-        lambda a, b: F.when(a["_order"] < b["_order"], -1)
-        .when(a["_order"] > b["_order"], 1)
-        .otherwise(0),
-    )
     (
-        scattered.groupBy("shard", "bucket")
-        .agg(F.collect_list(F.struct("_order", record.alias("row"))).alias("records"))
-        .select("shard", "bucket", F.shuffle(ordered, SEED).alias("records"))
-        .select("shard", "bucket", F.posexplode("records").alias("place", "record"))
-        .select("record.row.*", "shard", "bucket", "place")
+        scattered.groupBy("_bucket")
+        .agg(F.collect_list(F.struct("_order", "_tie", record.alias("row"))).alias("records"))
+        .select("_bucket", F.shuffle(_sorted("records"), SEED).alias("records"))
+        .select("_bucket", F.posexplode("records").alias("place", "record"))
+        .select(
+            "record.row.*",
+            F.floor(F.col("_bucket") / buckets).cast("int").alias("shard"),
+            (F.col("_bucket") % buckets).alias("bucket"),
+            "place",
+        )
         .sortWithinPartitions("shard", "bucket", "place")
         .write.partitionBy("shard")
         .parquet(path)
     )
 
 
-RESULTS = {"shard", "bucket", "place", "slot", "grown_shard", "law", "size", "text_crc32", "_order"}
+def _sorted(records: str) -> Column:
+    """Before they are shuffled: rows arrive in no fixed order."""
+
+    def order(a: Column, b: Column) -> Column:
+        earlier = (a["_order"] < b["_order"]) | ((a["_order"] == b["_order"]) & (a["_tie"] < b["_tie"]))
+        same = (a["_order"] == b["_order"]) & (a["_tie"] == b["_tie"])
+        return F.when(same, 0).when(earlier, -1).otherwise(1)
+
+    return F.array_sort(records, order)
+
+
+RESULTS = {"shard", "bucket", "place", "slot", "grown_shard", "law", "size", "text_crc32", "_order", "_tie", "_bucket"}
 
 
 def read_shards(docs: DataFrame, path: str) -> DataFrame:
