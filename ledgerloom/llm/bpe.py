@@ -3,7 +3,9 @@
 The words of a batch that were not met before are laid out as one flat array of symbols.
 A round finds every neighbouring pair's rank by binary search over the sorted pair keys,
 merges the lowest-ranked pair of each word (all its places, left to right), and repeats
-until no word has a pair to merge. Results are kept per word in a table of bounded size.
+until no word has a pair to merge. Results are kept per word in a table of bounded size. A long
+word, such as a line of base64, is merged by itself: its rounds touch only the places of the lowest
+rank and their neighbours, so that time grows with the merges, not with rounds times length.
 
 The vocabulary file is read on the driver and broadcast: its size is that of the file, not
 of the data. There is no shuffle; each task works through its own batches, so a lost
@@ -16,6 +18,7 @@ read. Repeated rows give repeated results.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -37,6 +40,7 @@ ASCII_PATTERN = (
     r"| ?[^\t-\r\x20A-Za-z0-9]+|[\t-\r\x20]+(?![^\t-\r\x20])|[\t-\r\x20]+"
 )
 KEPT_WORDS = 150_000
+LONG_WORD = 256  # bytes; a longer word is merged by itself
 SLICE_CHARS = 1_500_000
 NONE = np.iinfo(np.int64).max
 
@@ -92,6 +96,10 @@ class Encoder:
         """The ids of each word (32-bit), by merge rounds over all words together."""
         v = self.vocabulary
         raw = [word.encode() for word in words]
+        long = {k: self.merged_long(r) for k, r in enumerate(raw) if len(r) > LONG_WORD}
+        if long:
+            others = iter(self.merged([w for k, w in enumerate(words) if k not in long]))
+            return [long[k] if k in long else next(others) for k in range(len(raw))]
         lengths = np.array([len(r) for r in raw], np.int64)
         symbols = v.of_byte[np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw)), lengths)
@@ -127,6 +135,70 @@ class Encoder:
         ends = (4 * np.searchsorted(word[order], np.arange(len(raw) + 1))).tolist()
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
+    def merged_long(self, raw: bytes) -> bytes:
+        """The ids of one long word. A round takes only the places of the lowest rank, which wait
+        by rank, and looks up only the pairs that its merges have made."""
+        v = self.vocabulary
+        symbols = v.of_byte[np.frombuffer(raw, np.uint8)]
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n)  # neighbours; the last place is no symbol
+        at, rank = self._ranks(symbols, np.zeros(n, np.int64))
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[rank[places] != NONE]
+            if not len(places):
+                return
+            places = places[np.argsort(rank[places], kind="stable")]
+            found = rank[places]
+            cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
+            for part in np.split(places, cuts) if len(cuts) else [places]:
+                number = int(rank[part[0]])
+                if number not in waiting:
+                    waiting[number] = []
+                    heapq.heappush(ranks, number)
+                waiting[number].append(part)
+
+        wait(np.arange(n))
+        while ranks:
+            lowest = heapq.heappop(ranks)
+            parts = waiting.pop(lowest)
+            places = np.unique(np.concatenate(parts)) if len(parts) > 1 else np.sort(parts[0])
+            places = places[rank[places] == lowest]  # others were merged meanwhile
+            if not len(places):
+                continue
+            # Of places in a row (only where both symbols are alike) every other one counts.
+            follows = np.zeros(len(places), bool)
+            follows[1:] = after[places[:-1]] == places[1:]
+            if follows.any():
+                number = np.arange(len(places))
+                first = np.maximum.accumulate(np.where(follows, 0, number))
+                places = places[(number - first) % 2 == 0]
+            gone = after[places]
+            symbols[places] = v.made[at[places]]
+            rank[gone] = NONE
+            after[places] = after[gone]
+            before[after[gone]] = places
+            changed = before[places]
+            changed = np.unique(np.concatenate([places, changed[changed >= 0]]))
+            right = after[changed]
+            inside = right < n
+            rank[changed] = NONE
+            changed, right = changed[inside], right[inside]
+            wanted = symbols[changed] * v.size + symbols[right]
+            found = np.minimum(np.searchsorted(v.keys, wanted), len(v.keys) - 1)
+            hit = v.keys[found] == wanted
+            at[changed[hit]] = found[hit]
+            rank[changed[hit]] = v.ranks[found[hit]]
+            wait(changed[hit])
+        kept, place = [], 0
+        after_list = after.tolist()
+        while place < n:
+            kept.append(place)
+            place = after_list[place]
+        return symbols[kept].astype(np.int32).tobytes()
+
     def _ranks(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each symbol with its neighbour: place among the pair keys, and rank."""
         v = self.vocabulary
