@@ -8,10 +8,16 @@ all documents, different ones different pseudonyms, and nothing has to be stored
 the operator is one projection without a shuffle.
 
 What is permuted: the local part of e-mail addresses, phone numbers after the country code,
-card numbers (Luhn), IBANs (mod 97, country kept), US social security numbers, IPv4
+card numbers (Luhn), IBANs (mod 97, country kept), US social security numbers, IPv4 and IPv6
 addresses, and dates from 1800 to 2199, whose 146097 days are one cycle of the calendar.
-Numbers that fail their check are left as they are. An IBAN ends where its country's length says;
-a date may be followed by a time; dates with a part of one digit are written without leading zeros.
+An IBAN ends where its country's length says; a date may be followed by a time; dates with a part of
+one digit are written without leading zeros. Of letters beyond ASCII, each moves within its 32
+neighbours.
+
+Kinds are looked for one after the other, those with check digits before those that many numbers
+look like. A kind is tried from every group of a number on, and takes only what is valid. So what
+fails its check hides nothing: it is left to the kinds that follow, and in the end as it is. Texts in
+which no kind's pattern is found are passed on after one search.
 
 Defined results: a null text stays null with no finds; letter case and separators stay as
 they are. Repeated rows are treated alike. Extra columns stay; a column with the name of a
@@ -46,39 +52,64 @@ CALLING = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3
 
 def _iban(length: int, countries: str) -> str:
     groups, rest = divmod(length - 4, 4)
-    tail = rf" ?[A-Z0-9]{{{rest}}}" if rest else ""
-    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}{_AHEAD}"
+    tail = rf"[ -]?[A-Za-z0-9]{{{rest}}}" if rest else ""
+    names = countries.replace(" ", "|")
+    return rf"(?i:{names})[0-9]{{2}}(?:[ -]?[A-Za-z0-9]{{4}}){{{groups}}}{tail}"
 
 
-_IBANS = "|".join(_iban(length, countries) for length, countries in IBAN_LENGTHS.items())
+_HEX = "[0-9A-Fa-f]{1,4}"
+_NAME = r"[\p{L}\p{N}._%+-]"
 
-# In order of precedence; a find is of the first kind whose whole pattern it is.
+# By kind: what stands before, the value, and what follows; in the order in which they are taken.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
-    "ymd": rf"(?<![0-9A-Za-z-]){_YEAR}-{_MONTH}-{_DAY}(?:(?=T[0-9])|(?![0-9A-Za-z]|-[0-9]))",
-    "dmy": rf"(?<![0-9A-Za-z./]){_DAY}(?:/{_MONTH}/|\.{_MONTH}\.){_YEAR}{_AHEAD}",
-    "mdy": rf"(?<![0-9A-Za-z./]){_MONTH}/{_DAY}/{_YEAR}{_AHEAD}",
-    "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
+    "email": (rf"(?<!{_NAME})", rf"{_NAME}+@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)+", ""),
+    "iban": (_CLEAR, "|".join(_iban(length, names) for length, names in IBAN_LENGTHS.items()), _AHEAD),
+    # Other countries' are of any length.
+    "other iban": (_CLEAR, r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _AHEAD),
+    "card": (
+        r"(?<![0-9A-Za-z+])",
+        r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}",
+        _AHEAD,
+    ),
+    "ip": (r"(?<![0-9A-Za-z.])", rf"(?:{_OCTET}\.){{3}}{_OCTET}", r"(?![0-9A-Za-z]|\.[0-9])"),
+    "ipv6": (
+        r"(?<![0-9A-Za-z:.])",
+        # All eight groups; or fewer, of which the first has a digit, with one gap.
+        rf"(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f]{{0,3}}[0-9])(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}}"
+        rf"|(?=[A-Fa-f]{{0,3}}[0-9]){_HEX}:(?::{_HEX}){{2,6}}",
+        r"(?![0-9A-Za-z:])",
+    ),
+    "ssn": (
+        r"(?<![0-9A-Za-z-])",
+        r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}",
+        r"(?![0-9A-Za-z]|-[0-9])",
+    ),
+    "ymd": (
+        r"(?<![0-9A-Za-z./-])",
+        "|".join(f"{_YEAR}{mark}{_MONTH}{mark}{_DAY}" for mark in ("-", "/", r"\.")),
+        r"(?:(?=T[0-9])|(?![0-9A-Za-z]|[./-][0-9]))",
+    ),
+    "dmy": (r"(?<![0-9A-Za-z./])", rf"{_DAY}(?:/{_MONTH}/|\.{_MONTH}\.){_YEAR}", _AHEAD),
+    "mdy": (r"(?<![0-9A-Za-z./])", rf"{_MONTH}/{_DAY}/{_YEAR}", _AHEAD),
     "phone": (
-        r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
+        r"(?<![0-9A-Za-z+])",
+        r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}"
         # E.164 has at most 15 digits, however they are grouped.
-        r"|(?<![0-9A-Za-z+])\+[0-9](?:[ .-]?[0-9]){6,14}(?![0-9A-Za-z])"
-        r"|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9A-Za-z])"
-        r"|(?<![0-9A-Za-z+-])(?:1-)?[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-        r"|(?<![0-9A-Za-z+.-])(?:1\.)?[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
-    ),
-    "card": (
-        r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})"
-        r"(?![0-9A-Za-z])"
+        r"|\+[0-9](?:[ .-]?[0-9]){6,14}"
+        r"|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}"
+        r"|(?<!-)(?:1-)?[0-9]{3}-[0-9]{3}-[0-9]{4}(?!-[0-9])"
+        r"|(?<![.-])(?:1\.)?[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?![.-][0-9])"
+        # Areas and exchanges of the North American plan begin with 2 to 9.
+        r"|(?<![.-]|[0-9] )(?:1 )?[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?!-[0-9])",
+        _AHEAD,
     ),
-    # Other countries' are of any length.
-    "iban": rf"{_CLEAR}(?:{_IBANS})|{_CLEAR}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_AHEAD}",
 }
-PATTERN = "|".join(KINDS.values())
+DATES = ("ymd", "dmy", "mdy")
+PATTERN = "|".join(f"{before}(?:{body}){after}" for before, body, after in KINDS.values())
 
 _SYMBOLS = "array<struct<v: int, r: int>>"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_SYMBOL = r"[0-9A-Za-z\x{80}-\x{FFFF}]"  # what is permuted; the rest of a shape stays
 
 
 def _symbol(value: Column, radix: Column | int) -> Column:
@@ -91,12 +122,13 @@ def _characters(text: Column) -> Column:
 
 
 def _character_symbols(text: Column) -> Column:
-    """Digits and letters of a text as symbols, letters without case."""
+    """Digits and letters of a text as symbols, letters without case; beyond ASCII, places among
+    32 neighbours."""
     return F.transform(
-        F.filter(_characters(F.lower(text)), lambda c: c.rlike("[0-9a-z]")),
-        lambda c: F.when(c.rlike("[0-9]"), _symbol(F.ascii(c) - 48, 10)).otherwise(
-            _symbol(F.ascii(c) - 97, 26)
-        ),
+        F.filter(_characters(F.lower(text)), lambda c: c.rlike(_SYMBOL)),
+        lambda c: F.when(c.rlike("[0-9]"), _symbol(F.ascii(c) - 48, 10))
+        .when(c.rlike("[a-z]"), _symbol(F.ascii(c) - 97, 26))
+        .otherwise(_symbol(F.ascii(c) % 32, 32)),
     )
 
 
@@ -140,13 +172,15 @@ def feistel(symbols: Column, kind: Column, key: str) -> Column:
 
 def _filled(shape: Column, symbols: Column) -> Column:
     """The shape with its digits and letters replaced by the symbols, in its letter case."""
-    letter = lambda s: F.when(s["r"] == 10, s["v"].cast("string")).otherwise(
-        F.substring(F.lit(LETTERS), s["v"] + 1, F.lit(1))
+    letter = lambda s, c: (
+        F.when(s["r"] == 10, s["v"].cast("string"))
+        .when(s["r"] == 26, F.substring(F.lit(LETTERS), s["v"] + 1, F.lit(1)))
+        .otherwise(_character(F.ascii(c) - F.ascii(c) % 32 + s["v"]))
     )
 
     def fill(state: Column, c: Column) -> Column:
-        new = letter(F.get(symbols, state["k"]))
-        is_symbol = c.rlike("[0-9A-Za-z]")
+        new = letter(F.get(symbols, state["k"]), c)
+        is_symbol = c.rlike(_SYMBOL)
         shown = F.when(c.rlike("[A-Z]"), F.upper(new)).when(is_symbol, new).otherwise(c)
         return F.struct(
             F.concat(state["out"], shown).alias("out"),
@@ -161,6 +195,11 @@ def _filled(shape: Column, symbols: Column) -> Column:
     )
 
 
+def _character(point: Column) -> Column:
+    """The character of a code point of four hexadecimal digits."""
+    return F.decode(F.unhex(F.lpad(F.hex(point), 4, "0")), "UTF-16BE")
+
+
 def _luhn_sum(digits: Column, doubled: int) -> Column:
     """Digits from the right, every second one doubled; ``doubled``: 0 if the last one is."""
     return F.aggregate(
@@ -187,143 +226,171 @@ def _mod97(text: Column) -> Column:
     )
 
 
-def _kind(find: Column) -> Column:
-    kind = None
-    for name, pattern in KINDS.items():
-        whole = find.rlike(f"^(?:{pattern})$")
-        kind = F.when(whole, name) if kind is None else kind.when(whole, name)
-    return kind
-
-
-def _date(find: Column, kind: Column) -> Column:
+def _date(find: Column, kind: str) -> Column:
     """The find as a date, null if the calendar has no such day."""
     parts = F.split(find, "[-/.]")
-    iso = (
-        F.when(kind == "ymd", find)
-        .when(kind == "dmy", F.concat_ws("-", F.get(parts, 2), F.get(parts, 1), F.get(parts, 0)))
-        .otherwise(F.concat_ws("-", F.get(parts, 2), F.get(parts, 0), F.get(parts, 1)))
-    )
-    return iso.try_cast("date")
+    order = {"ymd": (0, 1, 2), "dmy": (2, 1, 0), "mdy": (2, 0, 1)}[kind]
+    return F.concat_ws("-", *[F.get(parts, k) for k in order]).try_cast("date")
 
 
-def pseudonym(find: Column, key: str) -> Column:
-    """``kind`` (null if the find is not valid) and ``text`` to write in its place."""
-    return F.element_at(
-        F.transform(F.array(_kind(find)), lambda kind: _pseudonym(find, kind, key)), 1
-    )
+def _compact(find: Column) -> Column:
+    """An IBAN without separators, in capitals."""
+    return F.upper(F.regexp_replace(find, "[ -]", ""))
 
 
-def _pseudonym(find: Column, kind: Column, key: str) -> Column:
-    digits = F.regexp_replace(find, "[^0-9]", "")
-    compact = F.regexp_replace(find, " ", "")
-    country = F.regexp_extract(
-        find, rf"^\+(?:[0-9]{{1,3}}(?=[ .(-])|{CALLING}(?=[0-9]))|^1(?=[.-][0-9]{{3}}[.-])", 0
-    )
-    # The part whose characters are the symbols.
-    shape = (
-        F.when(kind == "email", F.substring_index(find, "@", 1))
-        .when(kind == "phone", F.substr(find, F.length(country) + 1))
-        .when(kind == "card", F.substr(find, F.lit(1), F.length(find) - 1))
-        .when(kind == "iban", F.substr(find, F.lit(5)))
+def _valid(find: Column, kind: str) -> Column:
+    if kind in DATES:
+        return _date(find, kind).isNotNull()
+    if kind == "card":
+        return _luhn_sum(F.regexp_replace(find, "[^0-9]", ""), 1) % 10 == 0
+    if kind in ("iban", "other iban"):
+        compact = _compact(find)
+        return _mod97(F.concat(F.substr(compact, F.lit(5)), F.substr(compact, F.lit(1), F.lit(4)))) == 1
+    return F.lit(True)
+
+
+def pseudonym(find: Column, kind: str, key: str) -> Column:
+    """What to write in the place of a valid find."""
+    value = lambda new, k: F.get(new, k)["v"]
+    drawn = lambda symbols, family, write: F.element_at(
+        F.transform(F.array(feistel(symbols.cast(_SYMBOLS), F.lit(family), key)), write), 1
     )
-    day = F.date_diff(_date(find, kind), F.lit(FIRST_DAY).cast("date"))
-    parts = F.split(find, "[.-]")
-    area = F.get(parts, 0).cast("int")
-    of_dates = kind.isin("ymd", "dmy", "mdy")
-    symbols = (
-        F.when(kind == "ip", _number_symbols(parts, 256))
-        .when(
-            of_dates,
-            F.array(_symbol(F.floor(day / DAY_RADIX), DAYS // DAY_RADIX), _symbol(day % DAY_RADIX, DAY_RADIX)),
+    if kind in DATES:
+        day = F.date_diff(_date(find, kind), F.lit(FIRST_DAY).cast("date"))
+        symbols = F.array(
+            _symbol(F.floor(day / DAY_RADIX), DAYS // DAY_RADIX), _symbol(day % DAY_RADIX, DAY_RADIX)
         )
-        .when(
-            kind == "ssn",
-            F.array(
-                _symbol(area - 1 - (area > 666).cast("int"), 898),
-                _symbol(F.get(parts, 1).cast("int") - 1, 99),
-                _symbol(F.get(parts, 2).cast("int") - 1, 9999),
-            ),
+
+        def dated(new: Column) -> Column:
+            date = F.date_add(F.lit(FIRST_DAY).cast("date"), value(new, 0) * DAY_RADIX + value(new, 1))
+            one_digit = find.rlike("(?:^|[-/.])[0-9](?:[-/.]|$)")
+            shown = {
+                part: F.when(one_digit, F.date_format(date, part)).otherwise(F.date_format(date, part * 2))
+                for part in "Md"
+            }
+            written = {"y": F.date_format(date, "yyyy"), "m": shown["M"], "d": shown["d"]}
+            mark = F.regexp_extract(find, "[-/.]", 0)
+            return F.concat(written[kind[0]], mark, written[kind[1]], mark, written[kind[2]])
+
+        # Dates of all formats share one permutation.
+        return drawn(symbols, "date", dated)
+    if kind == "ip":
+        symbols = _number_symbols(F.split(find, "[.]"), 256)
+        return drawn(symbols, kind, lambda new: F.array_join(F.transform(new, lambda s: s["v"].cast("string")), "."))
+    if kind == "ipv6":
+        groups = F.filter(F.split(F.lower(find), ":"), lambda g: g != "")
+        symbols = F.transform(groups, lambda g: _symbol(F.conv(g, 16, 10), 65536))
+
+        def grouped(new: Column) -> Column:
+            written = F.transform(new, lambda s: F.lower(F.hex(s["v"].cast("long"))))
+            gap = F.size(F.split(F.substring_index(find, "::", 1), ":"))  # groups before the gap
+            with_gap = F.concat(
+                F.array_join(F.slice(written, F.lit(1), gap), ":"),
+                F.lit("::"),
+                F.array_join(F.slice(written, gap + 1, F.size(written)), ":"),
+            )
+            text = F.when(find.contains("::"), with_gap).otherwise(F.array_join(written, ":"))
+            return F.when(find.rlike("[A-F]"), F.upper(text)).otherwise(text)
+
+        return drawn(symbols, kind, grouped)
+    if kind == "ssn":
+        parts = F.split(find, "-")
+        area = F.get(parts, 0).cast("int")
+        symbols = F.array(
+            _symbol(area - 1 - (area > 666).cast("int"), 898),
+            _symbol(F.get(parts, 1).cast("int") - 1, 99),
+            _symbol(F.get(parts, 2).cast("int") - 1, 9999),
         )
-        .otherwise(_character_symbols(shape))
-    ).cast(_SYMBOLS)
-    valid = (
-        F.when(of_dates, _date(find, kind).isNotNull())
-        .when(kind == "card", _luhn_sum(digits, 1) % 10 == 0)
-        .when(
-            kind == "iban",
-            _mod97(F.concat(F.substr(compact, F.lit(5)), F.substr(compact, F.lit(1), F.lit(4)))) == 1,
+
+        def numbered(new: Column) -> Column:
+            padded = lambda n, size: F.lpad(n.cast("string"), size, "0")
+            area = value(new, 0) + 1 + (value(new, 0) >= 665).cast("int")
+            return F.concat_ws(
+                "-", padded(area, 3), padded(value(new, 1) + 1, 2), padded(value(new, 2) + 1, 4)
+            )
+
+        return drawn(symbols, kind, numbered)
+    if kind in ("iban", "other iban"):
+        shape = F.substr(find, F.lit(5))
+
+        def banked(new: Column) -> Column:
+            filled = _filled(shape, new)
+            bank = F.concat(_compact(filled), F.upper(F.substr(find, F.lit(1), F.lit(2))), F.lit("00"))
+            check = F.lpad((98 - _mod97(bank)).cast("string"), 2, "0")
+            return F.concat(F.substr(find, F.lit(1), F.lit(2)), check, filled)
+
+        return drawn(_character_symbols(shape), "iban", banked)
+    if kind == "card":
+        shape = F.substr(find, F.lit(1), F.length(find) - 1)
+
+        def checked(new: Column) -> Column:
+            filled = _filled(shape, new)
+            last = F.pmod(-_luhn_sum(F.regexp_replace(filled, "[^0-9]", ""), 0), F.lit(10))
+            return F.concat(filled, last.cast("string"))
+
+        return drawn(_character_symbols(shape), kind, checked)
+    if kind == "email":
+        before, shape = F.lit(""), F.substring_index(find, "@", 1)
+    else:  # a phone number
+        before = F.regexp_extract(
+            find, rf"^\+(?:[0-9]{{1,3}}(?=[ .(-])|{CALLING}(?=[0-9]))|^1(?=[ .-][0-9]{{3}}[ .-])", 0
         )
-        .otherwise(kind.isNotNull())
-    )
-    # Dates of all formats share one permutation.
-    family = F.when(of_dates, F.lit("date")).otherwise(kind)
-    written = F.element_at(
-        F.transform(
-            F.array(feistel(symbols, family, key)),
-            lambda new: _written(find, kind, shape, new, compact, country),
-        ),
-        1,
-    )
-    return F.when(
-        valid, F.struct(kind.alias("kind"), written.alias("text"))
-    ).otherwise(F.struct(F.lit(None).cast("string").alias("kind"), find.alias("text")))
-
-
-def _written(find, kind, shape, new, compact, country) -> Column:
-    filled = _filled(shape, new)
-    value = lambda k: F.get(new, k)["v"]
-    date = F.date_add(F.lit(FIRST_DAY).cast("date"), value(0) * DAY_RADIX + value(1))
-    separator = F.regexp_extract(find, "[/.]", 0)
-    one_digit = find.rlike("(?:^|[-/.])[0-9](?:[-/.]|$)")
-    shown = lambda part: F.when(one_digit, F.date_format(date, part)).otherwise(F.date_format(date, part * 2))
-    year, month, day = F.date_format(date, "yyyy"), shown("M"), shown("d")
-    padded = lambda n, size: F.lpad(n.cast("string"), size, "0")
-    area = value(0) + 1 + (value(0) >= 665).cast("int")
-    account = F.regexp_replace(filled, " ", "")
-    bank = F.concat(account, F.substr(compact, F.lit(1), F.lit(2)), F.lit("00"))
-    return (
-        F.when(kind == "email", F.concat(filled, F.substr(find, F.length(shape) + 1)))
-        .when(kind == "phone", F.concat(country, filled))
-        .when(
-            kind == "card",
-            F.concat(
-                filled,
-                F.pmod(
-                    -_luhn_sum(F.regexp_replace(filled, "[^0-9]", ""), 0), F.lit(10)
-                ).cast("string"),
-            ),
+        shape = F.substr(find, F.length(before) + 1)
+    after = F.substr(find, F.length(before) + F.length(shape) + 1)
+    return drawn(_character_symbols(shape), kind, lambda new: F.concat(before, _filled(shape, new), after))
+
+
+_SEGMENT = "struct<text: string, kind: string>"
+
+
+def _cut(segment: Column, kind: str, key: str) -> Column:
+    """The segment, if nothing in it was replaced yet, cut at the valid finds of a kind."""
+    before, body, after = KINDS[kind]
+    text = segment["text"]
+    name = "iban" if kind == "other iban" else kind
+    plain = lambda t: F.struct(t.alias("text"), F.lit(None).cast("string").alias("kind"))
+
+    def woven(valid: Column) -> Column:
+        # The values themselves, amid what a find of the kind must stand amid; the longest first.
+        listed = F.array_sort(
+            F.array_distinct(valid), lambda a, b: F.coalesce(F.length(b) - F.length(a), F.lit(0)).cast("int")
         )
-        .when(
-            kind == "iban",
-            F.concat(F.substr(compact, F.lit(1), F.lit(2)), padded(98 - _mod97(bank), 2), filled),
+        quoted = F.transform(listed, lambda v: F.concat(F.lit("\\Q"), v, F.lit("\\E")))
+        pattern = F.concat(F.lit(before + "(?:"), F.array_join(quoted, "|"), F.lit(")" + after))
+        pieces = F.zip_with(
+            F.split(text, pattern),
+            F.regexp_extract_all(text, pattern, F.lit(0)),
+            lambda between, find: F.array(
+                plain(F.coalesce(between, F.lit(""))),
+                F.when(
+                    find.isNotNull(),
+                    F.struct(pseudonym(find, kind, key).alias("text"), F.lit(name).alias("kind")),
+                ),
+            ),
         )
-        .when(kind == "ip", F.array_join(F.transform(new, lambda s: s["v"].cast("string")), "."))
-        .when(kind == "ssn", F.concat_ws("-", padded(area, 3), padded(value(1) + 1, 2), padded(value(2) + 1, 4)))
-        .when(kind == "ymd", F.concat_ws("-", year, month, day))
-        .when(kind == "dmy", F.concat(day, separator, month, separator, year))
-        .when(kind == "mdy", F.concat(month, separator, day, separator, year))
-    )
+        return F.when(F.size(valid) > 0, F.array_compact(F.flatten(pieces))).otherwise(F.array(segment))
+
+    # Looking ahead consumes nothing, so that a value is tried from each of its groups on.
+    found = F.regexp_extract_all(text, F.lit(f"{before}(?=({body}){after})"), F.lit(1))
+    cut = F.element_at(F.transform(F.array(F.filter(found, lambda v: _valid(v, kind))), woven), 1)
+    return F.when(segment["kind"].isNotNull(), F.array(segment)).otherwise(cut)
+
+
+def _cut_all(segments: str, kind: str, key: str) -> Column:
+    return F.flatten(F.transform(segments, lambda segment: _cut(segment, kind, key)))
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """The rows with their text rewritten; ``pii`` lists the kinds of what was replaced."""
-    finds = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
-    # Texts without a find are passed on as they are.
-    woven = F.array_join(
-        F.flatten(
-            F.zip_with(
-                F.split(F.col(text), PATTERN),
-                F.transform("_new", lambda n: n["text"]),
-                lambda between, new: F.array(between, F.coalesce(new, F.lit(""))),
-            )
-        ),
-        "",
-    )
-    kinds = F.array_compact(F.transform("_new", lambda n: n["kind"]))
+    whole = F.array(F.struct(F.col(text).alias("text"), F.lit(None).cast("string").alias("kind")))
+    rows = docs.withColumn("_may", F.coalesce(F.col(text).rlike(PATTERN), F.lit(False)))
+    rows = rows.withColumn("_segments", F.when(F.col("_may"), whole).cast(f"array<{_SEGMENT}>"))
+    for kind in KINDS:
+        rows = rows.withColumn("_segments", _cut_all("_segments", kind, key))
+    new = F.array_join(F.transform("_segments", lambda s: s["text"]), "")
+    kinds = F.array_compact(F.transform("_segments", lambda s: s["kind"]))
     return (
-        docs.withColumn("_finds", finds)
-        .withColumn("_new", F.transform("_finds", lambda find: pseudonym(find, key)))
-        .withColumn(text, F.when(F.size("_finds") > 0, woven).otherwise(F.col(text)))
+        rows.withColumn(text, F.when(F.col("_may"), new).otherwise(F.col(text)))
         .withColumn("pii", F.coalesce(kinds, F.array().cast("array<string>")))
-        .drop("_finds", "_new")
+        .drop("_may", "_segments")
     )

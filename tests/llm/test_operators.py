@@ -392,18 +392,64 @@ def test_threshold_is_the_quantile_of_held_out_trusted_texts(spark):
 
 
 FORMS = {
-    "iban": ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "DE89370400440532013000", "NO93 8601 1117 947"],
-    "ymd": ["2020-03-04T12:00:00Z", "2020-3-4"],
+    "iban": [
+        "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "DE89370400440532013000", "NO93 8601 1117 947",
+        "de89 3704 0044 0532 0130 00", "DE89-3704-0044-0532-0130-00", "gb29nwbk60161331926819",
+    ],
+    "ymd": ["2020-03-04T12:00:00Z", "2020-3-4", "2020/03/04", "2020.3.4"],
     "dmy": ["3/4/2020", "3.4.2020", "13/4/2020", "03/04/2020"],
     "mdy": ["3/14/2020", "12/31/2020"],
     "phone": [
         "+14155550123", "+4915112345678", "+1 2025550143", "+49 30 1234567", "+33 6 12 34 56 78",
         "+33 12 34 56 78 90", "415.555.0123", "1-415-555-0123", "415-555-0123", "+1 (415) 555-0123",
+        "415 555 0123", "1 415 555 0123",
     ],
-    "card": ["3782 822463 10005", "3782-822463-10005", "4111 1111 1111 1111"],
+    "card": ["3782 822463 10005", "3782-822463-10005", "4111 1111 1111 1111", "4111111111111111"],
+    "ip": ["10.20.30.40"],
+    "ipv6": ["2001:db8:85a3:0:0:8a2e:370:7334", "2001:DB8::8A2E:370:7334", "2001:db8:1:2::1"],
+    "email": ["j.smith+x@mail.example", "müller@x.example", "мария@пример.example"],
+    "ssn": ["123-45-6789"],
 }
 
 
+def test_valid_values_beside_and_inside_others_are_found(spark):
+    one = {kind: forms[-1] for kind, forms in FORMS.items()}
+    rows = [(f"{a} {b}", [a, b], [one[a], one[b]]) for a in one for b in one if a != b]
+    rows = [(f"{one[a]} {one[b]}", kinds, values) for (_, kinds, values) in rows for a, b in [kinds]]
+    rows += [
+        ("PO12 4111 1111 1111 1111", ["card"], ["4111 1111 1111 1111"]),
+        ("ID42 4111111111111111", ["card"], ["4111111111111111"]),
+        ("no 0123 4111 1111 1111 1111 left", ["card"], ["4111 1111 1111 1111"]),
+        ("4111 1111 1111 1111 4111 1111 1111 1111", ["card", "card"], ["4111 1111 1111 1111"]),
+    ]
+    frame = spark.createDataFrame(rows, "text string, kinds array<string>, forms array<string>")
+    for r in pii.pseudonymised(frame.withColumn("before", F.col("text"))).collect():
+        assert r.pii == r.kinds, (r.before, r.text, r.pii)
+        assert not [f for f in r.forms if f in r.text], (r.before, r.text)
+
+
+def test_what_is_not_personal_data_stays(spark):
+    texts = [
+        "4111 1111 1111 1112 and DE88370400440532013000", "version 10.2.3, 1.2.3.4.5", "at 12:30:45 or std::vector",
+        "2021-02-30 13/13/2020", "0.5 100 200 3000 400", "call 555 1234 or 123 456 7890", "a@b and @home", "",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [(r.text, r.pii) for r in pii.pseudonymised(rows).collect()] == [(t, []) for t in texts]
+
+
+def test_pseudonyms_keep_their_format(spark):
+    rows = [(f"<{f}>",) for forms in FORMS.values() for f in forms]
+    got = pii.pseudonymised(spark.createDataFrame(rows, "text string").withColumn("old", F.col("text"))).collect()
+    shape = lambda t: re.sub("[^\\W\\d_]", "a", re.sub("[0-9]", "0", t))
+    for r in got:
+        if r.pii in (["ip"], ["ipv6"]):
+            assert re.sub("[0-9A-Fa-f]+", "x", r.old) == re.sub("[0-9A-Fa-f]+", "x", r.text)
+        elif r.pii == ["email"]:
+            assert r.old.split("@")[1] == r.text.split("@")[1] and len(r.old) == len(r.text)
+        elif r.pii[0] not in ("ymd", "dmy", "mdy"):
+            assert shape(r.old) == shape(r.text)
+
+
 def test_personal_data_is_found_in_every_written_form(spark):
     rows = [(kind, form) for kind, forms in FORMS.items() for form in forms]
     docs = [(k, f, f"at {f} EUR AND more") for k, f in rows] + [(k, f, f"At {f}. Then") for k, f in rows]

@@ -127,6 +127,18 @@ def test_matching_statistics_agree_with_search(seed):
             match = strings[s][a : a + n]
             assert n == min(window, len(strings[s]) - a) and text[p : p + n] == match
             assert y - x == sum(t.startswith(match, k) for t in strings for k in range(len(t)))
+    windows = {
+        (s, a): (x, y, text[p : p + window])
+        for which, at, length, low, high, place in index.stream(strings)
+        for s, a, n, x, y, p in zip(which, at, length, low, high, place)
+        if n == window
+    }
+    streamed = {
+        (s, a): (x, y, text[p : p + window])
+        for which, at, length, low, high, place in index.stream(strings, windows_only=True)
+        for s, a, n, x, y, p in zip(which, at, length, low, high, place)
+    }
+    assert windows == streamed
 
 
 def test_the_index_of_copies_hardly_grows():
