@@ -41,7 +41,7 @@ from ledgerloom.llm.words import forget, saved
 WINDOW = 100
 GRAMS = (32, 64, 88, 100)
 MOST = 4_000  # different segments of one gram
-PART = 1_000_000  # bytes of segments indexed together, about
+PART = 500_000  # bytes of segments indexed together, about
 AT_ONCE = 1 << 20  # bytes hashed at once; one longer text is cut into overlapping parts
 _PLACE = np.uint64((1 << 24) - 1)
 

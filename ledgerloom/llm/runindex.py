@@ -11,7 +11,8 @@ Strings are streamed through the index from right to left, all of them in step.
 is its matching statistic: the length of the match that begins here, at most ``window``, the interval
 of suffixes that begin with it, and one place in the text where it stands. A byte in front narrows
 the interval by counts of that byte in the runs; a match that would grow past ``window`` first loses
-its last byte, which widens the interval to the kept one that encloses it.
+its last byte, which widens the interval to the kept one that encloses it. The row of each string's
+last whole window is kept too: where only windows are asked for, streaming starts there.
 """
 
 from __future__ import annotations
@@ -26,8 +27,29 @@ def _doubled(ranks: np.ndarray, left: np.ndarray, size: int, step: int) -> np.nd
     other = np.zeros_like(ranks)
     inside = np.flatnonzero(left > step)  # otherwise the string has ended before
     other[inside] = ranks[inside + step] + 1
-    joined = ranks * (len(ranks) + 1) + other
-    return np.unique(joined, return_inverse=True)[1]
+    other += ranks * (len(ranks) + 1)
+    return _ranked(other)
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """The places of the values (of 0 and above) in order, equal ones as they stand."""
+    n = len(values)
+    bits = max(1, (n - 1).bit_length())
+    if not n or int(values.max()).bit_length() + bits > 63:
+        return np.argsort(values, kind="stable")
+    # Sorting numbers is several times faster than sorting their places.
+    return np.sort((values << bits) | np.arange(n)) & ((1 << bits) - 1)
+
+
+def _ranked(values: np.ndarray) -> np.ndarray:
+    """For each value, how many different ones are smaller."""
+    order = _order(values)
+    ordered = values[order]
+    new = np.zeros(len(values), np.int64)
+    new[1:] = ordered[1:] != ordered[:-1]
+    ranks = np.empty(len(values), np.int64)
+    ranks[order] = np.cumsum(new)
+    return ranks
 
 
 class RunIndex:
@@ -50,7 +72,7 @@ class RunIndex:
         for k in range(FIRST):
             here = np.flatnonzero(left > k)
             packed[here] += symbols[here + k] << (9 * (FIRST - 1 - k))
-        ranks = np.unique(packed, return_inverse=True)[1].astype(np.int64)
+        ranks = _ranked(packed)
         size, half, half_size = FIRST, None, 0
         while size < int(lengths.max(initial=0)):
             if size <= window - 1 <= 2 * size:
@@ -59,11 +81,17 @@ class RunIndex:
             size *= 2
         if half is None:
             half, half_size = ranks, size  # the strings are shorter than a window
-        suffixes = np.argsort(ranks, kind="stable")
+        suffixes = _order(ranks)
         del ranks, packed
 
-        before = symbols[suffixes - 1]
-        before[np.isin(suffixes, self.begins)] = 0
+        ahead = np.r_[0, symbols[:-1]]
+        ahead[self.begins] = 0
+        before = ahead[suffixes]
+        rows = np.empty(n, np.int64)
+        rows[suffixes] = np.arange(n)
+        last = ends - 1 - window  # of strings that have a window
+        self.entries = np.where(last >= self.begins, rows[np.maximum(last, 0)], -1) if n else last
+        self.entry_places = last
         cut = np.ones(n, bool)
         cut[1:] = before[1:] != before[:-1]
         self.run_starts = np.flatnonzero(cut)
@@ -99,6 +127,7 @@ class RunIndex:
 
         self.long_starts, self.long_ends = repeated(window)
         self.wide_starts, self.wide_ends = repeated(window - 1)
+        self.long_samples = suffixes[self.long_starts]
         self.wide_samples = suffixes[self.wide_starts]
         if len(self.long_starts):
             spans = np.stack([self.long_starts, self.long_ends], axis=1).reshape(-1)
@@ -123,34 +152,42 @@ class RunIndex:
         after = self.first_samples[self._runs[np.minimum(at, len(self._runs) - 1)]]
         return np.where(self.heads[run] == symbol, place, after) - 1
 
-    def stream(self, strings: list[bytes]):
-        """Matching statistics of strings that the index was built of, from right to left.
+    def stream(self, strings: list[bytes], windows_only: bool = False):
+        """Matching statistics of the strings that the index was built of, from right to left.
 
         Yields ``(which, at, length, low, high, place)``: for these strings, the match that begins
         at byte ``at`` has ``length`` bytes, stands at rows ``low`` to ``high`` and at ``place``.
         """
         lengths = np.array([len(s) for s in strings], np.int64)
-        which = np.argsort(-lengths, kind="stable")
-        which = which[lengths[which] > 0]
         offsets = np.r_[0, np.cumsum(lengths)]
         text = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
-        low, high = np.zeros(len(which), np.int64), np.full(len(which), self.size)
-        place = np.full(len(which), self.first_samples[0] if self.size else 0)
-        length = np.zeros(len(which), np.int64)
-        for step in range(1, int(lengths.max(initial=0)) + 1):
-            going = lengths[which] >= step
-            which, low, high = which[going], low[going], high[going]
-            place, length = place[going], length[going]
+        which = np.argsort(-lengths, kind="stable")
+        if windows_only:
+            which = which[lengths[which] >= self.window]
+            at = lengths[which] - self.window
+            low = self.entries[which]
+            place = self.entry_places[which]
+            low, high, place = self._enclosing(low, self.long_starts, self.long_ends, self.long_samples, place)
+            length = np.full(len(which), self.window)
+            yield which, at, length, low, high, place
+        else:
+            which = which[lengths[which] > 0]
+            at = lengths[which]
+            low, high = np.zeros(len(which), np.int64), np.full(len(which), self.size)
+            place = np.full(len(which), self.first_samples[0] if self.size else 0)
+            length = np.zeros(len(which), np.int64)
+        while True:
+            going = np.flatnonzero(at > 0)
+            if not len(going):
+                return
+            if len(going) < len(at):
+                which, at, low, high = which[going], at[going], low[going], high[going]
+                place, length = place[going], length[going]
             full = np.flatnonzero(length == self.window)
-            if len(full):
-                row = low[full]
-                at = np.maximum(np.searchsorted(self.wide_starts, row, side="right") - 1, 0)
-                if len(self.wide_starts):
-                    inside = (self.wide_starts[at] <= row) & (row < self.wide_ends[at])
-                    full, at = full[inside], at[inside]
-                    low[full], high[full] = self.wide_starts[at], self.wide_ends[at]
-                    place[full] = self.wide_samples[at]
-            at = lengths[which] - step
+            low[full], high[full], place[full] = self._enclosing(
+                low[full], self.wide_starts, self.wide_ends, self.wide_samples, place[full], high[full]
+            )
+            at = at - 1
             symbol = text[offsets[which] + at]
             place = self._next(symbol, low, place)
             base = self._smaller[symbol]
@@ -158,10 +195,24 @@ class RunIndex:
             length = np.minimum(length + 1, self.window)
             yield which, at, length, low, high, place
 
+    @staticmethod
+    def _enclosing(low, starts, ends, samples, place, high=None):
+        """The kept intervals around rows, or the rows alone; and a place of the first row."""
+        high = low + 1 if high is None else high
+        if not len(starts):
+            return low, high, place
+        at = np.maximum(np.searchsorted(starts, low, side="right") - 1, 0)
+        inside = (starts[at] <= low) & (low < ends[at])
+        return (
+            np.where(inside, starts[at], low),
+            np.where(inside, ends[at], high),
+            np.where(inside, samples[at], place),
+        )
+
     def repeats(self, strings: list[bytes]):
         """``which, at, earliest`` of all windows of the strings that stand at other places too."""
-        for which, at, length, low, high, _ in self.stream(strings):
-            found = np.flatnonzero((length == self.window) & (high - low > 1))
+        for which, at, length, low, high, _ in self.stream(strings, windows_only=True):
+            found = np.flatnonzero(high - low > 1)
             if len(found):
                 row = np.searchsorted(self.long_starts, low[found])
                 yield which[found], at[found], self.earliest[row]
