@@ -9,8 +9,9 @@ Work goes by blocks of documents. Each block lists its different n-grams once, w
 counts in trusted texts. All counts, continuation counts and context sums are made by
 aggregations over these lists, and the probability of every n-gram that occurs is found by
 joins with them, one level of the model after the other. The probabilities go back to the
-blocks, where the documents (kept packed meanwhile) are scored. What is gathered grows with
-the corpus, and none of it passes through the driver or one task.
+blocks, where the documents are scored: they wait packed, in a table bucketed by block, so that
+only lists of n-grams are shuffled. What is gathered grows with the corpus, and none of it passes
+through the driver or one task. A table is deleted when nothing reads it any more.
 
 Defined results: text is taken with its white space as single blanks. A text without a
 character has no perplexity and is not kept. A language (a null one is a language of its own)
@@ -29,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.words import saved
+from ledgerloom.llm.words import Bucketed, forget, saved
 
 ORDER = 4
 QUANTILE = 0.97
 HELD_OUT = 5  # one in so many trusted texts is not counted, but sets the threshold
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 24_000_000
+PART_CHARS = 4_000_000  # n-grams of so many characters are numbered at once
 SMALL_IDS = 2_000_000  # trusted keys that are sent to all tasks; more are joined by a shuffle
-BEFORE, AFTER, NO_LANGUAGE = "\x02", "\x03", ""
+BEFORE, AFTER = "\x02", "\x03"
+NO_LANGUAGE = "\x00"  # stands for null
 
 
 def prepared(text: str | None) -> str:
@@ -117,17 +120,21 @@ def _blocks(batches):
 def _block(batches: list[pa.RecordBatch]):
     table = pa.Table.from_batches(batches)
     block = secrets.randbits(62)
-    langs = np.array([x or NO_LANGUAGE for x in table.column("lang").to_pylist()], object)
+    langs = np.array([NO_LANGUAGE if x is None else x for x in table.column("lang").to_pylist()], object)
     trusted = np.array(table.column("trusted").to_pylist(), bool)
     texts = [prepared(t) for t in table.column("text").to_pylist()]
     for lang in sorted(set(langs)):
         mine = np.flatnonzero(langs == lang)
-        grams = Grams([texts[k] for k in mine])
-        numbers = np.unique(grams.numbers)
-        counted, times = np.unique(grams.numbers[trusted[mine][grams.text]], return_counts=True)
-        n = np.zeros(len(numbers), np.int64)
-        n[np.searchsorted(numbers, counted)] = times
-        yield _rows(block, lang, grams.spelled(numbers), n, None)
+        listed: dict[str, int] = {}
+        for part in _parts(mine, texts):
+            grams = Grams([texts[k] for k in part])
+            numbers = np.unique(grams.numbers)
+            counted, times = np.unique(grams.numbers[trusted[part][grams.text]], return_counts=True)
+            n = np.zeros(len(numbers), np.int64)
+            n[np.searchsorted(numbers, counted)] = times
+            for gram, more in zip(grams.spelled(numbers), n.tolist()):
+                listed[gram] = listed.get(gram, 0) + more
+        yield _rows(block, lang, list(listed), list(listed.values()), None)
     keys = pa.table({"key": table.column("key"), "lang": langs.tolist(), "text": texts})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, keys.schema) as writer:
@@ -137,6 +144,13 @@ def _block(batches: list[pa.RecordBatch]):
     yield _rows(block, None, [None], [None], plain.size.to_bytes(8, "little") + packed)
 
 
+def _parts(places: np.ndarray, texts: list[str]):
+    """The places, some at a time, by the length of their texts."""
+    sizes = np.cumsum([len(texts[k]) for k in places])
+    cuts = np.flatnonzero(np.diff(sizes // PART_CHARS)) + 1
+    return np.split(places, cuts)
+
+
 def _rows(block: int, lang: str | None, grams: list, n, documents: bytes | None) -> pa.RecordBatch:
     size = len(grams)
     return pa.RecordBatch.from_arrays(
@@ -215,7 +229,11 @@ def probabilities(counts: DataFrame) -> DataFrame:
         value = F.when(F.col("total").isNull(), F.col("p_shorter")).otherwise(
             (F.greatest(n - taken, F.lit(0.0)) + kept_back * F.col("p_shorter")) / F.col("total")
         )
+        below = p
         p = saved(rows.select("lang", "gram", value.alias("p")), "gram-probabilities")
+        if below is not None:
+            forget(below)
+    forget(*(levels[k] for k in range(1, ORDER)), *(wanted[k] for k in range(1, ORDER)))
     return p
 
 
@@ -232,19 +250,19 @@ def _scored(kind: pa.DataType):
             bits = np.zeros(len(texts))
             n = np.zeros(len(texts), np.int64)
             for lang in set(langs):
-                mine = np.flatnonzero(langs == lang)
                 of_lang = known_langs == lang
                 if not of_lang.any():
                     continue
                 whole = "".join(known_grams[of_lang])
-                grams_here = Grams([texts[k] for k in mine], whole)
                 points = np.frombuffer(whole.encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
-                keys = grams_here.pack(points)
-                order = np.argsort(keys)
-                at = np.searchsorted(keys[order], grams_here.numbers)
-                p = known_p[of_lang][order][at]
-                bits[mine] = -np.bincount(grams_here.text, p, len(mine))
-                n[mine] = np.bincount(grams_here.text, minlength=len(mine))
+                for mine in _parts(np.flatnonzero(langs == lang), texts):
+                    grams_here = Grams([texts[k] for k in mine], whole)
+                    keys = grams_here.pack(points)
+                    order = np.argsort(keys)
+                    at = np.searchsorted(keys[order], grams_here.numbers)
+                    p = known_p[of_lang][order][at]
+                    bits[mine] = -np.bincount(grams_here.text, p, len(mine))
+                    n[mine] = np.bincount(grams_here.text, minlength=len(mine))
             result.append(
                 pa.table(
                     {
@@ -279,12 +297,15 @@ def scored(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     marked = rows.join(side, "key", "left").select(
         "key", "text", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted")
     )
-    blocks = saved(marked.mapInArrow(_blocks, BLOCKS), "gram-blocks")
-    lists = blocks.where(F.col("gram").isNotNull()).select("block", "lang", "gram", "n")
+    blocks = Bucketed(marked.mapInArrow(_blocks, BLOCKS), "block")
+    lists = blocks.table().where(F.col("gram").isNotNull()).select("block", "lang", "gram", "n")
+    documents = blocks.table().where(F.col("documents").isNotNull()).select("block", "documents")
     counts = saved(lists.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
     p = probabilities(counts)
+    forget(counts)
     grams = lists.select(F.col("block").alias("of_block"), "lang", "gram").join(p, ["lang", "gram"])
-    documents = blocks.where(F.col("documents").isNotNull()).select("block", "documents")
+    grams = saved(grams.select("of_block", "lang", "gram", "p"), "gram-wanted")
+    forget(p)
     result = (
         documents.groupBy("block")
         .cogroup(grams.groupBy("of_block"))
@@ -293,15 +314,17 @@ def scored(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
             f"key {kind.simpleString()}, lang string, n_grams long, bits double, has_text boolean",
         )
     )
+    result = saved(result, "gram-scores")
+    blocks.drop()
+    forget(grams)
     perplexity = F.when(
         F.col("n_grams") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_grams"))
     )
     return (
-        saved(result, "gram-scores")
-        .join(ids, "key", "left")
+        result.join(ids, "key", "left")
         .select(
             "key",
-            "lang",
+            F.nullif("lang", F.lit(NO_LANGUAGE)).alias("lang"),
             "n_grams",
             perplexity.alias("perplexity"),
             F.coalesce("trusted", F.lit(False)).alias("trusted"),
@@ -339,6 +362,7 @@ def judged(
     kept = F.col("has_text") & (
         F.col("perplexity").isNull() | (F.col("perplexity") <= F.col("threshold"))
     )
-    return rows.join(saved(thresholds, "perplexity-thresholds"), "lang", "left").select(
+    thresholds = saved(thresholds.withColumnRenamed("lang", "of_lang"), "perplexity-thresholds")
+    return rows.join(thresholds, F.col("lang").eqNullSafe(F.col("of_lang")), "left").select(
         key, "n_grams", "perplexity", "threshold", F.coalesce(kept, F.lit(True)).alias("kept")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -68,6 +69,29 @@ def forget(*frames: DataFrame) -> None:
             where.getFileSystem(settings).delete(where, True)
 
 
+class Bucketed:
+    """A frame written to the shared folder by the hash of a column, so that joins and groups by
+    that column need not shuffle it."""
+
+    def __init__(self, frame: DataFrame, column: str, least: int = 32):
+        self.spark = frame.sparkSession
+        self.name = f"bucketed_{uuid.uuid4().hex}"
+        path = new_folder(self.spark, "bucketed")
+        buckets = max(least, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        with without_leftovers(self.spark):
+            writer = frame.write.bucketBy(buckets, column).option("path", path).format("parquet")
+            writer.saveAsTable(self.name)
+        self._rows = self.spark.table(self.name)
+        _folders[self._rows] = path
+
+    def table(self) -> DataFrame:
+        return self._rows
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        forget(self._rows)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
