@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,9 @@ from pyspark.sql import types as T
 
 from ledgerloom.operators.filters import anti_join
 from ledgerloom.schema import LOADED_LEDGER
-from ledgerloom.sources.files import Export, clean, discover, exports, read_exports
-from ledgerloom.sources.store import MEGABYTE, PREFIX, VERSION, VersionStore, folded, timestamp
+from ledgerloom.session import shared_folder
+from ledgerloom.sources.files import BAD, FIELDS, Export, checked, discover, exports, read_records
+from ledgerloom.sources.store import EXTRA, MEGABYTE, PREFIX, QUARANTINED, VERSION, VersionStore, folded, timestamp
 
 STATUS = T.StructType(
     [
@@ -32,53 +34,108 @@ def new_files(landed: DataFrame, log: DataFrame) -> DataFrame:
     return anti_join(landed, log.select(F.col("source_file").alias("name")), "name")
 
 
+def new_parts(landed: DataFrame, store: VersionStore) -> DataFrame:
+    """Landed files that were not ingested; ``late`` if others of their export were.
+
+    An export in the log of which no file is known was ingested whole."""
+    known = store.parts()
+    before = known.select("name").distinct().withColumn("late", F.lit(True))
+    whole = anti_join(store.ingestion_log().select(F.col("source_file").alias("name")), before, "name")
+    fresh = anti_join(anti_join(landed, known.select("path"), "path"), whole, "name")
+    return fresh.join(before, "name", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+
+
 def ingest_folder(
     store: VersionStore, folder: str, loaded_at: dt.datetime, force: bool = False
 ) -> DataFrame:
     """Ingest what is new below a folder; one status row per file found."""
-    landed = discover(store.spark, folder)
-    wanted = landed if force else new_files(landed, store.ingestion_log())
-    sources = exports(store.spark, wanted)
-    names = {source.name for source in sources}
-    known = [
-        row.name
-        for row in landed.select("name").distinct().collect()
-        if row.name not in names
-    ]
-    skipped = [(name, "skipped", None, None, None, "Already processed") for name in sorted(known)]
-    done = ingest_exports(store, sources, loaded_at, f"{loaded_at:%Y%m%d_%H%M%S}")
-    return store.spark.createDataFrame(sorted(skipped + done), STATUS)
+    spark = store.spark
+    shared_folder(spark)
+    landed = discover(spark, folder).checkpoint()  # what lands from here on is for the next run
+    wanted = landed.withColumn("late", F.lit(False)) if force else new_parts(landed, store)
+    wanted = wanted.checkpoint()
+    names = wanted.select("name").distinct()
+    skipped = anti_join(landed.select("name").distinct(), names, "name").select(
+        F.col("name").alias("file"),
+        F.lit("skipped").alias("status"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in STATUS.fields[2:5]],
+        F.lit("Already processed").alias("message"),
+    )
+    done = ingest_exports(store, exports(spark, wanted), loaded_at, f"{loaded_at:%Y%m%d_%H%M%S}", wanted)
+    return spark.createDataFrame(done, STATUS).union(skipped).orderBy("file")
 
 
 def ingest_exports(
-    store: VersionStore, sources: Sequence[Export], loaded_at: dt.datetime, label: str
+    store: VersionStore, sources: Sequence[Export], loaded_at: dt.datetime, label: str, files: DataFrame
 ) -> list[tuple]:
     """Store each accepted source as one version; status tuples, one per source.
 
-    All sources are read, cleaned and written by one job. What was written is then
-    counted from file footers, and the manifest rows of the non-empty versions, written
-    together, make them visible and are their log. The same ``label`` writes the same versions.
+    All sources are read, checked and written by one job, which parses each file once: rows that
+    can be stored go to their version, all others, with reason and text, to a quarantine beside it.
+    What was written is then counted from file footers, and the manifest rows of the non-empty
+    versions, written together, make them visible and are their log. The same ``label`` writes the
+    same versions. ``files`` lists the files, so that later ones of an export are told apart.
     """
     accepted = [source for source in sources if source.accepted]
-    versions = {}
-    counted = {}
-    read = {}
+    written: dict[str, Written] = {}
     if accepted:
-        spark = store.spark
-        named = spark.createDataFrame([(source.name,) for source in accepted], "name string")
-        versions = {
-            row.name: f"{PREFIX}_{row.part}_{label}"
-            for row in named.select("name", _version_part("name").alias("part")).collect()
-        }
-        raw = read_exports(spark, accepted)
-        # Records read: no column of theirs is needed for that.
-        names = reduce(DataFrame.union, [rows.select("_source_file") for rows in raw])
-        read = {r["_source_file"]: r["count"] for r in names.groupBy("_source_file").count().collect()}
-        frames = [folded(clean(rows, loaded_at)) for rows in raw]
-        version = F.concat(F.lit(f"{PREFIX}_"), _version_part("_source_file"), F.lit(f"_{label}"))
-        store.write_rows(reduce(DataFrame.unionByName, frames).withColumn(VERSION, version))
-        counted = _commit(store, accepted, versions, loaded_at)
-    return [_status(source, versions.get(source.name), counted, read) for source in sources]
+        written = _write(store, accepted, loaded_at, label)
+        broken = _in_quotes(store, written)
+        if broken:
+            # Some quoted values hold line ends: such files are read whole, if that saves records.
+            again = [source for source in accepted if source.name in broken]
+            for name, found in _write(store, again, loaded_at, label, lines_in_quotes=True).items():
+                if found.quarantined < written[name].quarantined:
+                    written[name] = found
+        _commit(store, accepted, written, loaded_at, files)
+    return [_status(source, written.get(source.name)) for source in sources]
+
+
+@dataclass(frozen=True)
+class Written:
+    version: str
+    stored: int
+    quarantined: int
+    bytes: int
+
+
+def _write(
+    store: VersionStore, sources: Sequence[Export], loaded_at: dt.datetime, label: str, lines_in_quotes: bool = False
+) -> dict[str, Written]:
+    """Write the sources' records; what was written, by source."""
+    spark = store.spark
+    names = spark.createDataFrame([(source.name,) for source in sources], "name string")
+    mark = "-lines" if lines_in_quotes else ""
+    version = lambda name: F.concat(F.lit(f"{PREFIX}_"), _version_part(name), F.lit(f"{mark}_{label}"))
+    versions = {r.name: r.id for r in names.select("name", version("name").alias("id")).collect()}
+    frames = []
+    for rows in read_records(spark, sources, lines_in_quotes):
+        rows = folded(checked(rows, loaded_at), besides=(BAD,))
+        is_bad = F.col(BAD).isNotNull()
+        why = F.create_map(F.lit("reason"), F.col(f"{BAD}.reason"), F.lit("text"), F.col(f"{BAD}.text"))
+        place = F.concat(F.when(is_bad, QUARANTINED).otherwise(""), version("_source_file"))
+        kept = F.when(is_bad, why).otherwise(F.col(EXTRA))
+        frames.append(rows.withColumns({EXTRA: kept, VERSION: place}).drop(BAD))
+    store.write_rows(reduce(DataFrame.unionByName, frames))
+    both = [place for id_ in versions.values() for place in (id_, QUARANTINED + id_)]
+    present = store.written_versions(both)
+    sizes = {r[VERSION]: r for r in store.version_sizes(present).collect()} if present else {}
+    count = lambda id_: sizes[id_].records_count if id_ in sizes else 0
+    return {
+        name: Written(id_, count(id_), count(QUARANTINED + id_), sizes[id_].bytes if id_ in sizes else 0)
+        for name, id_ in versions.items()
+    }
+
+
+def _in_quotes(store: VersionStore, written: dict[str, Written]) -> set[str]:
+    """Sources with a line that has an odd number of quotes and the wrong number of fields."""
+    bad = [found.version for found in written.values() if found.quarantined]
+    if not bad:
+        return set()
+    text = F.col("text")
+    quotes = F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
+    rows = store.quarantine_of(bad).where((F.col("reason") == FIELDS) & (quotes % 2 == 1))
+    return {row.file for row in rows.select("file").distinct().collect()}
 
 
 def _version_part(name: str) -> Column:
@@ -95,52 +152,51 @@ def _version_part(name: str) -> Column:
 
 
 def _commit(
-    store: VersionStore, accepted: Sequence[Export], versions: dict[str, str], loaded_at: dt.datetime
-) -> dict[str, int]:
-    """Publish the written versions, in one write; rows per version id."""
-    written = store.written_versions(versions.values())
-    if not written:
-        return {}
+    store: VersionStore,
+    accepted: Sequence[Export],
+    written: dict[str, Written],
+    loaded_at: dt.datetime,
+    files: DataFrame,
+) -> None:
+    """Publish the quarantines, the files that were read, and last the versions."""
+    spark = store.spark
+    listed = [(name, w.version, w.stored, w.quarantined, w.bytes) for name, w in written.items()]
+    found = spark.createDataFrame(
+        listed, "name string, version string, stored bigint, quarantined bigint, bytes bigint"
+    )
+    store.commit_quarantine(found.where("quarantined > 0"), loaded_at)
+    if not any(w.stored for w in written.values()):
+        return
+    found = found.where("stored > 0")
+    store.commit_parts(files.join(found.select("name", F.col("version").alias(VERSION)), "name"))
     # The columns of the file, and those that loading adds.
-    names = store.spark.createDataFrame(
-        [
-            (versions[source.name], source.name, sorted({*source.columns, *LOADED_LEDGER.names}))
-            for source in accepted
-        ],
-        f"{VERSION} string, source_file string, columns array<string>",
+    names = spark.createDataFrame(
+        [(source.name, sorted({*source.columns, *LOADED_LEDGER.names})) for source in accepted],
+        "name string, columns array<string>",
     )
-    described = (
-        store.version_sizes(written)
-        .join(names, VERSION)
-        .select(
-            F.col(VERSION).alias("snapshot_id"),
+    store.commit(
+        found.join(names, "name").select(
+            F.col("version").alias("snapshot_id"),
             timestamp(loaded_at).alias("created"),
-            "source_file",
-            F.concat(F.col(VERSION), F.lit(".parquet")).alias("parquet_file"),
-            "records_count",
+            F.col("name").alias("source_file"),
+            F.concat(F.col("version"), F.lit(".parquet")).alias("parquet_file"),
+            F.col("stored").alias("records_count"),
             F.round(F.col("bytes") / MEGABYTE, 2).alias("file_size_mb"),
             F.lit("append").alias("operation"),
             "columns",
-            F.col("source_file").alias("landed"),
+            F.col("name").alias("landed"),
         )
     )
-    rows = described.collect()
-    store.commit(store.spark.createDataFrame(rows, described.schema))
-    return {row.snapshot_id: row.records_count for row in rows}
 
 
-def _status(
-    source: Export, version: str | None, counted: dict[str, int], read: dict[str, int]
-) -> tuple:
+def _status(source: Export, written: Written | None) -> tuple:
     if source.columns is None:
         return (source.name, "failed", None, None, None, "Unreadable file")
     if not source.accepted:
         return (source.name, "failed", None, None, None, "Schema validation failed")
-    records = read.get(source.name, 0)
-    if version not in counted:
-        return (source.name, "failed", 0, records, None, "No valid rows after cleaning")
-    stored = counted[version]
-    return (source.name, "processed", stored, records - stored, version, "Ingested")
+    if not written.stored:
+        return (source.name, "failed", 0, written.quarantined, None, "No valid rows after cleaning")
+    return (source.name, "processed", written.stored, written.quarantined, written.version, "Ingested")
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:

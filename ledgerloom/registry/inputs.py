@@ -165,6 +165,65 @@ def landing(spark: SparkSession, folder: str) -> str:
     return _once(spark, folder, "landing", build)
 
 
+FAULTY_COLUMNS = (
+    "CodeGrootboekrekening", "Boekdatum", "Debet", "Credit", "Omschrijving", "Boekingsnummer", "Nummer",
+)
+
+
+def faulty_landing(spark: SparkSession, folder: str) -> str:
+    """Exports with what goes wrong in exports, of all rows each: lines with a surplus field, lines
+    that lack fields, quoted line ends, no dates; lines that are no records; Parquet with amounts
+    as doubles, and with types that differ among its files; a file that is no Parquet."""
+
+    def build():
+        path = new_folder(spark, "faulty")
+        # Lines as they are, without quoting of its own.
+        bare = {"sep": "\x01", "quote": "\x02", "escape": "\x02", "emptyValue": ""}
+        rows = saved_ledger(spark, folder)
+        text = {n: F.coalesce(F.col(n).cast("string"), F.lit("")) for n in FAULTY_COLUMNS}
+        text["Debet"] = by_line("Nummer", {1: F.lit("1,5")}, text["Debet"])
+        text["Boekdatum"] = by_line("Nummer", {4: F.lit("soon")}, text["Boekdatum"])
+        text["Omschrijving"] = by_line("Nummer", {3: F.lit('"line\n3, more"')}, text["Omschrijving"])
+        whole = F.concat_ws(",", *text.values())
+        short = F.concat_ws(",", *[text[n] for n in FAULTY_COLUMNS[:3]])
+        parts = 4
+        lines = rows.select(
+            F.pmod(F.xxhash64("Boekingsnummer"), F.lit(parts)).cast("int").alias("part"),
+            F.lit(1).alias("place"),
+            F.when(F.col("Nummer") == 2, short).otherwise(whole).alias("line"),
+        )
+        heads = spark.range(parts).select(
+            F.col("id").cast("int").alias("part"), F.lit(0).alias("place"), F.lit(",".join(FAULTY_COLUMNS)).alias("line")
+        )
+        # The first line of each file is its header.
+        ordered = lines.union(heads).repartitionById(parts, F.col("part")).sortWithinPartitions("place")
+        ordered.select("line").write.options(**bare, lineSep="\n").csv(f"{path}/FAULTY.CSV")
+
+        record = F.to_json(F.struct(*LEDGER.names))
+        broken = F.concat(F.lit("no record of "), F.col("Boekingsnummer").cast("string"))
+        rows.select(F.when(F.col("Nummer") == 1, broken).otherwise(record)).write.options(**bare).csv(
+            f"{path}/RECORDS.JSON"
+        )
+        ledger_rows = rows.select(*LEDGER.names)
+        doubled = ledger_rows.withColumn("Debet", F.col("Debet").cast("double"))
+        as_text = ledger_rows.withColumn("Debet", F.col("Debet").cast("string"))
+        doubled.write.parquet(f"{path}/DOUBLE.parquet")
+        odd = F.col("Nummer") % 2 == 1
+        doubled.where(odd).write.parquet(f"{path}/MIXED.parquet")
+        as_text.where(~odd).write.mode("append").parquet(f"{path}/MIXED.parquet")
+        rows.select("Code").limit(1).write.options(**bare).csv(f"{path}/DAMAGED.parquet")
+        return path
+
+    return _once(spark, folder, "faulty", build)
+
+
+def late_parts(spark: SparkSession, folder: str, landing: str, part: int, parts: int) -> None:
+    """One of several parts of an export lands."""
+    rows = saved_ledger(spark, folder).where(F.pmod(F.xxhash64("Boekingsnummer"), F.lit(parts)) == part)
+    csv = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    rows.select(*LEDGER.names).write.mode("append").options(**csv).csv(f"{landing}/LATE.csv")
+
+
 # --- dirty text columns ---
 
 

@@ -17,6 +17,23 @@ from ledgerloom.registry.inputs import (
 )
 
 AS_OF = "DATE '2001-11-04'"
+
+# Labels, and the bounds above which (of days: up to which) they hold; the last label
+# holds for all others.
+VOLUME = [(100, "High Volume"), (20, "Medium Volume")], "Low Volume"
+VALUE = [(10000, "High Value"), (1000, "Medium Value")], "Low Value"
+AMOUNT = [(5000, "Large"), (1000, "Medium"), (100, "Small")], "Minimal"
+ACTIVITY = [(30, "Active"), (90, "Recently Active")], "Inactive"
+RECENCY = [(30, "Last 30 days"), (90, "Last 90 days"), (365, "Last year")], "Older than 1 year"
+
+
+def labelled(value: str, comparison: str, labels: tuple[list[tuple[int, str]], str]) -> str:
+    """The label of the first bound that the value compares with."""
+    bounds, last = labels
+    cases = " ".join(f"WHEN {value} {comparison} {bound} THEN '{label}'" for bound, label in bounds)
+    return f"CASE {cases} ELSE '{last}' END"
+
+
 LOADED_AT = "2002-03-01 08:00:00"
 LOADED_EPOCH = 1014969600
 
@@ -73,8 +90,7 @@ staged AS (
   FROM ledger WHERE Boekdatum IS NOT NULL AND CodeGrootboekrekening IS NOT NULL
 )"""
 
-# Every figure is summed from the days of an account. The names of the result's
-# columns, the labels, and the bounds that lead from one label to the next.
+# Every figure is summed from the days of an account. The names of the result's columns.
 BALANCES = f"""
 account_days AS (
   SELECT account_code, account_name, transaction_date AS on_day,
@@ -98,10 +114,9 @@ balances AS (
   SELECT account_code, account_name, n AS total_transactions, days AS unique_transaction_dates,
          debit AS total_debit, credit AS total_credit, debit - credit AS net_balance,
          vat AS total_vat, first_day AS first_transaction_date, last_day AS last_transaction_date,
-         ['Net Credit', 'Balanced', 'Net Debit'][2 + sign(debit - credit)::INT]
-           AS account_balance_type,
-         ['Active', 'Recently Active', 'Inactive'][
-           1 + (since_last > 30)::INT + (since_last > 90)::INT] AS activity_status,
+         CASE WHEN debit > credit THEN 'Net Debit' WHEN credit > debit THEN 'Net Credit'
+              ELSE 'Balanced' END AS account_balance_type,
+         {labelled("since_last", "<=", ACTIVITY)} AS activity_status,
          years AS years_active,
          sum(moved_in_year) OVER same_code AS net_amount_12m,
          (sum(n_in_year) OVER same_code)::BIGINT AS transactions_12m,
@@ -114,12 +129,8 @@ accounts AS (
          net_amount_12m AS net_amount_last_12_months,
          transactions_12m AS transactions_last_12_months,
          net_amount_4q AS net_amount_last_4_quarters,
-         ['Low Volume', 'Medium Volume', 'High Volume'][
-           1 + (total_transactions > 20)::INT + (total_transactions > 100)::INT]
-           AS transaction_volume_category,
-         ['Low Value', 'Medium Value', 'High Value'][
-           1 + (abs(net_balance) > 1000)::INT + (abs(net_balance) > 10000)::INT]
-           AS balance_value_category,
+         {labelled("total_transactions", ">", VOLUME)} AS transaction_volume_category,
+         {labelled("abs(net_balance)", ">", VALUE)} AS balance_value_category,
          CAST({{updated}} AS VARCHAR) AS last_updated
   FROM balances
 )"""
@@ -138,22 +149,17 @@ details AS (
          strftime(transaction_date, '%A') AS day_of_week,
          CAST(day(transaction_date) AS BIGINT) AS day_of_month,
          'Q' || quarter(transaction_date) AS quarter_label,
-         ['Minimal', 'Small', 'Medium', 'Large'][
-           1 + len(list_filter([100, 1000, 5000], lambda bound: abs(net_amount) > bound))]
-           AS amount_category,
-         ['Last 30 days', 'Last 90 days', 'Last year', 'Older than 1 year'][
-           1 + len(list_filter([30, 90, 365], lambda age: {AS_OF} - transaction_date > age))]
-           AS recency_category,
+         {labelled("abs(net_amount)", ">", AMOUNT)} AS amount_category,
+         {labelled(f"{AS_OF} - transaction_date", "<=", RECENCY)} AS recency_category,
          sum(net_amount) OVER (
            PARTITION BY account_code
            ORDER BY transaction_date, booking_number, number, Code1, Code2,
                     debit_amount, credit_amount
            ROWS UNBOUNDED PRECEDING) AS running_balance,
-         coalesce(
-           ['Zero Amount', NULL, 'Both Debit and Credit'][
-             1 + (debit_amount <> 0)::INT + (credit_amount <> 0)::INT],
-           if(trim(coalesce(description, '')) = '', 'Missing Description', 'Complete'))
-           AS data_quality_flag
+         CASE WHEN debit_amount = 0 AND credit_amount = 0 THEN 'Zero Amount'
+              WHEN debit_amount > 0 AND credit_amount > 0 THEN 'Both Debit and Credit'
+              WHEN trim(coalesce(description, '')) = '' THEN 'Missing Description'
+              ELSE 'Complete' END AS data_quality_flag
   FROM staged
 )"""
 
@@ -829,6 +835,42 @@ FROM landed"""
   if(refused, 'Schema validation failed',
      if(stored = 0, 'No valid rows after cleaning', 'Ingested')) AS message
 FROM landed_files"""
+    ),
+    "quarantined": on_ledger(
+        """SELECT file, reason, count(*) AS records, sum(length(text))::BIGINT AS characters, min(text) AS first_text
+FROM (
+  SELECT 'FAULTY.CSV' AS file, if(Nummer = 4, 'No valid date', 'Wrong number of fields') AS reason,
+    CASE Nummer
+      WHEN 1 THEN CodeGrootboekrekening || ',' || Boekdatum || ',1,5,' || coalesce(Credit::VARCHAR, '') || ','
+        || Omschrijving || ',' || Boekingsnummer || ',1'
+      WHEN 2 THEN CodeGrootboekrekening || ',' || Boekdatum || ',' || coalesce(Debet::VARCHAR, '') END AS text
+  FROM ledger WHERE Nummer IN (1, 2, 4)
+  UNION ALL
+  SELECT 'RECORDS.JSON', 'Not a record', 'no record of ' || Boekingsnummer FROM ledger WHERE Nummer = 1
+) GROUP BY file, reason"""
+    ),
+    "faulty_exports": on_ledger(
+        f"""SELECT file, 'processed' AS status, count(*) FILTER (good) AS row_count,
+  count(*) FILTER (NOT good) AS rejected, {money("debit")}, sum(length(text) * good::INT)::BIGINT AS characters
+FROM (
+  SELECT 'FAULTY.CSV' AS file, Nummer NOT IN (1, 2, 4) AS good, Debet,
+    if(Nummer = 3, 'line' || chr(10) || '3, more', Omschrijving) AS text FROM ledger
+  UNION ALL SELECT 'RECORDS.JSON', Nummer > 1, Debet, Omschrijving FROM ledger
+  UNION ALL SELECT 'DOUBLE.parquet', true, Debet, Omschrijving FROM ledger
+  UNION ALL SELECT 'MIXED.parquet', true, Debet, Omschrijving FROM ledger
+)
+JOIN (
+  SELECT file AS of_file, sum(Debet) AS debit FROM (
+    SELECT 'FAULTY.CSV' AS file, Debet FROM ledger WHERE Nummer NOT IN (1, 2, 4)
+    UNION ALL SELECT 'RECORDS.JSON', Debet FROM ledger WHERE Nummer > 1
+    UNION ALL SELECT unnest(['DOUBLE.parquet', 'MIXED.parquet']), Debet FROM ledger
+  ) GROUP BY file
+) ON file = of_file GROUP BY file, debit
+UNION ALL SELECT 'DAMAGED.parquet', 'failed', NULL, NULL, NULL, NULL"""
+    ),
+    "late_parts": on_ledger(
+        f"""SELECT 'LATE.csv' AS source_file, CAST(3 AS BIGINT) AS versions, count(*) AS row_count,
+  {money("total_debit")} FROM ledger, (SELECT sum(Debet) AS total_debit FROM ledger) GROUP BY total_debit"""
     ),
     "ingest_counts": on_landed(
         """SELECT CAST(0 AS BIGINT) AS processed,

@@ -342,6 +342,52 @@ def incremental_ingest(spark, folder):
     )
 
 
+def faulty_ingest(spark, folder):
+    store = VersionStore(spark, new_folder(spark, "store"))
+    return store, ingest_folder(store, inputs.faulty_landing(spark, folder), inputs.LOADED_AT)
+
+
+def quarantined(spark, folder):
+    """What was read and not stored, and why. Of a record without a date the text is not compared:
+    it is the record as it was parsed."""
+    store, _ = faulty_ingest(spark, folder)
+    text = F.when(F.col("reason") != files.DATE, F.col("text"))
+    return store.quarantine().groupBy("file", "reason").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.sum(F.length(text)).alias("characters"),
+        F.min(text).alias("first_text"),
+    )
+
+
+def faulty_exports(spark, folder):
+    """Each export by itself: its status, and what was stored of it."""
+    store, statuses = faulty_ingest(spark, folder)
+    stored = store.read_all().groupBy(F.col("_source_file").alias("file")).agg(
+        F.sum("Debet").alias("debit"), F.sum(F.length("Omschrijving")).alias("characters")
+    )
+    return statuses.join(stored, "file", "left").select(
+        "file", "status", "row_count", "rejected", "debit", "characters"
+    )
+
+
+def late_parts(spark, folder):
+    """An export whose parts land one after another, ingested by batch and stream in turn."""
+    store = VersionStore(spark, new_folder(spark, "store"))
+    landing, checkpoint = new_folder(spark, "late"), new_folder(spark, "stream")
+    for part in range(3):
+        inputs.late_parts(spark, folder, landing, part, 3)
+        at = inputs.LOADED_AT + dt.timedelta(part)
+        if part == 1:
+            ingest_available(store, landing, checkpoint, clock=lambda at=at: at)
+        else:
+            ingest_folder(store, landing, at)
+    return store.read_all().groupBy(F.col("_source_file").alias("source_file")).agg(
+        F.countDistinct("version_id").alias("versions"),
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum("Debet").alias("total_debit"),
+    )
+
+
 def ingestion_log_rows(spark, folder):
     """A log of one line with two records per order, read back as rows."""
     stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
@@ -649,6 +695,9 @@ QUERIES: dict[str, Query] = {
     "export_parquet": export_parquet,
     "conformance_report": conformance,
     "ingest_status": ingest_status,
+    "quarantined": quarantined,
+    "faulty_exports": faulty_exports,
+    "late_parts": late_parts,
     "ingest_counts": ingest_counts,
     "incremental_ingest": incremental_ingest,
     "ingestion_log_rows": ingestion_log_rows,

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import csv
 import datetime as dt
+import json
 from collections import defaultdict
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
-from types import SimpleNamespace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -28,10 +28,13 @@ from ledgerloom.schema import CORE_COLUMNS, LEDGER
 from ledgerloom.sources.store import load_metadata
 
 FORMATS = ("csv", "json", "parquet")
-FILE_GLOB = "*.{csv,json,parquet}"
+FILE_GLOB = "*.{[cC][sS][vV],[jJ][sS][oO][nN],[pP][aA][rR][qQ][uU][eE][tT]}"
 HEADER_JOBS = 16
 
 _SOURCE_FILE = T.StructField("_source_file", T.StringType())
+BAD = "_bad"  # of a record that cannot be stored: why, and its text
+BAD_TYPE = "struct<reason:string,text:string>"
+FIELDS, RECORD, DATE = "Wrong number of fields", "Not a record", "No valid date"  # reasons
 _LISTING = "name string, path string, size bigint, modified timestamp_ntz, root string"
 
 
@@ -41,6 +44,10 @@ def path_part(spark: SparkSession, folder: str) -> str:
     return path.rstrip("/")
 
 
+def _is_export(folder: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.lower(folder).endswith(f".{form}") for form in FORMATS])
+
+
 def source_name(path: Column | str, root: Column | str) -> Column:
     """The export a file belongs to: its path below the landing folder, without the file's own
     name if that is a part, and without the name of a partition column.
@@ -53,9 +60,7 @@ def source_name(path: Column | str, root: Column | str) -> Column:
     file = F.substring_index(below, "/", -1)
     folder = F.substring_index(F.substring_index(below, "/", -2), "/", 1)
     is_part = file.startswith("part-") & (file != below)
-    in_export = reduce(
-        lambda a, b: a | b, [folder.endswith(f".{extension}") for extension in FORMATS]
-    )
+    in_export = _is_export(folder)
     taken = F.when(is_part & in_export, F.length(folder) + F.length(file) + 1).otherwise(
         F.length(file)
     )
@@ -69,9 +74,7 @@ def export_path(path: Column | str) -> Column:
     path = column(path)
     folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
     is_part = F.substring_index(path, "/", -1).startswith("part-")
-    in_export = reduce(
-        lambda a, b: a | b, [folder.endswith(f".{extension}") for extension in FORMATS]
-    )
+    in_export = _is_export(folder)
     parent = F.substr(
         path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1
     )
@@ -107,24 +110,33 @@ def discover(spark: SparkSession, folder: str, glob: str = FILE_GLOB) -> DataFra
     ).orderBy("path")
 
 
+@dataclass(frozen=True)
+class Part:
+    """Files of an export that carry the same columns, each in its own order."""
+
+    columns: tuple[str, ...] | None  # None: unreadable
+    paths: tuple[str, ...]
+    schema: str | None = None  # of Parquet files, as JSON
+
+
 @dataclass(frozen=True)
 class Export:
-    """One source: its files, grouped by the columns they carry, each in its own order."""
+    """One source: its files, grouped by the columns they carry."""
 
     name: str
     root: str
-    parts: tuple[tuple[tuple[str, ...] | None, tuple[str, ...]], ...]  # columns (None: unreadable), paths
+    parts: tuple[Part, ...]
 
     @property
     def format(self) -> str:
-        return self.name.rsplit(".", 1)[-1]
+        return self.name.rsplit(".", 1)[-1].lower()
 
     @property
     def columns(self) -> tuple[str, ...] | None:
         """Of all parts together; None if one is unreadable."""
-        if any(columns is None for columns, _ in self.parts):
+        if any(part.columns is None for part in self.parts):
             return None
-        return tuple(dict.fromkeys(name for columns, _ in self.parts for name in columns))
+        return tuple(dict.fromkeys(name for part in self.parts for name in part.columns))
 
     @property
     def missing(self) -> list[str]:
@@ -138,98 +150,110 @@ class Export:
     def accepted(self) -> bool:
         """Readable, and each part with the columns no ledger can do without."""
         return self.columns is not None and all(
-            set(CORE_COLUMNS) <= set(columns) for columns, _ in self.parts
+            set(CORE_COLUMNS) <= set(part.columns) for part in self.parts
         )
 
 
 def exports(spark: SparkSession, files: DataFrame) -> list[Export]:
     """Sources of the listed files, with their columns.
 
-    One job reads the header of every CSV file, and one the keys of every JSON record. Files of
-    one export that agree come to the driver as its folder, others one by one. A Parquet
-    export costs a reading of its footers.
+    Of a CSV file the first line is read, of a Parquet export the footers; one job reads the keys of
+    all JSON records. Files of one export that agree come to the driver as its folder, others one by
+    one, as do those that ``files`` calls ``late``: others of their export were ingested before.
     """
-    listed = files.select("name", "path", "root", export_path("path").alias("export"))
-    whole = listed.groupBy("name", "root", "export")
-    of_format = lambda form: [
-        (r.name, r.root, r.export)
-        for r in whole.count().where(F.lower("name").endswith(f".{form}")).collect()
-    ]
-    grouped: dict[tuple[str, str], list] = defaultdict(list)
-    for read, form in ((_csv_headers, "csv"), (_json_keys, "json")):
-        found = of_format(form)
-        if found:
-            for row in read(spark, listed, [export for _, _, export in found]):
-                grouped[row.name, row.root].append((row.columns, tuple(row.paths)))
-    parquet = of_format("parquet")
-    with ThreadPoolExecutor(HEADER_JOBS) as pool:
-        columns = pool.map(lambda item: _parquet_columns(spark, item[2]), parquet)
-        for (name, root, export), names in zip(parquet, columns):
-            grouped[name, root].append((names, (export,)))
-    return [
-        Export(name, root, tuple((tuple(c) if c else None, p) for c, p in parts))
-        for (name, root), parts in sorted(grouped.items())
-    ]
-
+    late = F.col("late") if "late" in files.columns else F.lit(False)
+    listed = files.select("name", "path", "root", export_path("path").alias("export"), late.alias("late"))
+    grouped: dict[tuple[str, str], list[Part]] = defaultdict(list)
+    for read, form in ((_csv_headers, "csv"), (_json_keys, "json"), (_parquet_schemas, "parquet")):
+        found = listed.where(F.lower("name").endswith(f".{form}"))
+        for name, root, part in read(spark, found):
+            grouped[name, root].append(part)
+    return [Export(name, root, tuple(parts)) for (name, root), parts in sorted(grouped.items())]
+
+
+def _named(path: Column | str) -> Column:
+    """The files of an export as its folder, unless only some of them are wanted."""
+    return F.when(F.col("late"), F.col("path")).otherwise(column(path))
+
+
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(system.open(where), "UTF-8"))
+    try:
+        return reader.readLine()
+    finally:
+        reader.close()
 
-def _csv_headers(spark: SparkSession, listed: DataFrame, paths: list[str]) -> list:
-    """Per export and header: its columns, and the export's folder or the files with it.
 
-    The first line of a file is the first of its first block; rows of a block are numbered as
-    they come.
-    """
-    lines = spark.read.text(paths).select(
-        _decoded(F.col("_metadata.file_path")).alias("at"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"),
-        "value",
-    )
-    headers = lines.where(F.col("block") == 0).groupBy("at").agg(F.min_by("value", "place").alias("header"))
-    plain = lambda path: F.regexp_replace(path, "^[a-z0-9]+:/*", "/")
-    files = listed.where(F.lower("name").endswith(".csv")).select(
-        "name", "root", "export", "path", plain(F.col("path")).alias("file")
-    )
-    known = files.join(headers.withColumn("file", plain(F.col("at"))), "file", "left")
-    alike = known.groupBy("name", "root", "export").agg(
-        F.countDistinct(F.coalesce("header", F.lit(""))).alias("headers")
-    )
-    grouped = (
-        known.join(alike, ["name", "root", "export"])
-        .groupBy("name", "root", "header")
-        .agg(F.collect_set(F.when(F.col("headers") > 1, F.col("path")).otherwise(F.col("export"))).alias("paths"))
-        .collect()
-    )
+def _csv_headers(spark: SparkSession, listed: DataFrame) -> list[tuple[str, str, Part]]:
+    """Per export and header: its columns, and the export's folder or the files with it."""
+    files = listed.collect()
+    with ThreadPoolExecutor(HEADER_JOBS) as pool:
+        headers = list(pool.map(lambda row: _first_line(spark, row.path), files))
+    alike = defaultdict(set)
+    for row, header in zip(files, headers):
+        alike[row.name, row.root, row.export].add(header)
+    grouped = defaultdict(set)
+    for row, header in zip(files, headers):
+        single = row.late or len(alike[row.name, row.root, row.export]) > 1
+        grouped[row.name, row.root, header].add(row.path if single else row.export)
     return [
-        SimpleNamespace(
-            name=r.name, root=r.root, paths=sorted(r.paths),
-            columns=next(csv.reader([r.header])) if r.header else None,
-        )
-        for r in grouped
+        (name, root, Part(tuple(next(csv.reader([header]))) if header else None, tuple(sorted(paths))))
+        for (name, root, header), paths in sorted(grouped.items(), key=repr)
     ]
 
 
-def _json_keys(spark: SparkSession, listed: DataFrame, paths: list[str]) -> list:
+def _json_keys(spark: SparkSession, listed: DataFrame) -> list[tuple[str, str, Part]]:
     """Per export: all keys of its records; records that are not JSON have none."""
-    root = listed.select("root").first()[0]
-    lines = spark.read.text(paths).select(
+    grouped = (
+        listed.withColumn("place", _named("export")).groupBy("name", "root").agg(F.collect_set("place").alias("paths"))
+    )
+    found = grouped.collect()
+    if not found:
+        return []
+    root = found[0].root
+    lines = spark.read.text([path for row in found for path in row.paths]).select(
         source_name(_decoded(F.col("_metadata.file_path")), root).alias("name"),
         F.explode_outer(F.json_object_keys("value")).alias("key"),
     )
-    keys = {r.name: sorted(r.keys) for r in lines.groupBy("name").agg(F.collect_set("key").alias("keys")).collect()}
-    found = listed.where(F.lower("name").endswith(".json")).groupBy("name").agg(
-        F.collect_set("export").alias("paths")
-    )
-    return [
-        SimpleNamespace(name=r.name, root=root, paths=sorted(r.paths), columns=keys.get(r.name))
-        for r in found.collect()
-    ]
+    keys = {r.name: tuple(sorted(r.keys)) for r in lines.groupBy("name").agg(F.collect_set("key").alias("keys")).collect()}
+    return [(r.name, r.root, Part(keys.get(r.name) or None, tuple(sorted(r.paths)))) for r in found]
 
 
-def _parquet_columns(spark: SparkSession, path: str) -> tuple[str, ...] | None:
-    try:
-        return tuple(spark.read.option("mergeSchema", "true").parquet(path).columns)
-    except (PySparkException, Py4JJavaError):
-        return None
+def _parquet_schemas(spark: SparkSession, listed: DataFrame) -> list[tuple[str, str, Part]]:
+    """Per export, or per file where its files' types do not go together: the columns and types."""
+
+    def schema(*paths: str) -> T.StructType | None:
+        try:
+            return spark.read.option("mergeSchema", "true").parquet(*paths).schema
+        except (PySparkException, Py4JJavaError):
+            return None
+
+    def part(read: T.StructType | None, paths: tuple[str, ...]) -> Part:
+        return Part(tuple(read.names) if read else None, paths, read.json() if read else None)
+
+    found = (
+        listed.withColumn("place", _named("export"))
+        .groupBy("name", "root")
+        .agg(F.collect_set("place").alias("places"), F.collect_set("path").alias("paths"))
+        .collect()
+    )
+    with ThreadPoolExecutor(HEADER_JOBS) as pool:
+        merged = list(pool.map(lambda row: schema(*row.places), found))
+        result = []
+        for row, whole in zip(found, merged):
+            if whole is not None or len(row.paths) == 1:
+                result.append((row.name, row.root, part(whole, tuple(sorted(row.places)))))
+                continue
+            alike = defaultdict(list)
+            for path, own in zip(row.paths, pool.map(schema, row.paths)):
+                alike[own.json() if own else None].append(path)
+            for own, paths in sorted(alike.items(), key=repr):
+                read = T.StructType.fromJson(json.loads(own)) if own else None
+                result.append((row.name, row.root, part(read, tuple(sorted(paths)))))
+    return result
 
 
 def conformance_report(spark: SparkSession, sources: Iterable[Export]) -> DataFrame:
@@ -241,30 +265,45 @@ def conformance_report(spark: SparkSession, sources: Iterable[Export]) -> DataFr
 
 
 def read_exports(spark: SparkSession, sources: Iterable[Export]) -> list[DataFrame]:
-    """Rows with ``_source_file``: one frame per format and set of columns.
+    """Rows with ``_source_file``: one frame per format, set of columns and types.
 
-    Files alike in both are one scan. Each CSV file is read with the header it has.
+    Files alike in these are one scan. Each CSV file is read with the header it has.
+    """
+    return [rows.drop(BAD) for rows in read_records(spark, sources)]
+
+
+def read_records(
+    spark: SparkSession, sources: Iterable[Export], lines_in_quotes: bool = False
+) -> list[DataFrame]:
+    """As ``read_exports``, and with ``_bad``, which says what is wrong with a record and gives its
+    text: a line that has more or fewer fields than its header, or is no JSON record.
+
+    ``lines_in_quotes`` reads CSV files whole, so that a quoted value may hold line ends.
     """
     alike = defaultdict(list)
     for source in sources:
         if source.columns is None:
             continue
-        for columns, paths in source.parts:
-            alike[source.format, columns, source.root].extend(paths)
+        for part in source.parts:
+            alike[source.format, part.columns, part.schema, source.root].extend(part.paths)
     frames = []
-    for (form, columns, root), paths in alike.items():
-        reader = spark.read
-        if form != "parquet":
-            reader = reader.schema(
-                T.StructType([T.StructField(name, T.StringType()) for name in columns])
-            )
+    for (form, columns, schema, root), paths in alike.items():
+        bad = F.lit(None).cast(BAD_TYPE)
+        if form == "parquet":
+            rows = spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(*paths)
         else:
-            reader = reader.option("mergeSchema", "true")
-        if form == "csv":
-            reader = reader.option("header", "true").option("mode", "PERMISSIVE")
-        rows = reader.format(form).load(paths)
+            corrupt = next(n for k in range(len(columns) + 1) if (n := f"_corrupt_{k}") not in columns)
+            fields = [T.StructField(name, T.StringType()) for name in (*columns, corrupt)]
+            reader = spark.read.schema(T.StructType(fields)).option("columnNameOfCorruptRecord", corrupt)
+            if form == "csv":
+                reader = reader.option("header", "true").option("multiLine", str(lines_in_quotes).lower())
+            rows = reader.option("mode", "PERMISSIVE").format(form).load(paths)
+            reason = F.lit(FIELDS if form == "csv" else RECORD)
+            given = F.struct(reason.alias("reason"), F.col(f"`{corrupt}`").alias("text"))
+            bad = F.when(F.col(f"`{corrupt}`").isNotNull(), given)
         name = source_name(_decoded(F.col("_metadata.file_path")), root)
-        frames.append(rows.withColumn("_source_file", name))
+        names = [F.col(f"`{name}`") for name in columns]
+        frames.append(rows.select(*names, name.alias("_source_file"), bad.alias(BAD)))
     return frames
 
 
@@ -285,9 +324,21 @@ def clean(rows: DataFrame, loaded_at: dt.datetime, source: Column | None = None)
 
     ``source`` defaults to the rows' own ``_source_file``.
     """
+    return _stamped(rows, loaded_at, source).where(F.col("Boekdatum").isNotNull())
+
+
+def checked(rows: DataFrame, loaded_at: dt.datetime) -> DataFrame:
+    """As ``clean``, but with all records; ``_bad`` tells those apart that cannot be stored."""
+    record = F.to_json(F.struct(*[F.col(f"`{n}`") for n in rows.columns if n not in (BAD, "_source_file")]))
+    undated = F.struct(F.lit(DATE).alias("reason"), F.col("_record").alias("text"))
+    stamped = _stamped(rows.withColumn("_record", record), loaded_at)
+    bad = F.coalesce(BAD, F.when(F.col("Boekdatum").isNull(), undated))
+    return stamped.withColumn(BAD, bad).drop("_record")
+
+
+def _stamped(rows: DataFrame, loaded_at: dt.datetime, source: Column | None = None) -> DataFrame:
     source = F.col("_source_file") if source is None else source
-    stamped = cast_ledger(add_missing(rows)).withColumns(load_metadata(source, loaded_at))
-    return stamped.where(F.col("Boekdatum").isNotNull())
+    return cast_ledger(add_missing(rows)).withColumns(load_metadata(source, loaded_at))
 
 
 def write_rows(rows: DataFrame, path: str) -> None:

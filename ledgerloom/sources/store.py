@@ -2,8 +2,11 @@
 
 Layout below the root::
 
-    data/version_id=<id>/*.parquet       rows of a version
-    manifest/version_id=<id>/*.parquet   one row describing it
+    data/version_id=<id>/*.parquet                rows of a version
+    data/version_id=quarantined_<id>/*.parquet    records of its export that could not be stored
+    manifest/version_id=<id>/*.parquet            one row describing the version
+    quarantine/version_id=<id>/*.parquet          one row describing what was not stored
+    parts/version_id=<id>/*.parquet               the files that were read
 
 A version exists once the manifest has its row, which is written last; the ingestion log is
 a view of the manifest, so that the two cannot differ. Each write replaces the partitions of
@@ -32,6 +35,16 @@ NO_VERSION_LABEL = "v20251101_091324"  # fixed value: shown while there is no ve
 MEGABYTE = 1024 * 1024
 MIGRATION_SOURCE = "migration_from_existing_db"
 EXTRA = "_extra"
+QUARANTINED = "quarantined_"
+_PARTS = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "path")])
+_SET_ASIDE = T.StructType(
+    [
+        T.StructField("version", T.StringType()),
+        T.StructField("created", T.TimestampNTZType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("records", T.LongType()),
+    ]
+)
 STORED = T.StructType(
     [
         *LOADED_LEDGER.fields,
@@ -56,6 +69,8 @@ class VersionStore:
         self.root = root.rstrip("/")
         self.data_path = f"{self.root}/data"
         self.manifest_path = f"{self.root}/manifest"
+        self.quarantine_path = f"{self.root}/quarantine"
+        self.parts_path = f"{self.root}/parts"
         self._declared: list[str] = []
 
     # --- declaring ---
@@ -155,6 +170,23 @@ class VersionStore:
         for table in self._declared:
             self.spark.catalog.refreshTable(table)
 
+    def commit_quarantine(self, written: DataFrame, created: dt.datetime) -> None:
+        """Make quarantined records visible: ``name, version, quarantined`` of their exports."""
+        rows = written.select(
+            F.col("version").alias(VERSION),
+            "version",
+            timestamp(created).alias("created"),
+            F.col("name").alias("file"),
+            F.col("quarantined").alias("records"),
+        )
+        self._replace(rows, self.quarantine_path)
+
+    def commit_parts(self, files: DataFrame) -> None:
+        """Note the files ``name, path`` that a version was read from."""
+        rows = files.select(VERSION, "name", "path")
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(VERSION).parquet(self.parts_path)
+
     def write_version(
         self,
         rows: DataFrame,
@@ -204,6 +236,45 @@ class VersionStore:
         """One row per visible version."""
         return self._described(self.manifest_path, VERSION_MANIFEST)
 
+    def parts(self) -> DataFrame:
+        """The files ``name, path`` that visible versions were read from."""
+        try:
+            rows = self.spark.read.schema(T.StructType([*_PARTS.fields, STORED[VERSION]])).parquet(self.parts_path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], _PARTS)
+        ids = self.manifest().select(F.col("snapshot_id").alias(VERSION))
+        return rows.join(ids, VERSION, "left_semi").select(*_PARTS.names)
+
+    def quarantines(self) -> DataFrame:
+        """``version, created, file, records``: how many records of an export were not stored."""
+        return self._described(self.quarantine_path, _SET_ASIDE)
+
+    def quarantine(self) -> DataFrame:
+        """All records that were read and not stored: ``version_id, file, reason, text``."""
+        if self.quarantines().isEmpty():
+            return self.spark.createDataFrame([], f"{VERSION} string, file string, reason string, text string")
+        rows = self.spark.read.schema(STORED).parquet(self.data_path)
+        ids = self.quarantines().select(F.concat(F.lit(QUARANTINED), "version").alias(VERSION))
+        return self._set_aside(rows.join(ids, VERSION, "left_semi"))
+
+    def quarantine_of(self, version_ids: Iterable[str]) -> DataFrame:
+        """Of some versions' exports, committed or not."""
+        paths = [f"{self.data_path}/{VERSION}={QUARANTINED}{version}" for version in version_ids]
+        return self._set_aside(
+            self.spark.read.option("basePath", self.data_path).schema(STORED).parquet(*paths)
+        )
+
+    @staticmethod
+    def _set_aside(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            F.substr(VERSION, F.lit(len(QUARANTINED) + 1)).alias(VERSION),
+            F.col("_source_file").alias("file"),
+            F.try_element_at(EXTRA, F.lit("reason")).alias("reason"),
+            F.try_element_at(EXTRA, F.lit("text")).alias("text"),
+        )
+
     def ingestion_log(self) -> DataFrame:
         """One row per ingested export: what the manifest says of it."""
         ingested = self.manifest().where(F.col("landed").isNotNull())
@@ -343,9 +414,9 @@ def load_metadata(source_file, loaded_at: dt.datetime) -> dict:
     }
 
 
-def folded(rows: DataFrame) -> DataFrame:
-    """Columns that are not the ledger's as one map of texts, without nulls."""
-    extras = [n for n in rows.columns if n not in (*LOADED_LEDGER.names, VERSION, EXTRA)]
+def folded(rows: DataFrame, besides: tuple[str, ...] = ()) -> DataFrame:
+    """Columns that are not the ledger's, and not ``besides``, as one map of texts, without nulls."""
+    extras = [n for n in rows.columns if n not in (*LOADED_LEDGER.names, VERSION, EXTRA, *besides)]
     if EXTRA in rows.columns and not extras:
         return rows
     pairs = [part for n in extras for part in (F.lit(n), F.col(f"`{n}`").cast("string"))]

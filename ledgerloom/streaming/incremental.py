@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.ingest import ingest_exports, new_files
+from ledgerloom.plans.ingest import ingest_exports, new_parts
+from ledgerloom.session import shared_folder
 from ledgerloom.sources.files import FILE_GLOB, exports, path_part, source_name
 from ledgerloom.sources.store import VersionStore
 
@@ -27,8 +28,8 @@ def ingest_available(
 
     The stream carries file names, not contents. All that is new is one batch, so that an
     export in many parts becomes one version, and is ingested as one job, whatever the
-    headers. What the manifest knows already, from here or from a batch run, is left out. A
-    batch repeated after a failure writes the same version ids and so replaces what it left.
+    headers. Files that visible versions were read from, here or in a batch run, are left out; those
+    of an export that land later become a further version of it. A batch repeated after a failure writes the same version ids and so replaces what it left.
     """
     query = (
         _arrivals(store, folder)
@@ -57,8 +58,10 @@ def _arrivals(store: VersionStore, folder: str) -> DataFrame:
 
 def _ingest_batch(store: VersionStore, stream: str, clock: Callable[[], dt.datetime]):
     def ingest(files: DataFrame, batch: int) -> None:
-        sources = exports(store.spark, new_files(files, store.ingestion_log()))
+        shared_folder(store.spark)
+        wanted = new_parts(files, store).checkpoint()
+        sources = exports(store.spark, wanted)
         if sources:
-            ingest_exports(store, sources, clock(), f"{stream}_b{batch}")
+            ingest_exports(store, sources, clock(), f"{stream}_b{batch}", wanted)
 
     return ingest

@@ -261,3 +261,90 @@ def test_columns_of_its_own_stay_with_a_version(store, landing):
     assert "Extra" not in store.read(status["data.csv"].version_id).columns
     found = compare_versions(store, status["data.csv"].version_id, status["DUMP2024.csv"].version_id).first()
     assert found.new_columns == ["Extra"] and (found.columns1, found.columns2) == (22, 23)
+
+
+FEW = ["CodeGrootboekrekening", "Boekdatum", "Debet", "Credit", "Omschrijving"]
+
+
+def test_records_that_do_not_fit_are_quarantined(store, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "fields.csv").write_text(
+        ",".join(FEW) + "\n80,2020-01-01,1.5,0,ok\n80,2020-01-01,1,5,0,x\n80,2020-01-01,1\n80,soon,1,0,late\n"
+    )
+    (folder / "records.json").write_text(json.dumps(line(Credit="1")) + "\n{broken\n")
+    status = {r.file: (r.row_count, r.rejected) for r in ingest_folder(store, str(folder), NOW).collect()}
+    assert status == {"fields.csv": (1, 3), "records.json": (1, 1)}
+    found = {(r.file, r.reason, r.text) for r in store.quarantine().collect() if r.reason != files.DATE}
+    assert found == {
+        ("fields.csv", files.FIELDS, "80,2020-01-01,1,5,0,x"),
+        ("fields.csv", files.FIELDS, "80,2020-01-01,1"),
+        ("records.json", files.RECORD, "{broken"),
+    }
+    undated = store.quarantine().where(F.col("reason") == files.DATE).first()
+    assert json.loads(undated.text)["Boekdatum"] == "soon"
+    assert store.quarantines().where("file = 'fields.csv'").first().records == 3
+    assert [float(r.Debet) for r in store.read_all().where("_source_file = 'fields.csv'").collect()] == [1.5]
+
+
+def test_a_file_without_a_good_record_is_quarantined_whole(store, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "bad.csv").write_text(",".join(FEW) + "\n80,soon,1,0,x\n1,2\n")
+    status = ingest_folder(store, str(folder), NOW).first()
+    assert (status.status, status.row_count, status.rejected) == ("failed", 0, 2)
+    assert store.quarantine().count() == 2 and store.manifest().count() == 0
+
+
+def test_quoted_values_may_hold_line_ends(store, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "lines.csv").write_text(
+        ",".join(FEW) + '\n80,2020-01-01,1,0,"two\nlines, quoted"\n81,2020-01-01,2,0,one\n82,2020-01-01,2\n'
+    )
+    (folder / "plain.csv").write_text(",".join(FEW) + "\n80,2020-01-01,1,0,x\n")
+    status = {r.file: (r.row_count, r.rejected) for r in ingest_folder(store, str(folder), NOW).collect()}
+    assert status == {"lines.csv": (2, 1), "plain.csv": (1, 0)}
+    texts = {r.CodeGrootboekrekening: r.Omschrijving for r in store.read_all().where("_source_file = 'lines.csv'").collect()}
+    assert texts == {"80": "two\nlines, quoted", "81": "one"}
+    # A quote that nothing closes would swallow what follows: then lines stay lines.
+    (folder / "open.csv").write_text(
+        ",".join(FEW) + '\n80,"2020-01-01,1,0,x\n81,2020-01-01,2,0,one\n82,2020-01-01,2,0,two\n'
+    )
+    later = ingest_folder(store, str(folder), NOW + dt.timedelta(1)).where("status = 'processed'").first()
+    assert (later.file, later.row_count, later.rejected) == ("open.csv", 2, 1)
+
+
+def test_parquet_exports_of_other_types_and_damaged_ones_fail_alone(spark, store, tmp_path):
+    rows = spark.sql(
+        "select '80' CodeGrootboekrekening, date'2020-01-01' Boekdatum, 1.5D Debet, 0D Credit, id Nummer from range(3)"
+    )
+    text = rows.withColumn("Debet", F.col("Debet").cast("string"))
+    rows.write.parquet(str(tmp_path / "in" / "double.parquet"))
+    text.write.parquet(str(tmp_path / "in" / "text.parquet"))
+    rows.write.parquet(str(tmp_path / "in" / "both.parquet"))
+    text.write.mode("append").parquet(str(tmp_path / "in" / "both.parquet"))
+    (tmp_path / "in" / "damaged.parquet").write_text("no parquet")
+    csv(tmp_path / "in" / "GOOD.CSV", [line()])
+    status = {r.file: (r.status, r.row_count) for r in ingest_folder(store, str(tmp_path / "in"), NOW).collect()}
+    assert status == {
+        "double.parquet": ("processed", 3), "text.parquet": ("processed", 3), "both.parquet": ("processed", 6),
+        "damaged.parquet": ("failed", None), "GOOD.CSV": ("processed", 1),
+    }
+    assert store.read_all().where("_source_file like '%.parquet'").agg(F.sum("Debet")).first()[0] == 18
+
+
+def test_parts_that_land_later_become_a_further_version(store, tmp_path):
+    folder = tmp_path / "in" / "year.csv"
+    folder.mkdir(parents=True)
+    csv(folder / "part-0.csv", [line()])
+    ingest_folder(store, str(tmp_path / "in"), NOW)
+    csv(folder / "part-1.csv", [line(Boekingsnummer=2), line(Boekingsnummer=3)])
+    later = ingest_folder(store, str(tmp_path / "in"), NOW + dt.timedelta(1)).collect()
+    assert [(r.file, r.status, r.row_count) for r in later] == [("year.csv", "processed", 2)]
+    csv(folder / "part-2.csv", [line(Boekingsnummer=4)])
+    ingest_available(store, str(tmp_path / "in"), str(tmp_path / "checkpoint"), clock=lambda: NOW + dt.timedelta(2))
+    assert sorted(r.Boekingsnummer for r in store.read_all().collect()) == [1, 2, 3, 4]
+    assert store.manifest().count() == 3
+    again = ingest_folder(store, str(tmp_path / "in"), NOW + dt.timedelta(3)).collect()
+    assert [r.status for r in again] == ["skipped"]
