@@ -227,26 +227,68 @@ def test_known_words_may_be_forgotten(monkeypatch):
     assert forgetful == [i.tolist() for i in bpe.Encoder(vocabulary).encode_batch(texts)]
 
 
+def brute_licenses(scanner, text):
+    """Every window of every template's length, without retrieval."""
+    words, found = licenses.words_of(text), []
+    for family in scanner.families:
+        for number, wanted in enumerate(family.words):
+            slack = max(1, len(wanted) // 4)
+            for begin in range(0, max(1, len(words) - len(wanted) + 1)):
+                share = family.share(number, words[max(0, begin - slack) : begin + len(wanted) + slack])
+                if share >= licenses.LEAST:
+                    found.append((family.templates[number].license, begin, begin + len(wanted), share))
+    return {m[0] for m in scanner._clear(found + scanner._looked_up(text))}
+
+
 def test_license_scan_agrees_with_brute_force(texts):
     scanner = licenses.Scanner()
-    for _, text in [*texts, (0, "x " * 50 + licenses.TEMPLATES[2][1].upper() + " y" * 50)]:
-        words = licenses.words_of(text)
-        best = []
-        for number, wanted in enumerate(scanner.words):
-            for begin in range(max(1, len(words) - len(wanted) + 1)):
-                part = words[begin : begin + len(wanted)]
-                share = len(scanner.shingles[number] & scanner._set(part)) / len(scanner.shingles[number])
-                if share >= licenses.LEAST:
-                    best.append((scanner.names[number], begin, begin + len(wanted), share))
-        clear = {
-            b[0]
-            for b in best
-            if not any(o[3] > b[3] and o[0] != b[0] and o[1] < b[2] and b[1] < o[2] for o in best)
-        }
-        assert {m[0] for m in scanner.scan(text)} == clear
+    drawn = random.Random(4)
+    noise = lambda: " ".join(drawn.choices(["some", "plain", "words", "of", "prose", "the", "under"], k=30))
+    told = [(0, f"{noise()}. {t.text.upper()}. {noise()}") for t in licenses.TEMPLATES]
+    for _, text in [*[t for t in texts if len(t[1] or "") < 1000], *told]:
+        assert {m[0] for m in scanner.scan(text)} == brute_licenses(scanner, text)
     assert licenses.bands_for(0.5) == math.ceil(math.log(0.001) / math.log(0.75))
 
 
+def test_licenses_are_found_with_a_word_changed():
+    scanner = licenses.Scanner()
+    drawn = random.Random(6)
+    for template in licenses.TEMPLATES:
+        words, name = template.text.split(), template.name.split()
+        counted = len(licenses.words_of(template.text))
+        assert template.license in {m[0] for m in scanner.scan(f"see this. {template.text} and so on")}, template
+        telling = {"Affero", "Lesser", "library", "program", "3", "2"}  # one license from another
+        free = [k for k, w in enumerate(words) if w not in telling | set(name) and len(licenses.words_of(w)) == 1]
+        said = [w for w in words if w in licenses.TELLING]
+        free = [k for k in free if len(said) > 1 or words[k] not in said]
+        if counted < 5 or not free:
+            continue
+        for k in drawn.sample(free, min(4, len(free))):
+            changed = " ".join([*words[:k], "changed", *words[k + 1 :]])
+            assert template.license in {m[0] for m in scanner.scan(f"see this. {changed} and so on")}, changed
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("# SPDX-License-Identifier: MIT\ncode", ["MIT"]),
+        ("SPDX-License-Identifier: (Apache-2.0 OR MIT) and so on", ["Apache-2.0", "MIT"]),
+        ("MIT License\n\nCopyright (c) 2020", ["MIT"]),
+        ("Licensed under the Apache License 2.0", ["Apache-2.0"]),
+        ("released under an MIT License", ["MIT"]),
+        ("Licensed under CC BY-NC 4.0. All rights reserved", ["All-Rights-Reserved", "CC-BY-NC-4.0"]),
+        ("licensed under the BSD 3-Clause license", ["BSD-3-Clause"]),
+        ("This work is licensed under the GNU General Public License, version 3", ["GPL-3.0"]),
+        ("He studied at MIT and got a driving license under the new rules", []),
+        ("released under the new fishing license", []),
+        ("the rights of all are reserved", []),
+        ("", []),
+    ],
+)
+def test_declared_licenses(text, expected):
+    assert sorted({m[0] for m in licenses.Scanner().scan(text)}) == expected
+
+
 def test_language_of_held_out_rows(spark):
     rows = queries()["op10_language"](spark, "/root/testdata/sf0.01")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
