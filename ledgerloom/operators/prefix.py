@@ -1,4 +1,4 @@
-"""Running totals and row positions that survive hot groups.
+"""Running totals that survive hot groups.
 
 A window over a key puts every row of the key into one task. That is the right
 plan while groups are small, and it stays the plan for them here. Rows of a hot
@@ -24,7 +24,6 @@ from ledgerloom.session import shared_folder
 
 HOT_ROWS = 20_000_000
 SLICE_ROWS = 5_000_000
-ONE_TASK_ROWS = 1_000_000
 MAX_SLICES = 20_000
 BROADCAST_ROWS = 200_000
 
@@ -78,19 +77,6 @@ def running_total(
     )
 
 
-def row_position(
-    frame: DataFrame,
-    order: Sequence[Column],
-    out: str = "row_number",
-    hot_rows: int = ONE_TASK_ROWS,
-    slice_rows: int = SLICE_ROWS,
-) -> DataFrame:
-    """1-based position of each row in the whole frame's order."""
-    one = frame.withColumn("_one", F.lit(1).cast("bigint"))
-    placed = running_total(one, [], order, "_one", out, T.LongType(), hot_rows, slice_rows)
-    return placed.drop("_one")
-
-
 def _plain(frame, keys, order, value, out, result_type) -> DataFrame:
     window = (
         Window.partitionBy(*keys)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.classify import net_side
 from ledgerloom.functions.money import total, total_or_zero
 from ledgerloom.operators.filters import FilterSpec, SourceSelection
-from ledgerloom.operators.paging import page
+from ledgerloom.operators.paging import Level, page
 from ledgerloom.operators.rows import beside
 from ledgerloom.plans.accounts import account_balances, account_summary
 
@@ -112,6 +112,21 @@ def _newest_first():
     ]
 
 
+def _booking_levels() -> list[Level]:
+    number = F.col("booking_number")
+    return [Level(F.shiftright(number, 12), descending=True), Level(number, descending=True)]
+
+
+def newest_levels() -> list[Level]:
+    """What the order of the newest first is counted by: days, and in a crowded one bookings."""
+    return [Level(F.col("transaction_date"), descending=True), *_booking_levels()]
+
+
+def account_levels() -> list[Level]:
+    code = F.col("account_code")
+    return [Level(F.substring(code, 1, 2)), Level(code), Level(F.col("transaction_date")), *_booking_levels()]
+
+
 def _by_code():
     return [F.col("account_code").asc_nulls_last(), F.col("account_name").asc_nulls_last()]
 
@@ -392,7 +407,7 @@ class Dashboard:
             F.col("transaction_date").asc_nulls_last(),
             *_newest_first()[1:],
         ]
-        rows = page(rows, order, limit, offset).select(*TRANSACTION_COLUMNS)
+        rows = page(rows, order, limit, offset, account_levels()).select(*TRANSACTION_COLUMNS)
         return Page(rows, self.transactions.count())
 
     @staticmethod
@@ -402,8 +417,8 @@ class Dashboard:
             _newest_first(),
             limit,
             offset,
-            newest_by="transaction_date",
-            year="transaction_year",
+            newest_levels(),
+            "transaction_year",
         )
 
     @staticmethod

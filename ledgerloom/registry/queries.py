@@ -25,7 +25,7 @@ from ledgerloom.operators.filters import FilterSpec, SourceSelection, semi_join
 from ledgerloom.operators.paging import page
 from ledgerloom.plans import quality
 from ledgerloom.plans.accounts import account_balances, account_summary
-from ledgerloom.plans.dashboard import Dashboard, Page
+from ledgerloom.plans.dashboard import Dashboard, Page, newest_levels
 from ledgerloom.plans.ingest import ingest_folder, new_files, status_counts
 from ledgerloom.plans.refresh import refresh
 from ledgerloom.plans.staging import stage
@@ -136,7 +136,7 @@ def deep_page(spark, folder):
         F.col("booking_number").desc_nulls_last(),
         *[F.col(name).asc_nulls_last() for name in DEEP[3:]],
     ]
-    return page(rows, order, limit=50, offset=3000, newest_by="transaction_date")
+    return page(rows, order, limit=50, offset=3000, levels=newest_levels())
 
 
 DEEP = (
