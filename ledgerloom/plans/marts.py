@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ledgerloom.plans.accounts import account_balances, account_summary
 from ledgerloom.plans.staging import stage
@@ -42,14 +43,19 @@ def save_snapshot(ledger: DataFrame, folder: str) -> DataFrame:
 
 
 def save_marts(
-    ledger: DataFrame, folder: str, as_of: dt.date, updated_at: dt.datetime | None = None
+    ledger: DataFrame,
+    folder: str,
+    as_of: dt.date,
+    updated_at: dt.datetime | None = None,
+    made_of: str | None = None,
 ) -> Marts:
     """Write both marts below ``folder`` and read them back.
 
     The staged rows are computed once: the transaction mart holds all of them,
     so the accounts are summed from its saved columns. It is partitioned by
     year, which most filters name. Each call writes a folder of its own, so that
-    readers of earlier marts are not disturbed, and is named in ``current`` at the end.
+    readers of earlier marts are not disturbed, and is named in ``current`` at the end, along
+    with ``made_of``, which says what it was made of.
     """
     spark = ledger.sparkSession
     root, folder = folder, f"{folder}/{uuid.uuid4().hex}"
@@ -66,7 +72,9 @@ def save_marts(
     summary = account_summary(account_balances(transactions, as_of), updated_at)
     summary.write.mode("overwrite").parquet(f"{folder}/mart_account_summary")
     spark.range(1).select(
-        F.lit(folder).alias("folder"), F.current_timestamp().alias("written_at")
+        F.lit(folder).alias("folder"),
+        F.current_timestamp().alias("written_at"),
+        F.lit(made_of).cast("string").alias("made_of"),
     ).write.mode("append").parquet(f"{root}/current")
     return Marts(
         transactions,
@@ -74,10 +82,24 @@ def save_marts(
     )
 
 
+CURRENT = "folder string, written_at timestamp, made_of string"
+
+
 def current_marts(spark: SparkSession, folder: str) -> Marts:
     """The marts saved last below ``folder``."""
-    newest = spark.read.parquet(f"{folder}/current").agg(F.max_by("folder", "written_at")).first()[0]
+    newest = spark.read.schema(CURRENT).parquet(f"{folder}/current").agg(F.max_by("folder", "written_at")).first()[0]
     return Marts(
         spark.read.parquet(f"{newest}/mart_transaction_details"),
         spark.read.parquet(f"{newest}/mart_account_summary"),
     )
+
+
+def current_made_of(spark: SparkSession, folder: str) -> str | None:
+    """What the marts saved last were made of; None if there are none."""
+    try:
+        rows = spark.read.schema(CURRENT).parquet(f"{folder}/current")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.agg(F.max_by(F.coalesce("made_of", F.lit("")), "written_at")).first()[0]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,15 +28,12 @@ def build_session(app_name: str, master: str | None = None, **settings: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder, every executor's only common ground.
 
-    Falls back to a temporary folder in local mode only: on a cluster a folder
-    of one machine would not be visible to the others.
+    Where none is set, a folder in the warehouse, which all executors share as well.
     """
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="ledgerloom-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

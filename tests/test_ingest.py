@@ -152,6 +152,29 @@ def test_refresh_runs_all_steps(spark, store, landing, tmp_path):
     assert details.count() == 1
 
 
+def test_refresh_makes_nothing_again_of_the_same_versions(spark, store, landing, tmp_path):
+    marts = str(tmp_path / "marts")
+    refresh(store, str(landing), marts, NOW).collect()
+    before = current_marts(spark, marts).transactions.inputFiles()
+    for name in ("broken.csv", "undated.csv"):
+        (landing / name).unlink()
+    steps = refresh(store, str(landing), marts, NOW).collect()
+    assert [(s.step, s.success, s.message) for s in steps] == [
+        ("check_files", True, "Found 0 new files to process"),
+        ("ingest_files", True, "No new files to process"),
+        ("rebuild_models", True, "Models are up to date"),
+        ("data_tests", True, "No new models to test"),
+    ]
+    assert current_marts(spark, marts).transactions.inputFiles() == before
+    csv(landing / "later.csv", [line(Boekingsnummer=9)])
+    steps = refresh(store, str(landing), marts, NOW + dt.timedelta(minutes=1)).collect()
+    assert steps[2].message == "Models rebuilt" and steps[3].message == "Data quality tests completed"
+    assert current_marts(spark, marts).transactions.count() == 2
+    # Another day, other classes of age.
+    steps = refresh(store, str(landing), marts, NOW + dt.timedelta(1)).collect()
+    assert steps[2].message == "Models rebuilt"
+
+
 def test_inventory(spark, landing):
     (landing / "damaged.parquet").write_text("no parquet")
     rows = file_inventory(spark, str(landing))
