@@ -2,8 +2,9 @@
 
 Each shingle is hashed once. The hash's first bits choose a bin, and a bin keeps its smallest
 hash; sorting a text's hashes puts each bin's smallest first. Empty bins take the value of a
-bin that is not empty: each has a fixed order of its own in which it tries the others
-(densification). Of each bin the low bits are stored. Two fingerprints' likeness is their
+bin that is not empty: each has a fixed order of its own in which it tries the others. That order
+is an arithmetic progression with a start and a stride drawn per bin, where optimal densification
+draws a hash for each try. Of each bin the low bits are stored. Two fingerprints' likeness is their
 share of equal bins, corrected for bins that are equal by chance.
 
 All of it is SQL functions over one row's arrays; there is no shuffle.
