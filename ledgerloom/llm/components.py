@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.words import saved
+from ledgerloom.llm.words import forget, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,6 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         to = lambda name, step=step: step.select(
             F.col("node").alias(name), F.col("to").alias(f"to_{name}")
         )
+        before = links
         links = saved(
             links.join(to("a"), "a")
             .join(to("b"), "b")
@@ -51,15 +52,18 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct(),
             "component-links",
         )
+        forget(before)
     if not steps:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     result = steps[0].withColumnRenamed("to", "root")
     for step in steps[1:]:
         onward = step.select(F.col("node").alias("root"), "to")
+        before = result
         result = saved(
             result.join(onward, "root", "left").select(
                 "node", F.coalesce("to", "root").alias("root")
             ),
             "component-roots",
         )
+        forget(before, step)
     return result
