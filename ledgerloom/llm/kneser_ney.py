@@ -35,8 +35,8 @@ from ledgerloom.llm.words import Bucketed, forget, saved
 ORDER = 4
 QUANTILE = 0.97
 HELD_OUT = 5  # one in so many trusted texts is not counted, but sets the threshold
-BLOCK_CHARS = 24_000_000
-PART_CHARS = 4_000_000  # n-grams of so many characters are numbered at once
+BLOCK_CHARS = 10_000_000
+PART_CHARS = 2_000_000  # n-grams of so many characters are numbered at once
 SMALL_IDS = 2_000_000  # trusted keys that are sent to all tasks; more are joined by a shuffle
 BEFORE, AFTER = "\x02", "\x03"
 NO_LANGUAGE = "\x00"  # stands for null
