@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import bpe, mixing, neardup, pii, sharding
+from ledgerloom.llm import bpe, mixing, neardup, pii, sharding, simhash
 from test_operators import brute_groups
 
 SMALL = "/root/testdata/sf0.001"
@@ -141,6 +141,27 @@ def test_near_copies_of_which_few_are_alike_find_their_groups(spark):
     assert together >= 0.9 * max(map(len, expected)) ** 2
 
 
+def test_the_copies_stage_links_by_simhash_and_by_similarity(spark):
+    """1 and 2 have near SimHashes only, 2 and 3 are similar only: a chain of both is one group."""
+    drawn = random.Random(21)
+    words = lambda n: ["".join(drawn.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    line, one, other = words(31), words(20), words(20)
+    texts = {
+        1: " ".join(line * 50 + one),
+        2: " ".join(line * 50 + other),
+        3: " ".join(line + other),
+        4: " ".join(words(200)),
+        5: " \n",
+        6: None,
+    }
+    assert {frozenset({1}), frozenset({2, 3}), frozenset({4})} == brute_groups({k: texts[k] for k in (1, 2, 3, 4)})
+    prints = {k: simhash.fingerprint(t) & (2**64 - 1) for k, t in texts.items()}
+    near = {(a, b) for a in texts for b in texts if a < b and (prints[a] ^ prints[b]).bit_count() <= 2}
+    assert near == {(1, 2), (5, 6)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.without_copies(spark, docs, "").collect()} == {1, 4, 5}
+
+
 def test_recall_of_pairs_just_above_the_bound():
     """Similarities between 0.80 and 0.82: bands and the least agreement together."""
     drawn = random.Random(3)
