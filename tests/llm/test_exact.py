@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -162,6 +163,40 @@ def test_the_copies_stage_links_by_simhash_and_by_similarity(spark):
     assert {r.doc_id for r in corpus_pipeline.without_copies(spark, docs, "").collect()} == {1, 4, 5}
 
 
+def test_few_texts_of_one_kind_are_compared_by_their_shingles(spark, monkeypatch):
+    """Copies of a text that is not there, most of them no copies of each other."""
+    drawn = random.Random(17)
+    words = lambda n: ["".join(drawn.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    whole, texts = words(200), {}
+    for k in range(60):
+        begin = drawn.randrange(184)
+        texts[k] = " ".join(whole[:begin] + words(16) + whole[begin + 16 :])
+    compared, exactly = [], neardup.exactly_alike
+    monkeypatch.setattr(neardup, "exactly_alike", lambda x, s: compared.append(x.count()) or exactly(x, s))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {}
+    for r in neardup.groups(docs).collect():
+        found.setdefault(bytes(r.root), set()).add(r.smallest)
+    expected = brute_groups(texts)
+    assert len(expected) > 20
+    assert len(expected ^ {frozenset(f) for f in found.values()}) <= 3  # a pair at the bound
+    assert sum(compared) < 400  # 229 of 1770 pairs; without parities 1898, some twice
+
+
+def test_parities_never_say_more_than_the_sets(spark):
+    drawn, rows = random.Random(8), []
+    for size, other in ((1, 1), (60, 70), (64, 65), (500, 520), (1000, 1100), (1024, 1030)):
+        common = drawn.randrange(size + 1)
+        pool = [drawn.getrandbits(64) for _ in range(size + other - common)]
+        a, b = pool[:size], pool[size - common :]
+        p, q = (neardup.parities(np.array(sorted(x), np.uint64)).tolist() for x in (a, b))
+        rows.append((p, q, len(set(a) ^ set(b))))
+    rows.append((rows[3][0], rows[3][0], 0))
+    frame = spark.createDataFrame(rows, "p array<long>, q array<long>, parted int")
+    for r in frame.withColumn("found", neardup._parted("p", "q")).collect():
+        assert min(1, r.parted) <= r.found <= r.parted
+
+
 def test_recall_of_pairs_just_above_the_bound():
     """Similarities between 0.80 and 0.82: bands and the least agreement together."""
     drawn = random.Random(3)
