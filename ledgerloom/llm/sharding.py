@@ -1,12 +1,13 @@
 """Shards in random order, by a shuffle in two passes.
 
 First every record is scattered by seeded hashes: to a shard, which the key and the number of
-shards decide, and within it to a bucket small enough for memory. Then each bucket is shuffled
-(Spark's ``shuffle`` of an array is Fisher-Yates) and written. Nothing but the buckets'
-counts is needed to number the records of a shard without gaps.
+shards decide, and within it to a bucket. Then each bucket is shuffled and written: its records are
+sorted and ranked, the ranks are shuffled (Spark's ``shuffle`` of an array is Fisher-Yates), and each
+record takes the place of its rank. Records are only sorted and joined, which can spill; the
+arrays hold one number per record. Nothing but the buckets' counts is needed to number the
+records of a shard without gaps.
 
-Each bucket is a partition of its own, whose number is that of shard and bucket, and the records
-are sorted before they are shuffled. Spark seeds a shuffle by the given seed and the number of the
+Each bucket is a partition of its own, whose number is that of shard and bucket. Spark seeds a shuffle by the given seed and the number of the
 partition, so the order follows from the seed, whatever the session's settings, and a task that
 is run again gives the same order.
 
@@ -87,17 +88,25 @@ def write_shards(
         )
         .repartitionById(shards * buckets, F.col("_bucket"))
     )
-    record = F.struct(*columns)
-    (
+    # A bucket is a partition, so the number in the partition is the rank.
+    ranked = scattered.sortWithinPartitions("_order", "_tie").withColumn(
+        "_rank", F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).cast("int")
+    )
+    places = (
         scattered.groupBy("_bucket")
-        .agg(F.collect_list(F.struct("_order", "_tie", record.alias("row"))).alias("records"))
-        .select("_bucket", F.shuffle(_sorted("records"), SEED).alias("records"))
-        .select("_bucket", F.posexplode("records").alias("place", "record"))
+        .agg(F.count("*").cast("int").alias("n"))
+        .select("_bucket", F.shuffle(F.sequence(F.lit(0), F.col("n") - 1), SEED).alias("ranks"))
+        .select("_bucket", F.posexplode("ranks").alias("place", "_rank"))
+    )
+    changed = F.raise_error(F.lit("the rows are not the same when read again")).cast("int")
+    (
+        # As many places as records: never to be broadcast.
+        ranked.join(places.hint("merge"), ["_bucket", "_rank"], "left")
         .select(
-            "record.row.*",
+            *columns,
             F.floor(F.col("_bucket") / buckets).cast("int").alias("shard"),
             (F.col("_bucket") % buckets).alias("bucket"),
-            "place",
+            F.coalesce("place", changed).alias("place"),
         )
         .sortWithinPartitions("shard", "bucket", "place")
         .write.partitionBy("shard")
@@ -105,18 +114,7 @@ def write_shards(
     )
 
 
-def _sorted(records: str) -> Column:
-    """Before they are shuffled: rows arrive in no fixed order."""
-
-    def order(a: Column, b: Column) -> Column:
-        earlier = (a["_order"] < b["_order"]) | ((a["_order"] == b["_order"]) & (a["_tie"] < b["_tie"]))
-        same = (a["_order"] == b["_order"]) & (a["_tie"] == b["_tie"])
-        return F.when(same, 0).when(earlier, -1).otherwise(1)
-
-    return F.array_sort(records, order)
-
-
-RESULTS = {"shard", "bucket", "place", "slot", "grown_shard", "law", "size", "text_crc32", "_order", "_tie", "_bucket"}
+RESULTS = {"shard", "bucket", "place", "slot", "grown_shard", "law", "size", "text_crc32", "_order", "_tie", "_bucket", "_rank"}
 
 
 def read_shards(docs: DataFrame, path: str) -> DataFrame:

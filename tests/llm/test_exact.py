@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -51,6 +52,26 @@ def test_shards_agree_with_rendezvous_hashing_and_do_not_depend_on_partitions(sp
     assert ordered != sorted(ordered) and ordered != sorted(ordered, reverse=True)
 
 
+def test_shards_are_written_without_gathering_the_texts_of_a_bucket(spark, monkeypatch):
+    """Buckets are sorted and joined, which can spill; no row holds the records of a bucket."""
+    plans, write = [], DataFrameWriter.parquet
+
+    def noted(writer, *args, **more):
+        plans.append(writer._df._jdf.queryExecution().optimizedPlan().toString())
+        return write(writer, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    rows = [(k % 400, f"text {k % 400} " * 9) for k in range(500)]  # some rows twice
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.sharded(docs, bucket_bytes=1_000).collect()
+    assert len(plans) == 1 and "collect_list" not in plans[0]
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(rows)
+    for shard in range(8):
+        own = sorted((r.slot, r.doc_id) for r in got if r.shard == shard)
+        assert [slot for slot, _ in own] == list(range(len(own)))
+        assert [key for _, key in own] != sorted(key for _, key in own)
+
+
 def counted(key, rate, draws):
     """The documented draws, written out for one document."""
     total = 0
