@@ -1,14 +1,12 @@
 """What is shuffled and saved on the way: narrow rows, once, and no longer than needed."""
 
 import datetime as dt
-import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerloom.plans.staging import stage
 from ledgerloom.registry import inputs, queries
-from ledgerloom.session import new_folder, shared_folder
+from ledgerloom.session import shared_folder
 from ledgerloom.sources.sample import ledger
 
 
@@ -51,3 +49,12 @@ def test_lines_are_joined_once(spark, tables):
 def test_saved_ledger_is_what_was_derived(spark, tables):
     saved, derived = inputs.saved_ledger(spark, tables), ledger(spark, tables)
     assert saved.exceptAll(derived).isEmpty() and derived.exceptAll(saved).isEmpty()
+
+
+def test_mart_shuffles_no_ids_and_classes(spark, tables):
+    """They are added to the rows that the running balance was made of."""
+    details = queries.transaction_details(stage(inputs.saved_ledger(spark, tables)), queries.AS_OF)
+    shown = plan(details)
+    above, _, below = shown.partition("Window [")
+    assert below, shown
+    assert all(name in above and name not in below for name in ("transaction_id", "day_of_week")), shown
