@@ -1,6 +1,7 @@
 """What is shuffled and saved on the way: narrow rows, once, and no longer than needed."""
 
 import datetime as dt
+import glob
 
 import pytest
 
@@ -58,3 +59,15 @@ def test_mart_shuffles_no_ids_and_classes(spark, tables):
     above, _, below = shown.partition("Window [")
     assert below, shown
     assert all(name in above and name not in below for name in ("transaction_id", "day_of_week")), shown
+
+
+def test_slices_have_the_wanted_columns_and_salted_rows_go(spark, tables):
+    base = shared_folder(spark).removeprefix("file:")
+    found = lambda kind: {p for p in glob.glob(f"{base}/**/{kind}-*", recursive=True)}
+    before = found("slices"), found("rdd")
+    rows = queries.running_balance_sliced(spark, tables)
+    assert rows.count() == 210
+    slices = found("slices") - before[0]
+    assert len(slices) == 1 and not found("salted")
+    assert "account_name" not in spark.read.parquet(slices.pop()).columns
+    assert len(found("rdd") - before[1]) <= 1  # the hot accounts
