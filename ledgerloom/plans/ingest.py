@@ -29,6 +29,9 @@ STATUS = T.StructType(
 )
 
 
+_OF, _ID = "_of_source", "_id_of_source"  # source and version while records are written
+
+
 def new_files(landed: DataFrame, log: DataFrame) -> DataFrame:
     """Landed files whose exact name is not in the ingestion log."""
     return anti_join(landed, log.select(F.col("source_file").alias("name")), "name")
@@ -108,14 +111,17 @@ def _write(
     mark = "-lines" if lines_in_quotes else ""
     version = lambda name: F.concat(F.lit(f"{PREFIX}_"), _version_part(name), F.lit(f"{mark}_{label}"))
     versions = {r.name: r.id for r in names.select("name", version("name").alias("id")).collect()}
+    # One row per source: cheaper to look up than to make of each record's source.
+    ids = F.broadcast(spark.createDataFrame(list(versions.items()), f"{_OF} string, {_ID} string"))
     frames = []
     for rows in read_records(spark, sources, lines_in_quotes):
         rows = folded(checked(rows, loaded_at), besides=(BAD,))
+        rows = rows.join(ids, F.col("_source_file") == F.col(_OF), "left").drop(_OF)
         is_bad = F.col(BAD).isNotNull()
         why = F.create_map(F.lit("reason"), F.col(f"{BAD}.reason"), F.lit("text"), F.col(f"{BAD}.text"))
-        place = F.concat(F.when(is_bad, QUARANTINED).otherwise(""), version("_source_file"))
+        place = F.concat(F.when(is_bad, QUARANTINED).otherwise(""), F.coalesce(_ID, version("_source_file")))
         kept = F.when(is_bad, why).otherwise(F.col(EXTRA))
-        frames.append(rows.withColumns({EXTRA: kept, VERSION: place}).drop(BAD))
+        frames.append(rows.withColumns({EXTRA: kept, VERSION: place}).drop(BAD, _ID))
     store.write_rows(reduce(DataFrame.unionByName, frames))
     both = [place for id_ in versions.values() for place in (id_, QUARANTINED + id_)]
     present = store.written_versions(both)

@@ -1,8 +1,8 @@
 """Exported ledger files: finding them, reading them, checking and cleaning them.
 
 An export is a CSV (with header), JSON-lines or Parquet file of the ledger's
-columns, or a folder of such parts written by Spark. Its path below the landing folder is the
-source of its rows.
+columns, or a folder of such parts written by Spark. CSV and JSON may be packed by gzip. Its path
+below the landing folder is the source of its rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from ledgerloom.schema import CORE_COLUMNS, LEDGER
 from ledgerloom.sources.store import load_metadata
 
 FORMATS = ("csv", "json", "parquet")
-FILE_GLOB = "*.{[cC][sS][vV],[jJ][sS][oO][nN],[pP][aA][rR][qQ][uU][eE][tT]}"
+GZIP = ".gz"
+FILE_GLOB = "*.{[cC][sS][vV],[jJ][sS][oO][nN],[pP][aA][rR][qQ][uU][eE][tT],[cC][sS][vV].gz,[jJ][sS][oO][nN].gz}"
 HEADER_JOBS = 16
 
 _SOURCE_FILE = T.StructField("_source_file", T.StringType())
@@ -129,7 +130,7 @@ class Export:
 
     @property
     def format(self) -> str:
-        return self.name.rsplit(".", 1)[-1].lower()
+        return self.name.removesuffix(GZIP).rsplit(".", 1)[-1].lower()
 
     @property
     def columns(self) -> tuple[str, ...] | None:
@@ -165,7 +166,8 @@ def exports(spark: SparkSession, files: DataFrame) -> list[Export]:
     listed = files.select("name", "path", "root", export_path("path").alias("export"), late.alias("late"))
     grouped: dict[tuple[str, str], list[Part]] = defaultdict(list)
     for read, form in ((_csv_headers, "csv"), (_json_keys, "json"), (_parquet_schemas, "parquet")):
-        found = listed.where(F.lower("name").endswith(f".{form}"))
+        unpacked = F.when(F.endswith("name", F.lit(GZIP)), F.substring_index("name", ".gz", 1)).otherwise(F.col("name"))
+        found = listed.where(F.lower(unpacked).endswith(f".{form}"))
         for name, root, part in read(spark, found):
             grouped[name, root].append(part)
     return [Export(name, root, tuple(parts)) for (name, root), parts in sorted(grouped.items())]
@@ -180,7 +182,9 @@ def _first_line(spark: SparkSession, path: str) -> str | None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(system.open(where), "UTF-8"))
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(system.getConf()).getCodec(where)
+    stream = system.open(where) if codec is None else codec.createInputStream(system.open(where))
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
     try:
         return reader.readLine()
     finally:
@@ -214,10 +218,13 @@ def _json_keys(spark: SparkSession, listed: DataFrame) -> list[tuple[str, str, P
     if not found:
         return []
     root = found[0].root
-    lines = spark.read.text([path for row in found for path in row.paths]).select(
-        source_name(_decoded(F.col("_metadata.file_path")), root).alias("name"),
-        F.explode_outer(F.json_object_keys("value")).alias("key"),
+    # Records of a file with the same keys are one row before their keys are taken apart.
+    alike = (
+        spark.read.text([path for row in found for path in row.paths])
+        .select(F.col("_metadata.file_path").alias("file"), F.json_object_keys("value").alias("keys"))
+        .distinct()
     )
+    lines = alike.select(source_name(_decoded(F.col("file")), root).alias("name"), F.explode_outer("keys").alias("key"))
     keys = {r.name: tuple(sorted(r.keys)) for r in lines.groupBy("name").agg(F.collect_set("key").alias("keys")).collect()}
     return [(r.name, r.root, Part(keys.get(r.name) or None, tuple(sorted(r.paths)))) for r in found]
 
@@ -330,6 +337,8 @@ def clean(rows: DataFrame, loaded_at: dt.datetime, source: Column | None = None)
 def checked(rows: DataFrame, loaded_at: dt.datetime) -> DataFrame:
     """As ``clean``, but with all records; ``_bad`` tells those apart that cannot be stored."""
     record = F.to_json(F.struct(*[F.col(f"`{n}`") for n in rows.columns if n not in (BAD, "_source_file")]))
+    if "Boekdatum" in rows.columns:  # the text is made of the records that it is kept of
+        record = F.when(F.col("Boekdatum").try_cast(LEDGER["Boekdatum"].dataType).isNull(), record)
     undated = F.struct(F.lit(DATE).alias("reason"), F.col("_record").alias("text"))
     stamped = _stamped(rows.withColumn("_record", record), loaded_at)
     bad = F.coalesce(BAD, F.when(F.col("Boekdatum").isNull(), undated))

@@ -28,6 +28,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ledgerloom.operators.align import add_missing, cast_ledger
 from ledgerloom.schema import INGESTION_LOG, LEDGER, LOADED_LEDGER, SNAPSHOT, VERSION_MANIFEST
+from ledgerloom.session import PACKED
 
 VERSION = "version_id"
 PREFIX = "financial_transactions"
@@ -110,7 +111,7 @@ class VersionStore:
         (
             rows.sortWithinPartitions(*[name for name in local_order if name in rows.columns])
             .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
+            .options(**PACKED, partitionOverwriteMode="dynamic")
             .partitionBy(VERSION)
             .parquet(self.data_path)
         )
