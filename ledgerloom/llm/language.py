@@ -228,9 +228,7 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
 def _sampled(labelled: DataFrame, key: str, text: str, lang: str) -> tuple[dict[str, int], DataFrame]:
     """Rows per language, and the drawn ones of them as ``key, text, lang``."""
-    rows = labelled.select(
-        F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")
-    ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = _with_language(labelled, text, lang, F.col(key).alias("key"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
     share = F.lit(0.0)
@@ -239,6 +237,11 @@ def _sampled(labelled: DataFrame, key: str, text: str, lang: str) -> tuple[dict[
     return sizes, rows.where(drawn < share)
 
 
+def _with_language(labelled: DataFrame, text: str, lang: str, *besides: Column) -> DataFrame:
+    rows = labelled.select(*besides, F.col(text).alias("text"), F.col(lang).alias("lang"))
+    return rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
 def _counts(batches):
     table: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -335,10 +338,10 @@ def _fits(model: Model, texts: list[str], names: list[str], labels: np.ndarray)
 
 
 def least_fits(
-    labelled: DataFrame, model: Model, quantile: float, key: str = "doc_id", text: str = "text", lang: str = "lang"
+    labelled: DataFrame, model: Model, quantile: float, text: str = "text", lang: str = "lang"
 ) -> dict[str, float]:
-    """Per language: the ``fit`` that all but a share of its (drawn) labelled rows have."""
-    rows = _sampled(labelled, key, text, lang)[1]
+    """Per language: the ``fit`` that all but a share of its labelled rows have, of all that there are."""
+    rows = _with_language(labelled, text, lang)
     found = identified(rows, model, with_fit=True).where(F.col("lang_pred") == F.col("lang"))
     found = found.groupBy("lang").agg(F.percentile_approx("fit", quantile, 10000).alias("least"))
     return {r["lang"]: r["least"] for r in found.collect()}
